@@ -2,15 +2,25 @@
 
 from __future__ import annotations
 
-from assayer.llm import chat, packing, quality_rules
+import corpus_pipeline
+from assayer.llm import chat, language, licenses, matroska, near_dedup, packing, quality_classifier, quality_rules, substring_dedup
 
 QUERIES = {
     "op2_packing": packing.op2_packing,
     "op3_quality_rules": quality_rules.op3_quality_rules,
+    "op4_substring_dedup": substring_dedup.op4_substring_dedup,
+    "op5_quality_classifier": quality_classifier.op5_quality_classifier,
+    "op6_near_dedup": near_dedup.op6_near_dedup,
+    "op7_language_id": language.op7_language_id,
+    "op8_matroska": matroska.op8_matroska,
+    "op9_license_scan": licenses.op9_license_scan,
     "op10_chat_format": chat.op10_chat_format,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES = {
     "op3_quality_rules": quality_rules.ORACLE,
+    "op6_near_dedup": near_dedup.ORACLE,
+    "op9_license_scan": licenses.ORACLE,
     "op10_chat_format": chat.ORACLE,
 }
