@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once a row though the expression names it often."""
+    return F.transform(F.array(value), use)[0]
+
+
 def quoted(terms: Sequence[str], bounded: bool = False) -> str:
     """One case-insensitive pattern for all terms."""
     inner = "|".join(re.escape(t) for t in terms)
-    return rf"(?i)\b(?:{inner})\b" if bounded else f"(?i)(?:{inner})"
+    return rf"(?iu)\b(?:{inner})\b" if bounded else f"(?iu)(?:{inner})"
 
 
 def mentions(col: Column, terms: Sequence[str], bounded: bool = False) -> Column:
@@ -51,29 +56,34 @@ def words(col: Column) -> Column:
 
 def adjacent_overlap(col: Column) -> Column:
     """Mean Jaccard similarity of neighbouring sentences' words, 3 digits; null below 50 characters or two sentences."""
+
+    def mean(sets: Column) -> Column:
+        pairs = F.zip_with(F.slice(sets, F.lit(1), F.size(sets) - 1), F.slice(sets, F.lit(2), F.size(sets) - 1), jaccard)
+        return F.aggregate(pairs, F.lit(0.0), lambda x, y: x + y) / F.size(pairs)
+
     sets = F.transform(sentences(col), lambda s: F.array_distinct(words(s)))
+    return F.when(F.length(col) >= 50, let(sets, lambda x: F.when(F.size(x) >= 2, F.round(mean(x), 3))))
 
-    def pair(i: Column) -> Column:
-        a, b = F.get(sets, i), F.get(sets, i + 1)
-        union = F.size(F.array_union(a, b))
-        return F.when(union > 0, F.size(F.array_intersect(a, b)) / union).otherwise(0.0)
 
-    values = F.transform(F.sequence(F.lit(0), F.size(sets) - 2), pair)
-    mean = F.aggregate(values, F.lit(0.0), lambda x, y: x + y) / F.size(values)
-    return F.when((F.length(col) >= 50) & (F.size(sets) >= 2), F.round(mean, 3))
+def jaccard(a: Column, b: Column) -> Column:
+    """Of two sets; 0 for two empty ones."""
+    union = F.size(F.array_union(a, b))
+    return F.when(union > 0, F.size(F.array_intersect(a, b)) / union).otherwise(0.0)
 
 
 def global_overlap(col: Column, least: int = 3) -> Column:
     """Share of distinct words longer than `least` that stand in more than one sentence, 3 digits."""
     sets = F.transform(sentences(col), lambda s: F.filter(F.array_distinct(words(s)), lambda w: F.length(w) > least))
-    once = F.array_sort(F.flatten(sets))
-    # in the sorted list of per-sentence sets a word is repeated if it equals the one before it but not the one before that
-    repeats = F.filter(
-        F.sequence(F.lit(1), F.greatest(F.size(once) - 1, F.lit(1))),
-        lambda i: (F.get(once, i) == F.get(once, i - 1)) & ~F.coalesce(F.get(once, i) == F.get(once, i - 2), F.lit(False)),
-    )
-    distinct = F.size(F.array_distinct(once))
-    return F.when((F.size(sets) >= 2) & (distinct > 0), F.round(F.size(repeats) / distinct, 3))
+
+    def repeated(ordered: Column) -> Column:
+        """In the sorted list of all sentences' sets: the distinct words among those equal to the word before them."""
+        again = F.zip_with(F.slice(ordered, F.lit(1), F.size(ordered) - 1), F.slice(ordered, F.lit(2), F.size(ordered) - 1), lambda x, y: F.when(x == y, x))
+        return F.size(F.array_distinct(F.array_compact(again)))
+
+    def share(ordered: Column) -> Column:
+        return F.when(F.size(ordered) > 0, F.round(repeated(ordered) / F.size(F.array_distinct(ordered)), 3))
+
+    return let(sets, lambda x: F.when(F.size(x) >= 2, let(F.array_sort(F.flatten(x)), share)))
 
 
 PRONOUNS = ("i", "me", "my", "mine", "we", "us", "our", "ours", "you", "your", "yours", "he", "him", "his", "she", "her", "hers", "it", "its", "they", "them", "their", "theirs")

@@ -73,7 +73,7 @@ def questions_before_final(spark, sf_dir):
     """User turns before the first turn of a chat that holds a marker; null if there are none."""
     c = read(spark, sf_dir, "conversations")
     marks = c.where(F.col("text").contains("The ")).groupBy("conv_id").agg(F.min("turn").alias("_final"))
-    n = F.sum(((F.col("role") == "user") & (F.col("turn") < F.coalesce("_final", F.lit(1 << 60)))).cast("long"))
+    n = F.sum(((F.col("role") == "user") & (F.col("turn") < F.coalesce("_final", F.lit(1000000000)))).cast("long"))
     return c.join(marks, "conv_id", "left").groupBy("conv_id").agg(F.nullif(n, F.lit(0)).alias("questions"))
 
 
@@ -143,7 +143,7 @@ p AS (SELECT page_id, regexp_replace(split_part(u, '?', 1), '/+$', '') AS path,
 SELECT page_id, CASE WHEN len(q) > 0 THEN path || '?' || array_to_string(q, '&') ELSE path END AS url FROM p""",
     "content_hash_dupes": "SELECT copies, count(*) AS texts FROM (SELECT count(*) AS copies FROM documents GROUP BY text) GROUP BY 1",
     "questions_before_final": """WITH m AS (SELECT conv_id, min(turn) AS f FROM conversations WHERE contains(text, 'The ') GROUP BY 1)
-SELECT conv_id, nullif(count(*) FILTER (role = 'user' AND turn < coalesce(f, 1 << 60)), 0)::BIGINT AS questions FROM conversations LEFT JOIN m USING (conv_id) GROUP BY 1""",
+SELECT conv_id, nullif(count(*) FILTER (role = 'user' AND turn < coalesce(f, 1000000000)), 0)::BIGINT AS questions FROM conversations LEFT JOIN m USING (conv_id) GROUP BY 1""",
     "intent_ladder": f"""SELECT role, CASE WHEN contains(lower(text), 'write ') OR contains(lower(text), 'list ') THEN 'order_test'
   WHEN contains(lower(text), 'should ') OR contains(lower(text), 'because') THEN 'recommendation' WHEN contains(text, '?') THEN 'question'
   WHEN len({_WORDS.format(t='text')}) < 5 THEN 'short' ELSE 'response' END AS intent, count(*) AS n FROM conversations GROUP BY ALL""",
