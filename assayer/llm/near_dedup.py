@@ -4,8 +4,8 @@ A document's set holds its distinct word shingles (hashed to 64 bits). Documents
 works on one representative for each class, so exact copies never multiply. Representatives get many universal-hash minima,
 banded; the members of a band's bucket are linked to the bucket's least member. Links are verified on the sets of the whole
 texts, and connected components follow from the verified links. Members of a bucket that are then still in different
-components are compared as well, each with the members of the other components, so a bucket's size never limits what is
-compared, while a group of near copies costs links in proportion to its size.
+components are compared as well, all with all, in blocks of bounded size that give out links only: a bucket's size never
+limits what is compared, and a group of near copies costs rows in proportion to its size.
 
 With 32 bands of 4 minima a pair at similarity 0.8 shares no bucket with probability 5e-8.
 
@@ -33,6 +33,8 @@ SHINGLE = 5
 PERCENT = 80
 BANDS, ROWS = 32, 4
 WORD_CACHE = 300_000
+#: Documents in a block of a family of components; a task compares two blocks.
+BLOCK = 1500
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -140,6 +142,54 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
     return both.select("a", "b", "text_a", "text_b").mapInPandas(run, "a long, b long")
 
 
+def between_components(labelled: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) between documents that share a bucket but are in different components. labelled: key, a, label.
+
+    Components that meet in buckets form families. A family's documents, each once, are dealt into blocks of bounded size,
+    and each pair of blocks is compared by one task on its inverted lists of shingles; only links leave the task, not the
+    pairs that were compared.
+    """
+    ends = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("key", "low")
+    apart = labelled.join(ends, "key").select("a", "label", "low").distinct()
+    families = components(apart.select(F.col("label").alias("a"), F.col("low").alias("b")))
+    members = written(apart.select("a", "label").distinct().join(families.withColumnsRenamed({"node": "label", "component": "family"}), "label"))
+    sizes = members.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = members.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("a"), "text").where("doc_id IS NOT NULL")
+    met = dealt.join(texts, "a").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("k"), "block", "a", "label", "text")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.drop_duplicates("a")
+        hashes = WordHashes()
+        found = links_across([shingle_set(t, width, hashes) for t in pdf["text"]], pdf["label"].to_numpy(), percent)
+        ids, block = pdf["a"].to_numpy(), pdf["block"].to_numpy()
+        two = pdf["i"].iloc[0] != pdf["k"].iloc[0]
+        rows = [(ids[x], ids[y]) for x, y in found if not two or block[x] != block[y]]
+        return pd.DataFrame(rows, columns=["a", "b"], dtype="int64")
+
+    return met.groupBy("family", "i", "k").applyInPandas(run, "a long, b long")
+
+
+def links_across(sets: list[np.ndarray], labels: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Pairs of places of sets with different labels that reach the similarity, from the sizes of their intersections."""
+    sizes = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    values, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    order = np.argsort(ids, kind="stable")
+    lists = np.split(owner[order], np.cumsum(np.bincount(ids, minlength=len(values)))[:-1])
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    names, counts = np.unique(labels, return_counts=True)
+    main = names[counts.argmax()]
+    out = []
+    for x in np.flatnonzero(labels != main):
+        mine = ids[starts[x] : starts[x + 1]]
+        both = np.bincount(np.concatenate([lists[i] for i in mine]), minlength=len(sets))
+        hit = (100 * both >= percent * (sizes + sizes[x] - both)) & (labels != labels[x])
+        out += [(int(x), int(y)) for y in np.flatnonzero(hit)]
+    return out
+
+
 def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id of each row of docs (doc_id, text)."""
     texts = docs.select("doc_id", "text")
@@ -154,21 +204,11 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCEN
     star = shared.where("a != b").select("a", "b", "size").distinct().join(sizes, "b").where(fits(F.col("size"), F.col("size_b")))
     links = written(verified(written(star.select("a", "b")), texts, width, percent))
     found = components(links)
-    # what stays apart within a bucket is compared across the components
-    labelled = shared.select("key", "a", "size").join(found.withColumnRenamed("node", "a"), "a", "left").withColumn("label", F.coalesce("component", "a")).drop("component")
-    mixed_keys = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("key")
-    apart = written(labelled.join(mixed_keys, "key"))
-    labels = apart.select("key", "label").distinct()
-    across = labels.withColumnRenamed("label", "l1").join(labels.withColumnRenamed("label", "l2"), "key").where("l1 < l2")
-    one = apart.withColumnsRenamed({"label": "l1", "size": "s1"})
-    two = apart.withColumnsRenamed({"label": "l2", "size": "s2", "a": "b"})
-    more = across.join(one, ["key", "l1"]).join(two, ["key", "l2"]).where(fits(F.col("s1"), F.col("s2")))
-    more = more.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    rest = written(more.join(star.select("a", "b"), ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        extra = written(verified(rest, texts, width, percent))
-        if not extra.isEmpty():
-            found = components(links.union(extra))
+    labelled = shared.select("key", "a").join(found.withColumnRenamed("node", "a"), "a", "left")
+    labelled = written(labelled.select("key", "a", F.coalesce("component", "a").alias("label")))
+    extra = written(between_components(labelled, texts, width, percent))
+    if not extra.isEmpty():
+        found = components(links.union(extra))
     of = classes.select("set_hash", "node").join(found, "node", "left").select("set_hash", F.coalesce("component", "node").alias("component_id"))
     full = some.select("doc_id", "n_shingles", "set_hash").join(of, "set_hash").select("doc_id", "n_shingles", "component_id")
     empty = signed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
