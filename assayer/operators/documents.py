@@ -27,6 +27,8 @@ class _Blocks(HTMLParser):
         if tag in SILENT_TAGS:
             self.silent += 1
         elif tag in BLOCK_TAGS:
+            if tag in ("p", "li", "td") and self.open and self.open[-1][0] == tag:  # these end where the next one starts
+                self.handle_endtag(tag)
             self.open.append((tag, []))
         elif tag == "br":
             self.handle_data(" ")

@@ -86,4 +86,4 @@ def hashed_embedding(text: Column, dims: int = 64) -> Column:
     slots = F.transform(tokens, lambda w: F.pmod(F.xxhash64(w), F.lit(dims)))
     signs = F.transform(tokens, lambda w: F.when(F.pmod(F.hash(w), F.lit(2)) == 0, 1.0).otherwise(-1.0))
     pairs = F.arrays_zip(slots.alias("s"), signs.alias("v"))
-    return F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.aggregate(pairs, F.lit(0.0), lambda acc, p: acc + F.when(p["0"] == d, p["1"]).otherwise(0.0)))
+    return F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.aggregate(pairs, F.lit(0.0), lambda acc, p: acc + F.when(p["s"] == d, p["v"]).otherwise(0.0)))
