@@ -32,27 +32,14 @@ from assayer.llm.components import components
 SHINGLE = 5
 PERCENT = 80
 BANDS, ROWS = 32, 4
-WORD_CACHE = 300_000
 #: Documents in a block of a family of components; a task compares two blocks.
 BLOCK = 1500
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-class WordHashes:
-    """64-bit hashes of words, kept for the words seen of late."""
-
-    def __init__(self) -> None:
-        self.known: dict[bytes, int] = {}
-
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        if len(self.known) > WORD_CACHE:
-            self.known = {}
-        known, get = self.known, xxhash.xxh3_64_intdigest
-        out = [known.get(w) for w in words]
-        for k, v in enumerate(out):
-            if v is None:
-                out[k] = known[words[k]] = get(words[k])
-        return np.array(out, dtype=np.uint64)
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """64-bit hashes of words."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -74,9 +61,9 @@ def rolled(words: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def shingle_set(text: str | None, width: int, hashes: WordHashes) -> np.ndarray:
+def shingle_set(text: str | None, width: int) -> np.ndarray:
     """Sorted distinct shingle hashes of a whole text."""
-    return np.unique(rolled(hashes(lower_ascii(text or "").split()), width))
+    return np.unique(rolled(word_hashes(lower_ascii(text or "").split()), width))
 
 
 def signer(bands: int, rows: int, seed: int = 20):
@@ -108,9 +95,9 @@ def signatures(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, sign = WordHashes(), signer(bands, rows)
+        sign = signer(bands, rows)
         for pdf in batches:
-            sets = [shingle_set(t, width, hashes) for t in pdf["text"]]
+            sets = [shingle_set(t, width) for t in pdf["text"]]
             yield pd.DataFrame({
                 "doc_id": pdf["doc_id"],
                 "n_shingles": [len(s) for s in sets],
@@ -123,18 +110,19 @@ def signatures(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
 
 def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) of documents whose whole texts' sets reach the similarity."""
-    texts = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id IS NOT NULL")
+    # sort-merge at every size: texts outgrow a broadcast, and both joins then share one exchange of them
+    texts = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id IS NOT NULL").hint("merge")
     with_a = pairs.join(texts.withColumnsRenamed({"doc_id": "a", "text": "text_a"}), "a")
     both = with_a.join(texts.withColumnsRenamed({"doc_id": "b", "text": "text_b"}), "b")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, last, kept = WordHashes(), None, None
+        last, kept = None, None
         for pdf in batches:
             ok = []
             for one, two in zip(pdf["text_a"], pdf["text_b"], strict=True):
                 if two != last:
-                    last, kept = two, shingle_set(two, width, hashes)
-                x = shingle_set(one, width, hashes)
+                    last, kept = two, shingle_set(two, width)
+                x = shingle_set(one, width)
                 both = len(np.intersect1d(x, kept, assume_unique=True))
                 ok.append(100 * both >= percent * (len(x) + len(kept) - both))
             yield pdf.loc[ok, ["a", "b"]]
@@ -155,14 +143,13 @@ def between_components(labelled: DataFrame, docs: DataFrame, width: int, percent
     members = written(apart.select("a", "label").distinct().join(families.withColumnsRenamed({"node": "label", "component": "family"}), "label"))
     sizes = members.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     dealt = members.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("a"), "text").where("doc_id IS NOT NULL")
+    texts = docs.select(F.col("doc_id").cast("long").alias("a"), "text").where("doc_id IS NOT NULL").hint("merge")
     met = dealt.join(texts, "a").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = met.select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("k"), "block", "a", "label", "text")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates("a")
-        hashes = WordHashes()
-        found = links_across([shingle_set(t, width, hashes) for t in pdf["text"]], pdf["label"].to_numpy(), percent)
+        found = links_across([shingle_set(t, width) for t in pdf["text"]], pdf["label"].to_numpy(), percent)
         ids, block = pdf["a"].to_numpy(), pdf["block"].to_numpy()
         two = pdf["i"].iloc[0] != pdf["k"].iloc[0]
         rows = [(ids[x], ids[y]) for x, y in found if not two or block[x] != block[y]]
@@ -219,7 +206,7 @@ def keep_one(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> D
     """The rows of docs with one document of each group of near duplicates, the one with the least doc_id."""
     groups = written(near_duplicates(docs, width, percent))
     gone = groups.where("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
 
 
 def op6_near_dedup(spark, sf_dir: str) -> DataFrame:

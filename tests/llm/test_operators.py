@@ -234,7 +234,7 @@ def test_near_copies_of_a_passage_are_found():
     a = rng.integers(0, 2**60, 300).astype(np.uint64)
     b = np.concatenate([rng.integers(0, 2**60, 40).astype(np.uint64), a[100:220], rng.integers(0, 2**60, 40).astype(np.uint64)])
     b[100] = 1
-    found = substring_dedup.passages(a, b, [(110, 50)], 50, 80)
+    found = substring_dedup.passages(substring_dedup.Side(a), substring_dedup.Side(b), [(110, 50)], 50, 80)
     assert [x[:4] for x in found] == [(100, 220, 40, 160)] and 0.8 <= found[0][4] < 1
 
 
