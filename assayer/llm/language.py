@@ -1,7 +1,7 @@
 """Language identification by a linear-chain conditional random field over words.
 
 A word's score for each language is a sum of weights of its features: the word itself if it is in the lexicon (the training
-words that occur twice), prefixes and suffixes of up to three letters, and letter 2- to 4-grams, hashed into a table.
+words that occur twice), its affixes, and the 2- to 4-grams of its bytes, hashed into a table.
 Transitions between the languages of neighbouring words are learned too: training sequences join stretches of texts in
 different languages, as code-switched text does. Forward-backward gives each word's language probabilities; a document gets
 the language with the largest mean probability over its words that have a letter, and that mean as its score.
@@ -14,12 +14,13 @@ Repeated rows get equal values; other columns are ignored; an empty table gives
 from __future__ import annotations
 
 import re
-import zlib
+import string
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,27 +28,45 @@ from assayer.llm.common import crc_mod, read, ship
 
 UNDETERMINED = "und"
 TRAIN_DOCS = 200
-TABLE = 1 << 17
+TABLE_BITS = 17
+TABLE = 1 << TABLE_BITS
 SEQUENCE = 32
 STRETCH = 12
 EPOCHS = 2
 RATE = 0.5
-CACHE_WORDS = 200_000
+#: Words after which a worker's table of scores starts anew; a word takes about 200 bytes.
+CACHE_WORDS = 400_000
+BATCH = 400
 STEP = 32
 LETTER = re.compile(r"[^\W\d_]")
-EDGE = re.compile(r"^[\W\d_]+|[\W\d_]+$")
+#: What is cut from both ends of a word.
+EDGES = string.punctuation + string.digits + "\u00ab\u00bb\u201c\u201d\u201e\u2018\u2019\u2026\u2013\u2014\u00a1\u00bf"
 
 
-def features(word: str, lexicon: set[str] | None) -> list[int]:
-    """Table rows of a word's features; none for a word without a letter."""
-    w = EDGE.sub("", word).lower()
-    if not w:
-        return []
-    names = [f"^{w[:k]}" for k in (1, 2, 3)] + [f"{w[-k:]}$" for k in (1, 2, 3)]
-    names += [w[i : i + n] for n in (2, 3, 4) for i in range(len(w) - n + 1)]
-    if lexicon is None or w in lexicon:
-        names.append(f"={w}")
-    return [zlib.crc32(x.encode()) % TABLE for x in dict.fromkeys(names)]
+def core(word: str) -> str:
+    return word.strip(EDGES).lower()
+
+
+def grams(cores: list[str], lexicon: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Weight rows of the words' features, and the word that each belongs to. Words without a core have none.
+
+    The features are the 2- to 4-grams of the UTF-8 bytes between two marks, so that the first and last ones are affixes, and
+    the word itself if it is in the lexicon. All words are hashed at once.
+    """
+    raw = [b"\x02" + c.encode() + b"\x03" if c else b"" for c in cores]
+    data = np.frombuffer(b"".join(raw), np.uint8).astype(np.uint64) + np.uint64(1)
+    owner = np.repeat(np.arange(len(raw)), [len(r) for r in raw])
+    rows, owners = [], []
+    code = data
+    for n in (2, 3, 4):
+        code = code[: len(data) - n + 1] * np.uint64(257) + data[n - 1 :] if len(data) >= n else data[:0]
+        inside = owner[: len(code)] == owner[n - 1 :][: len(code)]
+        rows.append(((code[inside] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - TABLE_BITS)).astype(np.int64))
+        owners.append(owner[: len(code)][inside])
+    known = [(k, TABLE + lexicon[c]) for k, c in enumerate(cores) if c in lexicon]
+    rows.append(np.array([r for _, r in known], np.int64))
+    owners.append(np.array([k for k, _ in known], np.int64))
+    return np.concatenate(rows), np.concatenate(owners)
 
 
 def forward_backward(scores: np.ndarray, transition: np.ndarray, lengths: list[int]) -> np.ndarray:
@@ -115,21 +134,47 @@ def forward_backward(scores: np.ndarray, transition: np.ndarray, lengths: list[i
 
 
 class Model:
-    """Labels, feature weights (TABLE x labels), transitions and the lexicon."""
+    """Labels, feature weights (rows by labels), transitions and the lexicon (word to row)."""
 
-    def __init__(self, labels: list[str], weights: np.ndarray, transition: np.ndarray, lexicon: set[str]):
+    def __init__(self, labels: list[str], weights: np.ndarray, transition: np.ndarray, lexicon: dict[str, int]):
         self.labels, self.weights, self.transition, self.lexicon = labels, weights, transition, lexicon
 
-    def scores(self, word: str) -> np.ndarray:
-        f = features(word, self.lexicon)
-        return self.weights[f].sum(axis=0) if f else np.zeros(len(self.labels), np.float32)
+    def scores(self, cores: list[str]) -> np.ndarray:
+        """The sums of the words' feature weights: words by labels."""
+        rows, owners = grams(cores, self.lexicon)
+        w = self.weights[rows]
+        return np.stack([np.bincount(owners, w[:, k], len(cores)) for k in range(len(self.labels))], axis=1)
+
+
+class WordTable:
+    """Scores of the words seen of late, by number."""
+
+    def __init__(self, model: Model):
+        self.model = model
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict[str, int] = {}
+        self.scores = np.zeros((0, len(self.model.labels)))
+        self.lettered = np.zeros(0, bool)
+
+    def numbers(self, words: list[str]) -> np.ndarray:
+        if len(self.number) > CACHE_WORDS:
+            self.clear()
+        number = self.number
+        new = [w for w in dict.fromkeys(words) if w not in number]
+        if new:
+            number.update(zip(new, range(len(number), len(number) + len(new)), strict=True))
+            self.scores = np.concatenate([self.scores, self.model.scores([core(w) for w in new])])
+            self.lettered = np.concatenate([self.lettered, [LETTER.search(w) is not None for w in new]])
+        return np.fromiter(map(number.__getitem__, words), np.int64, len(words))
 
 
 def train(rows: list[tuple[str, str]], seed: int = 7) -> Model:
     """Fits the model to (text, label) rows by gradient steps on the sequences' log-likelihood."""
     labels = sorted({y for _, y in rows})
-    counts = Counter(EDGE.sub("", w).lower() for t, _ in rows for w in t.split())
-    lexicon = {w for w, n in counts.items() if n > 1 and w}
+    counts = Counter(core(w) for t, _ in rows for w in t.split())
+    lexicon = {w: k for k, w in enumerate(sorted(w for w, n in counts.items() if n > 1 and w))}
     rng = np.random.default_rng(seed)
     stretches = []
     for text, y in rows:
@@ -139,8 +184,7 @@ def train(rows: list[tuple[str, str]], seed: int = 7) -> Model:
             stretches.append((words[at : at + size], labels.index(y)))
             at += size
     m = len(labels)
-    model = Model(labels, np.zeros((TABLE, m), np.float32), np.zeros((m, m)), lexicon)
-    known: dict[str, np.ndarray] = {}
+    model = Model(labels, np.zeros((TABLE + len(lexicon), m), np.float32), np.zeros((m, m)), lexicon)
     for epoch in range(EPOCHS):
         order, k = rng.permutation(len(stretches)), 0
         while k < len(order):
@@ -158,21 +202,17 @@ def train(rows: list[tuple[str, str]], seed: int = 7) -> Model:
                     size += len(s)
                     k += 1
                 lengths.append(size)
-            for w in words:
-                if w not in known:
-                    known[w] = np.array(features(w, lexicon), dtype=np.int64)
             distinct = {w: i for i, w in enumerate(dict.fromkeys(words))}
             ids = np.array([distinct[w] for w in words])
-            feats = [known[w] for w in distinct]
-            scores = np.array([model.weights[f].sum(axis=0) for f in feats])
+            feats, owners = grams([core(w) for w in distinct], lexicon)
+            weights = model.weights[feats]
+            scores = np.stack([np.bincount(owners, weights[:, c], len(distinct)) for c in range(m)], axis=1)
             p = forward_backward(scores[ids], model.transition, lengths)
             y = np.eye(m)[gold]
-            by_word = np.zeros((len(distinct), m))
-            np.add.at(by_word, ids, y - p)
-            sizes = np.array([len(f) for f in feats])
+            by_word = np.stack([np.bincount(ids, (y - p)[:, c], len(distinct)) for c in range(m)], axis=1)
+            sizes = np.maximum(np.bincount(owners, minlength=len(distinct)), 1)
             rate = RATE / (1 + epoch)
-            step = np.repeat(np.clip(by_word, -5, 5) / np.maximum(sizes, 1)[:, None], sizes, axis=0)
-            np.add.at(model.weights, np.concatenate(feats), rate * step)
+            np.add.at(model.weights, feats, rate * (np.clip(by_word, -5, 5) / sizes[:, None])[owners])
             inner = np.ones(len(words) - 1, bool)
             inner[np.cumsum(lengths)[:-1] - 1] = False
             expected = np.einsum("ni,nj->ij", p[:-1][inner], p[1:][inner])
@@ -194,51 +234,59 @@ def training_rows(docs: DataFrame, may_learn: Column, per_label: int = TRAIN_DOC
     return [(t, lang) for lang, found in sorted(by_label.items()) for _, t in sorted(found)[:per_label]]
 
 
-def labelled_words(words: list[list[str]], model: Model, cache: dict[str, np.ndarray]) -> list[np.ndarray]:
-    """Probabilities of the labels for the words of each sequence."""
-    flat = [w for x in words for w in x]
-    if len(cache) > CACHE_WORDS:
-        cache.clear()
-    for w in set(flat):
-        if w not in cache:
-            cache[w] = model.scores(w)
-    lengths = [len(x) for x in words]
-    scores = np.array([cache[w] for w in flat], dtype=np.float64).reshape(len(flat), len(model.labels))
-    p = forward_backward(scores, model.transition, lengths)
-    return np.split(p, np.cumsum(lengths)[:-1])
+def labelled_words(words: list[list[str]], table: WordTable) -> tuple[np.ndarray, np.ndarray]:
+    """Probabilities of the labels for the words of all sequences end to end, and which words have a letter."""
+    numbers = table.numbers([w for x in words for w in x])
+    return forward_backward(table.scores[numbers], table.model.transition, [len(x) for x in words]), table.lettered[numbers]
 
 
 def predictor(docs: DataFrame, may_learn: Column):
-    """Trains on docs and gives a function of (texts) to (lang_pred, score) for use in tasks."""
+    """Trains on docs and gives a function of texts to (lang_pred, score) for use in tasks."""
     rows = training_rows(docs, may_learn)
     model = docs.sparkSession.sparkContext.broadcast(train(rows) if rows else None)  # of fixed size
 
-    def predict(texts: list[str | None], cache: dict[str, np.ndarray]) -> list[tuple[str, float]]:
+    def predict(texts: list[str | None]) -> list[tuple[str, float]]:
         out = [(UNDETERMINED, 0.0)] * len(texts)
-        for at in range(0, len(texts), 200):
-            some = [k for k in range(at, min(at + 200, len(texts))) if model.value and texts[k] and LETTER.search(texts[k])]
-            words = [texts[k].split() for k in some]
+        if model.value is None:
+            return out
+        table = word_table(model)
+        for at in range(0, len(texts), BATCH):
+            some = [k for k in range(at, min(at + BATCH, len(texts))) if texts[k] and LETTER.search(texts[k])]
             if not some:
                 continue
-            for k, w, p in zip(some, words, labelled_words(words, model.value, cache), strict=True):
-                lettered = np.array([LETTER.search(x) is not None for x in w])
-                mean = p[lettered].mean(axis=0)
-                best = int(mean.argmax())
-                out[k] = (model.value.labels[best], float(min(1.0, mean[best])))
+            words = [texts[k].split() for k in some]
+            p, lettered = labelled_words(words, table)
+            owner = np.repeat(np.arange(len(some)), [len(w) for w in words])[lettered]
+            n = np.bincount(owner, minlength=len(some))
+            mean = np.stack([np.bincount(owner, c, len(some)) for c in p[lettered].T], axis=1) / n[:, None]
+            for k, row in zip(some, mean, strict=True):
+                best = int(row.argmax())
+                out[k] = (model.value.labels[best], float(min(1.0, row[best])))
         return out
 
     return predict
 
 
+_TABLES: dict[int, WordTable] = {}
+
+
+def word_table(model: Broadcast) -> WordTable:
+    """The worker's table for a model; it lasts over the worker's tasks."""
+    key = id(model.value)
+    if key not in _TABLES or _TABLES[key].model is not model.value:
+        _TABLES.clear()
+        _TABLES[key] = WordTable(model.value)
+    return _TABLES[key]
+
+
 def identify(docs: DataFrame, may_learn: Column) -> DataFrame:
     """doc_id, lang_pred, score of each row of docs (doc_id, text, lang); lang is read only where may_learn holds."""
     ship(docs.sparkSession)
     predict = predictor(docs, may_learn)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache: dict[str, np.ndarray] = {}
         for pdf in batches:
-            found = predict(list(pdf["text"]), cache)
+            found = predict(list(pdf["text"]))
             yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "lang_pred": [x for x, _ in found], "score": [s for _, s in found]})
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, lang_pred string, score double")
@@ -250,7 +298,7 @@ def keep_known(docs: DataFrame, may_learn: Column, least: float = 0.5) -> DataFr
     predict = predictor(docs, may_learn)
 
     def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([lang != UNDETERMINED and score >= least for lang, score in predict(list(texts), {})], dtype=bool)
+        return pd.Series([lang != UNDETERMINED and score >= least for lang, score in predict(list(texts))], dtype=bool)
 
     return docs.where(F.pandas_udf(run, "boolean")(F.col("text")))
 
