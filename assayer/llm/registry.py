@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from assayer.llm import chat, language, licenses, matroska, near_dedup, packing, quality_classifier, quality_rules, substring_dedup
+from assayer.llm import chat, language, licenses, matroska, near_dedup, packing, pieces, quality_classifier, quality_rules, substring_dedup
 
 QUERIES = {
+    "op1_sentencepiece": pieces.op1_sentencepiece,
     "op2_packing": packing.op2_packing,
     "op3_quality_rules": quality_rules.op3_quality_rules,
     "op4_substring_dedup": substring_dedup.op4_substring_dedup,
