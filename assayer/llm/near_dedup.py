@@ -67,18 +67,24 @@ def shingle_set(text: str | None, width: int) -> np.ndarray:
 
 
 def signer(bands: int, rows: int, seed: int = 20):
-    """Band keys of a set: minima of universal (multiply-add-shift) hash functions, hashed band by band."""
+    """Band keys of a set: minima of universal (multiply-add) hash functions of 32 bits, hashed band by band."""
     rng = np.random.default_rng(seed)
-    a = rng.integers(0, 2**63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    b = rng.integers(0, 2**63, bands * rows, dtype=np.uint64)
+    n = bands * rows
+    a = rng.integers(0, 2**31, (n, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+    b = rng.integers(0, 2**32, (n, 1), dtype=np.uint32)
     salt = mixed(np.arange(1, bands + 1, dtype=np.uint64) * MIX)
+    room = np.empty((n, 1024), np.uint32)
 
     def sign(items: np.ndarray) -> np.ndarray:
-        low = np.full(bands * rows, ~np.uint64(0), np.uint64)
-        for at in range(0, len(items), 4096):
-            part = mixed(items[at : at + 4096])
-            low = np.minimum(low, ((a[:, None] * part[None, :] + b[:, None]) >> np.uint64(24)).min(axis=1))
-        low = low.reshape(bands, rows)
+        low = np.full(n, ~np.uint32(0), np.uint32)
+        short = (mixed(items) >> np.uint64(32)).astype(np.uint32)
+        for at in range(0, len(short), room.shape[1]):
+            part = short[at : at + room.shape[1]]
+            values = room[:, : len(part)]
+            np.multiply(a, part, out=values)
+            np.add(values, b, out=values)
+            np.minimum(low, values.min(axis=1), out=low)
+        low = low.astype(np.uint64).reshape(bands, rows)
         key = salt.copy()
         for k in range(rows):
             key = mixed(key * MIX + low[:, k])
