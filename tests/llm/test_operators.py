@@ -238,6 +238,19 @@ def test_near_copies_of_a_passage_are_found():
     assert [x[:4] for x in found] == [(100, 220, 40, 160)] and 0.8 <= found[0][4] < 1
 
 
+def test_passages_beside_a_hot_line_are_found(spark):
+    rng = np.random.default_rng(12)
+    hot = [f"hot{k}" for k in range(45)]
+    other = lambda n: [f"o{k}" for k in rng.integers(0, 2**40, n)]
+    rows = [other(60) + hot + other(60) for _ in range(12)]
+    for _ in range(40):
+        own = other(5)
+        rows += [other(60) + hot + own + other(60) for _ in range(2)]
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(rows)], "doc_id long, text string")
+    found = {(r["doc_id"], r["of_doc_id"]) for r in substring_dedup.duplicate_passages(docs).collect() if r["first_word"] == 60 and r["last_word"] == 109}
+    assert found == {(k + 1, k) for k in range(12, 92, 2)}
+
+
 def test_quality_classifier_on_held_out_rows(spark):
     rng = np.random.default_rng(2)
     words = [f"w{k}" for k in range(400)]
