@@ -238,6 +238,24 @@ def test_near_copies_of_a_passage_are_found():
     assert [x[:4] for x in found] == [(100, 220, 40, 160)] and 0.8 <= found[0][4] < 1
 
 
+def test_good_passages_next_to_loosely_similar_text_and_around_long_edits():
+    rng = np.random.default_rng(14)
+    own = lambda n: rng.integers(0, 2**60, n).astype(np.uint64)
+    side, join = substring_dedup.Side, np.concatenate
+    a = join([own(40), own(121), own(40)])
+    b = a.copy()
+    b[:40], b[161:], b[70] = own(40), own(40), 1
+    b[101:161:6] = own(10)  # every sixth word differs after 61 with one edit
+    for seed in ((45, 45), (80, 80)):
+        f, t, g, u, s = substring_dedup.passages(side(a), side(b), [seed], 50, 80)[0]
+        assert (f, g) == (40, 40) and t == u >= 101 and s >= 0.8
+    left, right = own(40), own(40)
+    a, b = join([own(30), left, right, own(30)]), join([own(20), left, own(7), right, own(20)])
+    for seed in ((35, 25), (75, 72)):
+        found = substring_dedup.passages(side(a), side(b), [seed], 50, 80)
+        assert [x[:4] for x in found] == [(30, 110, 20, 107)] and found[0][4] >= 0.8
+
+
 def test_passages_beside_a_hot_line_are_found(spark):
     rng = np.random.default_rng(12)
     hot = [f"hot{k}" for k in range(45)]
