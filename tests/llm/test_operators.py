@@ -256,6 +256,14 @@ def test_good_passages_next_to_loosely_similar_text_and_around_long_edits():
         assert [x[:4] for x in found] == [(30, 110, 20, 107)] and found[0][4] >= 0.8
 
 
+def test_every_place_of_a_key_gets_a_seed_against_another_batch(spark):
+    one, two = (1, np.array([7]), np.array([3])), (2, np.array([7] * 4), np.array([10, 90, 150, 300]))
+    for batches in ([[one], [two]], [[one, two]]):
+        met = [r for found in batches for r in substring_dedup._met(found).to_pylist()]
+        pairs = substring_dedup.linked(spark.createDataFrame(met, substring_dedup.MET)).collect()
+        assert [(r["a"], r["b"], sorted(x >> 32 for x in r["seeds"])) for r in pairs] == [(2, 1, [10, 90, 150, 300])]
+
+
 def test_passages_beside_a_hot_line_are_found(spark):
     rng = np.random.default_rng(12)
     hot = [f"hot{k}" for k in range(45)]
