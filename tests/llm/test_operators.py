@@ -264,6 +264,18 @@ def test_every_place_of_a_key_gets_a_seed_against_another_batch(spark):
         assert [(r["a"], r["b"], sorted(x >> 32 for x in r["seeds"])) for r in pairs] == [(2, 1, [10, 90, 150, 300])]
 
 
+def test_no_near_copy_is_missed(spark):
+    rng = np.random.default_rng(16)
+    other = lambda n: [f"o{k}" for k in rng.integers(0, 2**40, n)]
+    rows = []
+    for _ in range(600):
+        one = other(51)
+        rows += [other(40) + one + other(40), other(40) + one[:25] + other(1) + one[26:] + other(40)]
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(rows)], "doc_id long, text string")
+    found = {(r["doc_id"], r["of_doc_id"]) for r in substring_dedup.duplicate_passages(docs).collect()}
+    assert found == {(k + 1, k) for k in range(0, 1200, 2)}
+
+
 def test_passages_beside_a_hot_line_are_found(spark):
     rng = np.random.default_rng(12)
     hot = [f"hot{k}" for k in range(45)]
