@@ -5,46 +5,78 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
+from collections.abc import Callable, Iterable, Iterator
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-_SHIPPED: set[str] = set()
+from assayer.shipping import ship
 
+__all__ = ["crc_mod", "held", "lower_ascii", "map_lists", "read", "shared_dir", "ship", "tokenizer_path", "written"]
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per application, so that Python workers can import it anywhere."""
-    sc = spark.sparkContext
-    if sc.applicationId in _SHIPPED:
-        return
-    root = Path(__file__).resolve().parents[2]
-    target = Path(tempfile.mkdtemp()) / "assayer_llm.zip"
-    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
-        for path in [root / "assayer" / "__init__.py", *sorted((root / "assayer" / "llm").glob("*.py"))]:
-            z.write(path, str(path.relative_to(root)))
-    sc.addPyFile(str(target))
-    _SHIPPED.add(sc.applicationId)
+#: Rows of an Arrow batch that are turned into Python values at once.
+SLICE_ROWS = 500
+_HELD: dict[tuple, Any] = {}
+
+
+def held(key: tuple, make: Callable[[], Any]) -> Any:
+    """A value that a Python worker keeps over its tasks: one at a time, so that asking for another drops it."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def map_lists(df: DataFrame, run: Callable[[Iterator[dict[str, list]]], Iterable[dict]], schema: str, holds: bool = False) -> DataFrame:
+    """mapInArrow with plain lists by column in and lists or arrays by column out.
+
+    64-bit ids beside nulls stay exact, as nothing passes through floats. What a worker holds of another operator is dropped
+    unless run holds something itself.
+    """
+    ship(df.sparkSession)
+    target = to_arrow_schema(StructType.fromDDL(schema))
+
+    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(at, SLICE_ROWS)
+                yield {name: column.to_pylist() for name, column in zip(part.schema.names, part.columns, strict=True)}
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not holds:
+            _HELD.clear()
+        for out in run(slices(batches)):
+            yield pa.RecordBatch.from_pydict(out, schema=target)
+
+    return df.mapInArrow(over, schema)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local master gets a temporary one where it is unset."""
     where = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
     if not where:
-        known = spark.sparkContext._jsc.sc().getCheckpointDir()
+        known = sc._jsc.sc().getCheckpointDir()
         where = known.get() if known.isDefined() else None
     if not where:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is not set: it must name a folder that driver and executors share")
         where = f"file://{tempfile.mkdtemp(prefix='assayer-')}"
-        spark.sparkContext.setCheckpointDir(where)
+        sc.setCheckpointDir(where)
     return where
 
 
 def written(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write df as Parquet into the shared folder and read it again."""
+    """Cut the lineage: write df as Parquet into the shared folder and read it again. The files go when the application ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/assayer-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
     return spark.read.schema(df.schema).parquet(path)
 
 

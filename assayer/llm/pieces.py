@@ -1,42 +1,51 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
-Texts are cut into units (a run of spaces with the letters or the other characters after it) at places that no piece spans.
-Each distinct unit of the corpus is encoded once: its substrings of at most the longest piece's length are exploded and
-joined with the piece table, the edges are grouped by unit, and a Spark higher-order aggregate folds them into a path. For a
-unigram model that fold is Viterbi: the path of the largest sum of scores. For a BPE model it merges, step by step, the
-neighbours whose joint edge has the best score, the leftmost among equals, because the largest sum of scores is not what such
-a model means. A character that no piece covers becomes its UTF-8 bytes' pieces, or the unknown piece if there are none.
+Texts are cut into units (a run of spaces with the letters or the other characters after it) at places that no piece spans;
+units longer than FOLDED characters are cut further wherever two neighbours stand in no piece together. Each distinct unit of
+the corpus is encoded once: its substrings of at most the longest piece's length are exploded and joined with the piece table,
+the edges are grouped by unit, and a Spark higher-order aggregate folds them into a path. For a unigram model that fold is
+Viterbi: the path of the largest sum of scores. For a BPE model it merges, step by step, the neighbours whose joint edge has
+the best score, the leftmost among equals, because the largest sum of scores is not what such a model means; its state is the
+set of borders that are left, as bits. A character that no piece covers becomes its UTF-8
+bytes' pieces, or the unknown piece if there are none. Units that are still longer than FOLDED (a run of letters without any
+break) are folded where they stand, by the same rules with a heap or a table, in time that grows with their length.
 
 Units go back to the documents in two exact ways. The units that occur most (FREQUENT at most, so of bounded size) are sent
-to all tasks and looked up while the texts are cut again; the others meet their ids in a join on the unit. A document's ids
-are those of its rows in the order of first_unit. Decoding joins ids with the piece table and concatenates the pieces' bytes.
+to all tasks and looked up while the texts are cut again; the others meet their ids in a join on the unit. Each row of the
+input has a number, so that rows with equal doc_id, or none, stay apart; `whole` puts a row's stretches together in order.
+Decoding gives the pieces' bytes for the ids, from a table that is as large as the vocabulary.
 
-Null and empty texts have no ids and no row of ids. Repeated rows are encoded each on its own; other columns are ignored.
+Null and empty texts have no ids: a row with n_ids 0. Repeated rows are encoded each on its own; other columns are ignored;
+an empty table gives no row.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm.common import read, ship, tokenizer_path, written
+from assayer.llm.common import map_lists, read, tokenizer_path, written
 
 VOCABULARY = "piece_bpe_32k.model"
 SPACE = "▁"
-FREQUENT = 500_000
+FREQUENT = 250_000
+#: Characters up to which a unit is folded by Spark: its borders are bits of a number.
+FOLDED = 62
 #: Distinct units that a task counts before it passes the counts on.
-LOCAL_UNITS = 300_000
+LOCAL_UNITS = 200_000
 #: Pieces up to which the piece table is broadcast; a row takes about 40 bytes.
 BROADCAST_PIECES = 1_000_000
-LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
 SIGNS = r"\x00-@\[-`{-\x7f"
 #: A run of Latin letters or of ASCII's other characters, if no further kind follows; else all up to the next space.
 FINE = rf"{SPACE}*(?:[{LATIN}]++(?![^\x00-\x7f{LATIN}{SPACE}])|[{SIGNS}]++(?![^\x00-\x7f{LATIN}{SPACE}])|[^{SPACE}]+)|{SPACE}+"
@@ -56,7 +65,7 @@ class Vocabulary:
     all_pieces: tuple[str, ...]
     byte_ids: frozenset
 
-    @property
+    @cached_property
     def pattern(self) -> str:
         """Where texts may be cut: between letters and signs if no piece has such a border inside, else before spaces only."""
         inside = [p.lstrip(SPACE) for p, _, _ in self.pieces]
@@ -64,6 +73,40 @@ class Vocabulary:
             raise ValueError("a piece has a space after another character")
         return COARSE if any(BORDER.search(p) for p in inside) else FINE
 
+    @cached_property
+    def joined(self) -> frozenset[str]:
+        """All pairs of neighbours inside of pieces: nothing spans a border between two other characters."""
+        return frozenset(p[k : k + 2] for p, _, _ in self.pieces for k in range(len(p) - 1))
+
+    @cached_property
+    def longest(self) -> int:
+        return max(len(p) for p, _, _ in self.pieces)
+
+    @cached_property
+    def cutter(self) -> Cutter:
+        return Cutter(self.pattern, self.dummy_prefix, self.joined)
+
+
+@dataclass(frozen=True)
+class Cutter:
+    """Cuts texts into units."""
+
+    pattern: str
+    dummy_prefix: bool
+    joined: frozenset[str]
+
+    def units(self, text: str | None) -> list[str]:
+        if not text:
+            return []
+        found = re.findall(self.pattern, (SPACE if self.dummy_prefix else "") + text.replace(" ", SPACE))
+        if max(map(len, found)) <= FOLDED:
+            return found
+        return [part for unit in found for part in (self.parts(unit) if len(unit) > FOLDED else (unit,))]
+
+    def parts(self, unit: str) -> list[str]:
+        at = [0, *(k for k in range(1, len(unit)) if unit[k - 1 : k + 1] not in self.joined), len(unit)]
+        return [unit[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+
 
 def vocabulary(path: str | None = None) -> Vocabulary:
     """Reads a model file. Only identity normalisation is supported; others raise."""
@@ -85,116 +128,109 @@ def vocabulary(path: str | None = None) -> Vocabulary:
     )
 
 
-def units(text: str | None, pattern: re.Pattern, dummy_prefix: bool) -> list[str]:
-    if not text:
-        return []
-    return pattern.findall((SPACE if dummy_prefix else "") + text.replace(" ", SPACE))
+def unigram_reading(voc: Vocabulary) -> Vocabulary:
+    """The same pieces as a unigram model: the k-th best gets the score -2 - k ** 0.25, single characters without a rank -40."""
+    scored = [(p, k, -2.0 - (-s) ** 0.25 if s > -1e8 else -40.0) for p, k, s in voc.pieces]
+    return replace(voc, pieces=tuple(scored), bpe=False)
 
 
 def distinct_units(docs: DataFrame, voc: Vocabulary) -> DataFrame:
-    """unit, n of all texts: counted in each task first."""
-    text, prefix = voc.pattern, voc.dummy_prefix
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pattern, seen = re.compile(text), Counter()
-        for pdf in batches:
-            for t in pdf["text"]:
-                seen.update(units(t, pattern, prefix))
+    """unit, n of all texts' units of up to FOLDED characters: counted in each task first."""
+    cutter = voc.cutter
+
+    def run(batches: Iterator[dict]) -> Iterator[dict]:
+        seen: Counter = Counter()
+        for x in batches:
+            for t in x["text"]:
+                seen.update(cutter.units(t))
             if len(seen) > LOCAL_UNITS:
-                yield _counted(seen)
-                seen = Counter()
-        yield _counted(seen)
-
-    return docs.select("text").mapInPandas(run, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
+                yield counted(seen)
+                seen.clear()
+        yield counted(seen)
 
+    def counted(seen: Counter) -> dict:
+        short = [u for u in seen if len(u) <= FOLDED]
+        return {"unit": short, "n": [seen[u] for u in short]}
 
-def _counted(seen: Counter) -> pd.DataFrame:
-    return pd.DataFrame({"unit": pd.Series(list(seen), dtype=object), "n": pd.Series(list(seen.values()), dtype="int64")})
+    return map_lists(docs.select("text"), run, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
 
 
 def piece_table(spark: SparkSession, voc: Vocabulary) -> DataFrame:
-    """piece, id, score; the empty piece stands for the unit itself, so that a unit without any piece keeps its row."""
-    rows = [("", -1, 0.0), *voc.pieces]
-    table = spark.createDataFrame(pd.DataFrame(rows, columns=["piece", "id", "score"]), "piece string, id int, score double")
+    """piece, id, cost and rank (by cost); the empty piece stands for the unit itself, so that a unit without any piece keeps its row."""
+    costs = {c: k for k, c in enumerate(sorted({-s for _, _, s in voc.pieces}))}
+    rows = [("", 0, 0.0, 0), *((p, k, -s, costs[-s]) for p, k, s in voc.pieces)]
+    table = spark.createDataFrame(pd.DataFrame(rows, columns=["piece", "id", "cost", "rank"]), "piece string, id int, cost double, rank int")
     return F.broadcast(table) if len(rows) <= BROADCAST_PIECES else table
 
 
 def lattice(found: DataFrame, voc: Vocabulary) -> DataFrame:
-    """unit, n, edges: a map from start * width + end to (score, id) of every piece in the unit."""
-    longest = max(len(p) for p, _, _ in voc.pieces)
-    size = F.length("unit")
-
-    def at(start: Column) -> Column:
-        return F.transform(
-            F.sequence(F.lit(1), F.least(F.lit(longest), size - start)),
-            lambda k: F.struct(start.alias("s"), (start + k).alias("e"), F.substr(F.col("unit"), start + 1, k).alias("piece")),
-        )
-
-    parts = F.flatten(F.transform(F.sequence(F.lit(0), size - 1), at))
-    whole = F.array(F.struct(F.lit(-1).alias("s"), F.lit(-1).alias("e"), F.lit("").alias("piece")))
-    cut = found.select("unit", "n", F.explode(F.concat(whole, parts)).alias("x")).select("unit", "n", "x.*")
-    met = cut.join(piece_table(found.sparkSession, voc), "piece")
-    edge = F.struct((F.col("s").cast("long") * (1 << 24) + F.col("e")).alias("key"), F.struct("score", "id").alias("v"))
-    return met.groupBy("unit").agg(F.first("n").alias("n"), F.map_from_entries(F.collect_list(edge)).alias("edges"))
-
+    """unit, n, edges of every unit: its pieces, from character s to before e, the cheapest and leftmost first.
 
-def _key(s: Column, e: Column) -> Column:
-    return s.cast("long") * (1 << 24) + e
+    For BPE an edge is rank, s, borders (bits s to e) and id; for Viterbi cost, s, e and id. The place after a unit's last
+    character stands for the empty piece.
+    """
+    size, start = F.length("unit"), F.col("s")
+    places = found.select("unit", "n", F.explode(F.sequence(F.lit(0), size)).alias("s"))
+    places = places.withColumn("tail", F.substr(F.col("unit"), start + 1, F.lit(voc.longest)))
+    lengths = F.sequence(F.when(start < size, F.lit(1)).otherwise(F.lit(0)), F.length("tail"))
+    cut = places.select("unit", "n", "s", "tail", F.explode(lengths).alias("k"))
+    met = cut.select("unit", "n", "s", "k", F.substr(F.col("tail"), F.lit(1), F.col("k")).alias("piece")).join(piece_table(found.sparkSession, voc), "piece")
+    if voc.bpe:
+        bits = F.call_function("shiftleft", F.call_function("shiftleft", F.lit(2).cast("long"), F.col("k")) - 1, start)
+        edge = F.struct("rank", "s", bits.alias("borders"), "id")
+    else:
+        edge = F.struct("cost", "s", (start + F.col("k")).alias("e"), "id")
+    return met.groupBy("unit").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(edge)).alias("edges"))
 
 
-def merge_path() -> Column:
-    """Borders of the segments that BPE leaves."""
-    edges = F.col("edges")
+def _beside(bits: Column) -> Column:
+    """The bits next to those set."""
+    return F.shiftleft(bits, 1).bitwiseOR(F.shiftrightunsigned(bits, 1))
 
-    def step(b: Column, _: Column) -> Column:
-        pairs = F.transform(
-            F.slice(b, 3, F.greatest(F.size(b) - 2, F.lit(0))),
-            lambda end, k: F.struct((-edges[_key(b[k], end)]["score"]).alias("cost"), k.alias("k")),
-        )
-        best = F.array_min(F.filter(pairs, lambda p: p["cost"].isNotNull()))
 
-        def merged(x: Column) -> Column:  # x is the best pair, computed once
-            return F.when(x.isNull(), b).otherwise(F.concat(F.slice(b, F.lit(1), x["k"] + 1), F.slice(b, x["k"] + 3, F.size(b))))
+def _inside(bits: Column) -> Column:
+    """A run of bits without its ends."""
+    return bits.bitwiseAND(F.shiftleft(bits, 1)).bitwiseAND(F.shiftrightunsigned(bits, 1))
 
-        return F.transform(F.array(best), merged)[0]
 
-    borders = F.sequence(F.lit(0), F.length("unit"))
-    return F.aggregate(F.sequence(F.lit(1), F.length("unit")), borders, step)
+def merge_fold() -> Column:
+    """Borders of the segments that BPE leaves, as bits, all bits above the last border included.
 
+    An edge of which both ends and one border inside are left joins two segments; the best such edge takes that border away.
+    The highest bit goes when there is none.
+    """
+    wide = F.transform(F.filter("edges", lambda x: F.bit_count(x["borders"]) > 2), lambda x: _inside(x["borders"]))
 
-def viterbi_path(longest: int, least_score: float) -> Column:
-    """Borders of the segments of the largest sum of scores; a character without a piece costs 10 more than the worst piece."""
-    edges = F.col("edges")
-    none = least_score - 10.0
+    def step(left: Column, _: Column) -> Column:
+        ready = F.filter(F.col("wide"), lambda p: (F.bit_count(p.bitwiseAND(left)) == 1) & (_beside(p).bitwiseAND(F.bitwise_not(p.bitwiseOR(left))) == 0))
+        after = F.get(F.transform(F.slice(ready, 1, 1), lambda p: left - p.bitwiseAND(left)), 0)
+        return F.when(left >= 0, left).otherwise(F.coalesce(after, left.bitwiseAND((1 << 63) - 1)))
 
-    def step(best: Column, end: Column) -> Column:
-        def via(start: Column) -> Column:
-            score = edges[_key(start, end)]["score"]
-            own = F.when(score.isNotNull(), score).when(start == end - 1, F.lit(none))
-            return F.struct((best[start]["total"] + own).alias("total"), start.alias("from"))
+    return wide, lambda: F.aggregate(F.sequence(F.lit(1), F.length("unit")), F.lit(-1).cast("long"), step)
 
-        ways = F.filter(F.transform(F.sequence(F.greatest(end - longest, F.lit(0)), end - 1), via), lambda x: x["total"].isNotNull())
-        return F.concat(best, F.array(F.array_max(ways)))
 
-    first = F.array(F.struct(F.lit(0.0).alias("total"), F.lit(-1).alias("from")))
-    table = F.aggregate(F.sequence(F.lit(1), F.length("unit")), first, step)
+def merged_edges() -> Column:
+    """s and id of the edges that are segments between the borders in `left`, in order."""
+    still = lambda x: x["borders"].bitwiseAND(F.col("left"))
+    chosen = F.filter("edges", lambda x: (F.bit_count(still(x)) == 2) & (still(x) == x["borders"].bitwiseXOR(_inside(x["borders"]))))
+    return F.sort_array(F.transform(chosen, lambda x: F.struct(x["s"].alias("s"), x["id"].alias("id"))))
 
-    def back(path: Column, _: Column) -> Column:
-        return F.when(path[0] == 0, path).otherwise(F.concat(F.array(F.col("table")[path[0]]["from"]), path))
 
-    return table, lambda: F.aggregate(F.sequence(F.lit(1), F.length("unit")), F.array(F.length("unit")), back)
+def merged_ids(voc: Vocabulary) -> Column:
+    """The ids of the segments: those of `chosen`, if these cover the unit."""
+    left, size = F.col("left"), F.length("unit")
+    borders = F.filter(F.sequence(F.lit(0), size), lambda b: F.call_function("shiftrightunsigned", left, b).bitwiseAND(1) == 1)
+    among = F.call_function("shiftleft", F.lit(2).cast("long"), size) - 1
+    covered = F.size("chosen") == F.bit_count(left.bitwiseAND(among)) - 1
+    slow = path_ids(voc, borders, lambda x, s, e: (x["s"] == s) & (F.bit_count(x["borders"]) == e - s + 1))
+    return F.when(covered, F.col("chosen.id")).otherwise(slow)
 
 
-def folded(edges: DataFrame, voc: Vocabulary) -> DataFrame:
-    """unit, n, ids of every unit of a lattice."""
-    if voc.bpe:
-        paths = edges.withColumn("path", merge_path())
-    else:
-        table, back = viterbi_path(max(len(p) for p, _, _ in voc.pieces), min(s for _, _, s in voc.pieces))
-        paths = edges.withColumn("table", table).withColumn("path", back())
+def path_ids(voc: Vocabulary, path: Column, is_edge) -> Column:
+    """The ids of the segments between borders, with byte or unknown pieces where no edge is."""
 
     def ids(start: Column, k: Column) -> Column:
-        end = F.col("path")[k + 1]
+        end = path[k + 1]
         char = F.hex(F.encode(F.substr(F.col("unit"), start + 1, end - start), "UTF-8"))
         if voc.first_byte is None:
             rest = F.array(F.lit(voc.unknown))
@@ -203,11 +239,100 @@ def folded(edges: DataFrame, voc: Vocabulary) -> DataFrame:
                 F.sequence(F.lit(1), F.length(char), F.lit(2)),
                 lambda i: F.conv(F.substr(char, i, F.lit(2)), 16, 10).cast("int") + voc.first_byte,
             )
-        hit = F.col("edges")[_key(start, end)]["id"]
-        return F.when(hit.isNotNull(), F.array(hit)).otherwise(rest)
+        hit = F.transform(F.filter("edges", lambda x: is_edge(x, start, end)), lambda x: F.array(x["id"]))
+        return F.coalesce(F.get(hit, 0), rest)
+
+    return F.flatten(F.transform(F.slice(path, F.lit(1), F.size(path) - 1), ids))
 
-    starts = F.slice("path", F.lit(1), F.size("path") - 1)
-    return paths.select("unit", "n", F.flatten(F.transform(starts, ids)).alias("ids"))
+
+def viterbi_table(least_score: float) -> Column:
+    """total and from of the best path to each border; a character without a piece costs 10 more than the worst piece."""
+
+    def step(best: Column, end: Column) -> Column:
+        ending = F.filter("edges", lambda x: (x["e"] == end) & (x["s"] < end))
+        ways = F.transform(ending, lambda x: F.struct((best[x["s"]]["total"] - x["cost"]).alias("total"), x["s"].alias("from")))
+        own = F.struct((best[end - 1]["total"] + least_score - 10.0).alias("total"), (end - 1).alias("from"))
+        covered = F.exists(ending, lambda x: x["s"] == end - 1)
+        return F.concat(best, F.array(F.array_max(F.when(covered, ways).otherwise(F.concat(ways, F.array(own))))))
+
+    first = F.array(F.struct(F.lit(0.0).alias("total"), F.lit(-1).alias("from")))
+    return F.aggregate(F.sequence(F.lit(1), F.length("unit")), first, step)
+
+
+def viterbi_path() -> Column:
+    """Borders of the segments of the largest sum of scores, from the column `table`."""
+
+    def back(path: Column, _: Column) -> Column:
+        return F.when(path[0] == 0, path).otherwise(F.concat(F.array(F.col("table")[path[0]]["from"]), path))
+
+    return F.aggregate(F.sequence(F.lit(1), F.length("unit")), F.array(F.length("unit")), back)
+
+
+def folded(edges: DataFrame, voc: Vocabulary) -> DataFrame:
+    """unit, n, ids of every unit of a lattice."""
+    if voc.bpe:
+        wide, fold = merge_fold()
+        left = edges.withColumn("wide", wide).withColumn("left", fold())
+        left = left.withColumn("chosen", merged_edges())
+        return left.select("unit", "n", merged_ids(voc).alias("ids"))
+    paths = edges.withColumn("table", viterbi_table(min(s for _, _, s in voc.pieces))).withColumn("path", viterbi_path())
+    return paths.select("unit", "n", path_ids(voc, F.col("path"), lambda x, s, e: (x["s"] == s) & (x["e"] == e)).alias("ids"))
+
+
+class LongUnits:
+    """The ids of one unit of any length, by the same rules as the folds."""
+
+    def __init__(self, voc: Vocabulary):
+        self.voc, self.pieces = voc, {p: (-s, k) for p, k, s in voc.pieces}
+        self.least = min(s for _, _, s in voc.pieces)
+
+    def ids(self, unit: str) -> np.ndarray:
+        path = self.merged(unit) if self.voc.bpe else self.best(unit)
+        out: list[int] = []
+        for a, b in zip(path[:-1], path[1:], strict=True):
+            hit = self.pieces.get(unit[a:b])
+            if hit:
+                out.append(hit[1])
+            elif self.voc.first_byte is None:
+                out.append(self.voc.unknown)
+            else:
+                out += [self.voc.first_byte + x for x in unit[a:b].encode()]
+        return np.array(out, "<u4")
+
+    def merged(self, unit: str) -> list[int]:
+        """Borders that merging leaves: neighbours wait in a heap, the best and leftmost first."""
+        n, heap = len(unit), []
+        after, before, gone = list(range(1, n + 2)), list(range(-1, n + 1)), [False] * (n + 1)
+
+        def push(a: int, b: int) -> None:
+            if 0 <= a and b <= n and b - a <= self.voc.longest and (hit := self.pieces.get(unit[a:b])):
+                heapq.heappush(heap, (hit[0], a, b))
+
+        for k in range(n - 1):
+            push(k, k + 2)
+        while heap:
+            _, s, e = heapq.heappop(heap)
+            m = after[s]
+            if gone[s] or gone[e] or m >= e or after[m] != e:
+                continue
+            gone[m], after[s], before[e] = True, e, s
+            push(before[s], e)
+            push(s, after[e])
+        return [k for k in range(n + 1) if not gone[k]]
+
+    def best(self, unit: str) -> list[int]:
+        """Borders of the path of the largest sum of scores."""
+        n, table = len(unit), [(0.0, -1)]
+        for end in range(1, n + 1):
+            hits = [(s, self.pieces.get(unit[s:end])) for s in range(max(0, end - self.voc.longest), end)]
+            ways = [(table[s][0] - hit[0], s) for s, hit in hits if hit]
+            if not hits[-1][1]:
+                ways.append((table[end - 1][0] + self.least - 10.0, end - 1))
+            table.append(max(ways))
+        path = [n]
+        while path[-1]:
+            path.append(table[path[-1]][1])
+        return path[::-1]
 
 
 def least_count(encoded: DataFrame, most: int) -> int:
@@ -223,89 +348,144 @@ def least_count(encoded: DataFrame, most: int) -> int:
     return least
 
 
-ENCODED = "doc_id long, first_unit int, n_units int, n_ids long, check long, ids binary, unit string"
+class Shown:
+    """The bytes of each id, SPACE as a space; ids outside of the vocabulary count for nothing."""
+
+    def __init__(self, voc: Vocabulary):
+        self.raw = [bytes([int(p[3:5], 16)]) if k in voc.byte_ids else p.replace(SPACE, " ").encode() for k, p in enumerate(voc.all_pieces)]
+
+    def of(self, ids: np.ndarray) -> bytes:
+        raw, n = self.raw, len(self.raw)
+        return b"".join([raw[i] for i in ids.tolist() if 0 <= i < n])
+
+
+ENCODED = "row long, doc_id long, first_unit int, n_units int, n_ids long, ids_crc32 long, round_trip boolean, ids binary, unit string"
+_STRETCH = ("row", "doc_id", "first_unit", "n_units", "n_ids", "ids_crc32", "round_trip", "ids")
 
 
 def encode(docs: DataFrame, voc: Vocabulary | None = None, frequent: int = FREQUENT, with_ids: bool = True) -> DataFrame:
-    """doc_id, first_unit, n_units, n_ids, check and ids (little-endian 32-bit) of each stretch of units of a text.
+    """row (a number for each row of docs), doc_id, first_unit, n_units, n_ids, ids_crc32, round_trip and ids of each stretch of units.
 
-    check is the sum over the units, counted from 1, of their number times the crc32 of their ids.
+    ids are little-endian 32-bit ones, null unless with_ids; round_trip tells whether they decode to the stretch (texts that hold
+    the mark for spaces do not).
     """
     spark = docs.sparkSession
-    ship(spark)
     voc = voc or vocabulary()
     encoded = written(folded(lattice(distinct_units(docs, voc), voc), voc))
     least = least_count(encoded, frequent)
     number: dict[str, int] = {}
     raw = []
-    for unit, ids in encoded.where(F.col("n") >= least).select("unit", F.array_join("ids", " ")).toLocalIterator():  # at most `frequent` rows
-        number[unit] = len(raw)
-        raw.append(np.fromiter(map(int, ids.split()), "<u4").tobytes())
-    crcs, sizes = np.array([zlib.crc32(x) for x in raw], np.int64), np.array([len(x) // 4 for x in raw], np.int64)
-    sent = spark.sparkContext.broadcast((number, crcs, sizes, raw if with_ids else None))
-    text, prefix = voc.pattern, voc.dummy_prefix
-    names = [c.split()[0] for c in ENCODED.split(", ")]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pattern, (number, crc, size, ids) = re.compile(text), sent.value
-        for pdf in batches:
-            out = []
-            for doc, t in zip(pdf["doc_id"], pdf["text"], strict=True):
-                found = units(t, pattern, prefix)
-                if not found:
-                    continue
+    for r in encoded.where(F.col("n") >= least).select("unit", "ids").toLocalIterator():  # at most `frequent` rows
+        number[r["unit"]] = len(raw)
+        raw.append(np.array(r["ids"], "<u4").tobytes())
+    sent, shown, cutter, long = spark.sparkContext.broadcast((number, raw)), Shown(voc), voc.cutter, LongUnits(voc)
+    good = np.array([shown.of(np.frombuffer(x, "<u4")) == u.replace(SPACE, " ").encode() for x, u in zip(raw, number, strict=True)], bool)
+
+    def run(batches: Iterator[dict]) -> Iterator[dict]:
+        number, raw = sent.value
+        for x in batches:
+            out: list[tuple] = []
+            for row, doc, t in zip(x["row"], x["doc_id"], x["text"], strict=True):
+                found, plain = cutter.units(t), not t or SPACE not in t
                 k = np.fromiter((number.get(u, -1) for u in found), np.int64, len(found))
                 rare = np.flatnonzero(k < 0)
-                out += [(doc, int(i), 1, 0, 0, None, found[i]) for i in rare]
-                if ids is None:
-                    at = np.flatnonzero(k >= 0)
-                    out.append((doc, 0, len(at), int(size[k[at]].sum()), int((crc[k[at]] * (at + 1)).sum()), None, None))
-                else:
-                    edges = np.concatenate([[-1], rare, [len(found)]])
-                    for a, b in zip(edges[:-1] + 1, edges[1:], strict=True):
-                        if a < b:
-                            x = k[a:b]
-                            out.append((doc, int(a), int(b - a), int(size[x].sum()), int((crc[x] * np.arange(a + 1, b + 1)).sum()), b"".join([ids[i] for i in x]), None))
-            made = pd.DataFrame(out, columns=names)
-            made["doc_id"] = made["doc_id"].astype("Int64")
-            yield made
-
-    def rest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            raw = [np.asarray(x, dtype="<u4").tobytes() for x in pdf["ids"]]
-            pdf["n_ids"] = [len(x) // 4 for x in raw]
-            pdf["check"] = [zlib.crc32(x) for x in raw]
-            pdf["check"] *= pdf["first_unit"].astype("int64") + 1
-            pdf["ids"] = raw if with_ids else None
-            yield pdf[[*names[:-1]]]
-
-    cut = docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, ENCODED)
-    common = cut.where("unit IS NULL").drop("unit")
-    if encoded.where(F.col("n") < least).isEmpty():
-        return common
-    others = cut.where("unit IS NOT NULL").select("doc_id", "first_unit", "n_units", "unit").join(encoded.where(F.col("n") < least).select("unit", "ids"), "unit")
-    return common.unionByName(others.mapInPandas(rest, ENCODED.removesuffix(", unit string")))
+                for i in rare.tolist():
+                    if len(found[i]) <= FOLDED:
+                        out.append((row, doc, i, 1, 0, 0, plain, None, found[i]))
+                    else:
+                        out.append((row, doc, i, 1, *of_unit(long.ids(found[i]), found[i], plain), None))
+                edges = np.concatenate([[-1], rare, [len(found)]])
+                for a, b in zip(edges[:-1] + 1, edges[1:], strict=True):
+                    if a < b or not found:
+                        ids = b"".join([raw[i] for i in k[a:b].tolist()])
+                        out.append((row, doc, int(a), int(b - a), len(ids) // 4, zlib.crc32(ids), plain and bool(good[k[a:b]].all()), ids if with_ids else None, None))
+            yield {c: list(v) for c, v in zip((*_STRETCH, "unit"), zip(*out, strict=True), strict=True)}
+
+    def of_unit(ids: np.ndarray, unit: str, plain: bool) -> tuple[int, int, bool, bytes | None]:
+        raw = ids.tobytes()
+        return len(ids), zlib.crc32(raw), plain and shown.of(ids) == unit.replace(SPACE, " ").encode(), raw if with_ids else None
+
+    def rest(batches: Iterator[dict]) -> Iterator[dict]:
+        for x in batches:
+            values = [of_unit(np.array(v, "<u4"), u, p) for v, u, p in zip(x.pop("unit_ids"), x.pop("unit"), x["round_trip"], strict=True)]
+            yield x | dict(zip(("n_ids", "ids_crc32", "round_trip", "ids"), zip(*values, strict=True), strict=True))
+
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), "text")
+    cut = written(map_lists(numbered, run, ENCODED))
+    others = cut.where("unit IS NOT NULL").select("row", "doc_id", "first_unit", "n_units", "unit")
+    met = others.join(encoded.where(F.col("n") < least).select("unit", F.col("ids").alias("unit_ids")), "unit")
+    return cut.where("unit IS NULL").drop("unit").unionByName(map_lists(met, rest, ENCODED.removesuffix(", unit string")))
+
+
+def _shift_tables() -> np.ndarray:
+    """Tables, by power of two and by byte of a crc32, of what so many zero bytes after the data make of it."""
+    one = [int(zlib.crc32(b"\0", 1 << k ^ 0xFFFFFFFF) ^ zlib.crc32(b"\0", 0xFFFFFFFF)) for k in range(32)]
+    out = np.zeros((48, 4, 256), np.uint32)
+    now = np.array(one, np.uint32)
+    for power in range(48):
+        for byte in range(4):
+            for value in range(256):
+                for bit in range(8):
+                    if value >> bit & 1:
+                        out[power, byte, value] ^= now[8 * byte + bit]
+        now = _shifted(out[power], now)
+    return out
+
+
+def _shifted(table: np.ndarray, crc: np.ndarray) -> np.ndarray:
+    return table[0][crc & 255] ^ table[1][crc >> 8 & 255] ^ table[2][crc >> 16 & 255] ^ table[3][crc >> 24]
+
+
+def joined_crc32(crcs: np.ndarray, sizes: np.ndarray, tables: np.ndarray) -> int:
+    """The crc32 of byte strings one after another, from those of each and their sizes in bytes."""
+    after = np.cumsum(sizes[::-1])[::-1] - sizes
+    crcs = crcs.astype(np.uint32)
+    for power in range(int(after[0]).bit_length() if len(after) else 0):
+        hit = after >> power & 1 == 1
+        crcs[hit] = _shifted(tables[power], crcs[hit])
+    return int(np.bitwise_xor.reduce(crcs)) if len(crcs) else 0
+
+
+def whole(stretches: DataFrame) -> DataFrame:
+    """row, doc_id, n_units, n_ids, ids_crc32, round_trip and ids of each row of docs, from the rows of encode."""
+    schema = "row long, doc_id long, n_units long, n_ids long, ids_crc32 long, round_trip boolean, ids binary"
+    parts = stretches.groupBy("row", "doc_id").agg(
+        F.sum("n_units").alias("n_units"), F.sum("n_ids").alias("n_ids"), F.bool_and("round_trip").alias("round_trip"),
+        F.array_sort(F.collect_list(F.struct("first_unit", "n_ids", "ids_crc32", "ids"))).alias("parts"),
+    )
+    # two rows of columns by place, so that Python gets arrays, not structs
+    by_place = parts.select("row", "doc_id", "n_units", "n_ids", "round_trip", *[F.col(f"parts.{c}").alias(f"part_{c}") for c in ("n_ids", "ids_crc32", "ids")])
+
+    def run(batches: Iterator[dict]) -> Iterator[dict]:
+        tables = _shift_tables()
+        for x in batches:
+            sizes, crcs, ids = (x.pop(f"part_{c}") for c in ("n_ids", "ids_crc32", "ids"))
+            x["ids_crc32"] = [joined_crc32(np.array(c), 4 * np.array(s), tables) for c, s in zip(crcs, sizes, strict=True)]
+            yield x | {"ids": [None if None in part else b"".join(part) for part in ids]}
+
+    return map_lists(by_place, run, schema)
 
 
 def decode(tokens: DataFrame, voc: Vocabulary | None = None) -> DataFrame:
-    """From key, ids (array): key, text. Ids outside of the vocabulary count for nothing; a key has one row."""
+    """From key, ids (array): key, text of each row. Ids outside of the vocabulary count for nothing; null ids give the empty text."""
     voc = voc or vocabulary()
-    shown = []
-    for k, p in enumerate(voc.all_pieces):
-        raw = bytes([int(p[3:5], 16)]) if k in voc.byte_ids else p.encode()
-        shown.append((k, raw.hex()))
-    table = tokens.sparkSession.createDataFrame(pd.DataFrame(shown, columns=["id", "raw"]), "id int, raw string")
-    parts = tokens.select("key", F.posexplode_outer("ids").alias("at", "id"))
-    met = parts.join(F.broadcast(table) if len(shown) <= BROADCAST_PIECES else table, "id", "left")
-    joined = met.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("at", "raw"))).alias("parts"))
-    raw = F.unhex(F.array_join(F.transform("parts", lambda p: F.coalesce(p["raw"], F.lit(""))), ""))
-    text = F.replace(F.decode(raw, "UTF-8"), F.lit(SPACE), F.lit(" "))
-    if voc.dummy_prefix:
-        text = F.regexp_replace(text, r"\A ", "")
-    return joined.select("key", text.alias("text"))
+    shown, prefix = Shown(voc), voc.dummy_prefix
+
+    def run(batches: Iterator[dict]) -> Iterator[dict]:
+        for x in batches:
+            raw = [shown.of(np.array(ids or [], np.int64)) for ids in x["ids"]]
+            yield {"key": x["key"], "text": [r[prefix and r.startswith(b" ") :].decode("utf-8", "replace") for r in raw]}
+
+    kind = tokens.schema["key"].dataType.simpleString()
+    return map_lists(tokens.select("key", "ids"), run, f"key {kind}, text string")
 
 
 def op1_sentencepiece(spark, sf_dir: str) -> DataFrame:
-    """Per document with text: its units, ids and check."""
-    rows = encode(read(spark, sf_dir, "documents"), with_ids=False)
-    return rows.groupBy("doc_id").agg(F.sum("n_units").alias("n_units"), F.sum("n_ids").alias("n_ids"), F.sum("check").alias("ids_check"))
+    """Per row of documents: its units, ids, the crc32 of its ids (little-endian 32-bit) and whether they decode to its text."""
+    return whole(encode(read(spark, sf_dir, "documents"), with_ids=False)).select("doc_id", "n_units", "n_ids", "ids_crc32", "round_trip")
+
+
+def unigram_pieces(spark, sf_dir: str) -> DataFrame:
+    """The same with Viterbi, over the pieces read as a unigram model."""
+    rows = whole(encode(read(spark, sf_dir, "documents"), unigram_reading(vocabulary()), with_ids=False))
+    return rows.select("doc_id", "n_units", "n_ids", "ids_crc32", "round_trip")

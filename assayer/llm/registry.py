@@ -7,6 +7,7 @@ from assayer.llm import chat, language, licenses, matroska, near_dedup, packing,
 
 QUERIES = {
     "op1_sentencepiece": pieces.op1_sentencepiece,
+    "unigram_pieces": pieces.unigram_pieces,
     "op2_packing": packing.op2_packing,
     "op3_quality_rules": quality_rules.op3_quality_rules,
     "op4_substring_dedup": substring_dedup.op4_substring_dedup,

@@ -43,42 +43,54 @@ def empty(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
-def test_pieces_equal_the_library(spark, docs):
+def _library(voc=None):
+    """The library's processor; of a unigram reading of the pieces if asked for."""
     import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    m = pb.ModelProto()
+    with open(tokenizer_path(pieces.VOCABULARY), "rb") as f:
+        m.ParseFromString(f.read())
+    if voc:
+        m.trainer_spec.model_type = 1
+        for _, k, score in voc.pieces:
+            m.pieces[k].score = score
+    return sentencepiece.SentencePieceProcessor(model_proto=m.SerializeToString())
+
+
+#: Texts that are hard to cut: no break at all, other scripts without spaces, marks that stand for spaces, runs of spaces.
+HARD = [
+    (None, "twice"), (None, "twice"), (2**53 + 1, "big id"), (30, "".join(chr(97 + k * k % 26) for k in range(3000))), (31, "a" * 500), (32, "漢字かな" * 200 + " Ünï " + "😀" * 90),
+    (33, "  lead and trail  "), (34, "a▁b ▁ c"), (35, "x1y2z3" * 40), (36, "\t\n tab\x00nul"),
+]
 
-    lib = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path(pieces.VOCABULARY))
-    want = Counter((d, tuple(lib.encode(t))) for d, t in _texts() if t)
+
+def test_pieces_equal_the_library(spark, docs):
+    lib = _library()
+    rows = _texts() + HARD
+    table = docs.select("doc_id", "text").union(spark.createDataFrame(HARD, "doc_id long, text string"))
+    want = Counter((d, len(ids := lib.encode(t or "")), np.array(ids, "<u4").tobytes()) for d, t in rows)
     for frequent in (10, 10_000):
-        rows = pieces.encode(docs.where("doc_id != 9"), frequent=frequent).collect()
-        got = {}
-        for r in sorted(rows, key=lambda r: (r["doc_id"], r["first_unit"])):
-            got[r["doc_id"]] = got.get(r["doc_id"], b"") + bytes(r["ids"])
-        assert {d: tuple(np.frombuffer(x, "<u4").tolist()) for d, x in got.items()} == {d: ids for (d, ids) in want if d != 9}
-    ids = spark.createDataFrame([(k, list(x)) for k, (_, x) in enumerate(want)], "key long, ids array<int>")
+        got = pieces.whole(pieces.encode(table, frequent=frequent)).collect()
+        assert Counter((r["doc_id"], r["n_ids"], bytes(r["ids"])) for r in got) == want
+        assert all(r["ids_crc32"] == zlib.crc32(bytes(r["ids"])) for r in got)
+        assert {r["doc_id"] for r in got if not r["round_trip"]} == {34}  # its own marks come back as spaces
+    digest = pieces.whole(pieces.encode(table, frequent=10, with_ids=False)).collect()
+    assert Counter((r["doc_id"], r["n_ids"], r["ids_crc32"]) for r in digest) == Counter((r["doc_id"], r["n_ids"], r["ids_crc32"]) for r in got)
+    ids = spark.createDataFrame([(k, lib.encode(t or "")) for k, (_, t) in enumerate(rows)] + [(-1, None)], "key long, ids array<int>")
     back = {r["key"]: r["text"] for r in pieces.decode(ids).collect()}
-    assert back == {k: lib.decode(list(x)) for k, (_, x) in enumerate(want)}
+    assert back == {-1: "", **{k: lib.decode(lib.encode(t or "")) for k, (_, t) in enumerate(rows)}}
 
 
 def test_viterbi_equals_the_library_on_a_unigram_reading(spark):
-    import sentencepiece
-    from sentencepiece import sentencepiece_model_pb2 as pb
-
-    m = pb.ModelProto()
-    with open(tokenizer_path(pieces.VOCABULARY), "rb") as f:
-        m.ParseFromString(f.read())
-    m.trainer_spec.model_type = 1
-    for p in m.pieces:
-        p.score = -2.0 - (-p.score) ** 0.25 if p.type == 1 and p.score > -1e8 else -40.0
-    lib = sentencepiece.SentencePieceProcessor(model_proto=m.SerializeToString())
-    voc = pieces.vocabulary()
-    scores = {k: p.score for k, p in enumerate(m.pieces)}
-    uni = pieces.Vocabulary(tuple((p, k, scores[k]) for p, k, _ in voc.pieces), voc.first_byte, voc.unknown, True, False, voc.all_pieces, voc.byte_ids)
-    words = ["▁international", "▁thntst", "▁understanding", "zzz", "▁Straße"]
-    table = spark.createDataFrame([(w, 1) for w in words], "unit string, n long")
-    for r in pieces.folded(pieces.lattice(table, uni), uni).collect():
-        want = lib.encode(r["unit"].replace("▁", " ").strip())
-        if r["unit"].startswith("▁"):
-            assert sum(scores[i] for i in r["ids"]) == pytest.approx(sum(scores[i] for i in want), abs=1e-3)
+    uni = pieces.unigram_reading(pieces.vocabulary())
+    lib, scores = _library(uni), {k: s for _, k, s in uni.pieces}
+    words = ["international", "thntst", "understanding of the matter", "Straße", "q" * 90 + "the" * 20]
+    total = lambda ids: sum(scores[i] for i in ids)
+    got = pieces.whole(pieces.encode(spark.createDataFrame(list(enumerate(words)), "doc_id long, text string"), uni)).collect()
+    for r in got:
+        ids, want = np.frombuffer(r["ids"], "<u4").tolist(), lib.encode(words[r["doc_id"]])
+        assert total(ids) == pytest.approx(total(want), abs=1e-3) and lib.decode(ids) == words[r["doc_id"]]
 
 
 def test_packing_places_every_piece_without_gaps(docs):
