@@ -24,8 +24,9 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
+from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, replace
 from functools import cached_property
 
@@ -164,23 +165,42 @@ def piece_table(spark: SparkSession, voc: Vocabulary) -> DataFrame:
 
 
 def lattice(found: DataFrame, voc: Vocabulary) -> DataFrame:
-    """unit, n, edges of every unit: its pieces, from character s to before e, the cheapest and leftmost first.
+    """unit, n, edges of every unit: its pieces, from character s to before e.
 
-    For BPE an edge is rank, s, borders (bits s to e) and id; for Viterbi cost, s, e and id. The place after a unit's last
-    character stands for the empty piece.
+    For BPE an edge is s, borders (bits s to e) and id, and `wide` has the borders inside of each piece of several characters,
+    the best and leftmost first; for Viterbi an edge is cost, s, e and id. The place after a unit's last character stands
+    for the empty piece.
     """
-    size, start = F.length("unit"), F.col("s")
+    spark, size, start = found.sparkSession, F.length("unit"), F.col("s")
     places = found.select("unit", "n", F.explode(F.sequence(F.lit(0), size)).alias("s"))
     places = places.withColumn("tail", F.substr(F.col("unit"), start + 1, F.lit(voc.longest)))
-    lengths = F.sequence(F.when(start < size, F.lit(1)).otherwise(F.lit(0)), F.length("tail"))
+    places = places.withColumn("head", F.substr(F.col("tail"), F.lit(1), F.lit(_HEAD))).join(head_table(spark, voc), "head", "left")
+    last = F.least(F.length("tail"), F.coalesce("longest", F.lit(_HEAD - 1)))
+    lengths = F.sequence(F.when(start < size, F.lit(1)).otherwise(F.lit(0)), last)
     cut = places.select("unit", "n", "s", "tail", F.explode(lengths).alias("k"))
-    met = cut.select("unit", "n", "s", "k", F.substr(F.col("tail"), F.lit(1), F.col("k")).alias("piece")).join(piece_table(found.sparkSession, voc), "piece")
-    if voc.bpe:
-        bits = F.call_function("shiftleft", F.call_function("shiftleft", F.lit(2).cast("long"), F.col("k")) - 1, start)
-        edge = F.struct("rank", "s", bits.alias("borders"), "id")
-    else:
+    met = cut.select("unit", "n", "s", "k", F.substr(F.col("tail"), F.lit(1), F.col("k")).alias("piece")).join(piece_table(spark, voc), "piece")
+    if not voc.bpe:
         edge = F.struct("cost", "s", (start + F.col("k")).alias("e"), "id")
-    return met.groupBy("unit").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(edge)).alias("edges"))
+        return met.groupBy("unit").agg(F.first("n").alias("n"), F.collect_list(edge).alias("edges"))
+    bits = F.call_function("shiftleft", F.call_function("shiftleft", F.lit(2).cast("long"), F.col("k")) - 1, start)
+    met = met.withColumn("borders", bits)
+    wide = F.when(F.col("k") > 1, F.struct("rank", "s", _inside(F.col("borders")).alias("inside")))
+    grouped = met.groupBy("unit").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(wide)).alias("wide"), F.collect_list(F.struct("s", "borders", "id")).alias("edges"))
+    return grouped.select("unit", "n", F.col("wide.inside").alias("wide"), "edges")
+
+
+def head_table(spark: SparkSession, voc: Vocabulary) -> DataFrame:
+    """head, longest: the length of the longest piece that starts with so many characters; others have no piece of that length."""
+    longest: dict[str, int] = {}
+    for p, _, _ in voc.pieces:
+        if len(p) >= _HEAD:
+            longest[p[:_HEAD]] = max(len(p), longest.get(p[:_HEAD], 0))
+    table = spark.createDataFrame(list(longest.items()), "head string, longest int")
+    return F.broadcast(table) if len(longest) <= BROADCAST_PIECES else table
+
+
+#: Characters by which substrings that cannot be pieces are left out before they are made.
+_HEAD = 3
 
 
 def _beside(bits: Column) -> Column:
@@ -199,14 +219,13 @@ def merge_fold() -> Column:
     An edge of which both ends and one border inside are left joins two segments; the best such edge takes that border away.
     The highest bit goes when there is none.
     """
-    wide = F.transform(F.filter("edges", lambda x: F.bit_count(x["borders"]) > 2), lambda x: _inside(x["borders"]))
 
     def step(left: Column, _: Column) -> Column:
         ready = F.filter(F.col("wide"), lambda p: (F.bit_count(p.bitwiseAND(left)) == 1) & (_beside(p).bitwiseAND(F.bitwise_not(p.bitwiseOR(left))) == 0))
         after = F.get(F.transform(F.slice(ready, 1, 1), lambda p: left - p.bitwiseAND(left)), 0)
         return F.when(left >= 0, left).otherwise(F.coalesce(after, left.bitwiseAND((1 << 63) - 1)))
 
-    return wide, lambda: F.aggregate(F.sequence(F.lit(1), F.length("unit")), F.lit(-1).cast("long"), step)
+    return F.aggregate(F.sequence(F.lit(1), F.length("unit")), F.lit(-1).cast("long"), step)
 
 
 def merged_edges() -> Column:
@@ -271,9 +290,7 @@ def viterbi_path() -> Column:
 def folded(edges: DataFrame, voc: Vocabulary) -> DataFrame:
     """unit, n, ids of every unit of a lattice."""
     if voc.bpe:
-        wide, fold = merge_fold()
-        left = edges.withColumn("wide", wide).withColumn("left", fold())
-        left = left.withColumn("chosen", merged_edges())
+        left = edges.withColumn("left", merge_fold()).withColumn("chosen", merged_edges())
         return left.select("unit", "n", merged_ids(voc).alias("ids"))
     paths = edges.withColumn("table", viterbi_table(min(s for _, _, s in voc.pieces))).withColumn("path", viterbi_path())
     return paths.select("unit", "n", path_ids(voc, F.col("path"), lambda x, s, e: (x["s"] == s) & (x["e"] == e)).alias("ids"))
@@ -286,7 +303,7 @@ class LongUnits:
         self.voc, self.pieces = voc, {p: (-s, k) for p, k, s in voc.pieces}
         self.least = min(s for _, _, s in voc.pieces)
 
-    def ids(self, unit: str) -> np.ndarray:
+    def ids(self, unit: str) -> list[int]:
         path = self.merged(unit) if self.voc.bpe else self.best(unit)
         out: list[int] = []
         for a, b in zip(path[:-1], path[1:], strict=True):
@@ -297,7 +314,7 @@ class LongUnits:
                 out.append(self.voc.unknown)
             else:
                 out += [self.voc.first_byte + x for x in unit[a:b].encode()]
-        return np.array(out, "<u4")
+        return out
 
     def merged(self, unit: str) -> list[int]:
         """Borders that merging leaves: neighbours wait in a heap, the best and leftmost first."""
@@ -354,9 +371,11 @@ class Shown:
     def __init__(self, voc: Vocabulary):
         self.raw = [bytes([int(p[3:5], 16)]) if k in voc.byte_ids else p.replace(SPACE, " ").encode() for k, p in enumerate(voc.all_pieces)]
 
-    def of(self, ids: np.ndarray) -> bytes:
-        raw, n = self.raw, len(self.raw)
-        return b"".join([raw[i] for i in ids.tolist() if 0 <= i < n])
+    def of(self, ids: Iterable[int]) -> bytes:
+        try:
+            return b"".join(map(self.raw.__getitem__, ids))
+        except IndexError:
+            return b"".join([self.raw[i] for i in ids if i < len(self.raw)])
 
 
 ENCODED = "row long, doc_id long, first_unit int, n_units int, n_ids long, ids_crc32 long, round_trip boolean, ids binary, unit string"
@@ -373,46 +392,48 @@ def encode(docs: DataFrame, voc: Vocabulary | None = None, frequent: int = FREQU
     voc = voc or vocabulary()
     encoded = written(folded(lattice(distinct_units(docs, voc), voc), voc))
     least = least_count(encoded, frequent)
-    number: dict[str, int] = {}
-    raw = []
+    common: dict[str, bytes] = {}
     for r in encoded.where(F.col("n") >= least).select("unit", "ids").toLocalIterator():  # at most `frequent` rows
-        number[r["unit"]] = len(raw)
-        raw.append(np.array(r["ids"], "<u4").tobytes())
-    sent, shown, cutter, long = spark.sparkContext.broadcast((number, raw)), Shown(voc), voc.cutter, LongUnits(voc)
-    good = np.array([shown.of(np.frombuffer(x, "<u4")) == u.replace(SPACE, " ").encode() for x, u in zip(raw, number, strict=True)], bool)
+        common[r["unit"]] = array("I", r["ids"]).tobytes()
+    shown, cutter, long = Shown(voc), voc.cutter, LongUnits(voc)
+    odd = {u for u, x in common.items() if shown.of(array("I", x)) != u.replace(SPACE, " ").encode()}
+    sent = spark.sparkContext.broadcast((common, odd))
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
-        number, raw = sent.value
+        (common, odd), names = sent.value, (*_STRETCH, "unit")
+        get = common.get
         for x in batches:
             out: list[tuple] = []
             for row, doc, t in zip(x["row"], x["doc_id"], x["text"], strict=True):
                 found, plain = cutter.units(t), not t or SPACE not in t
-                k = np.fromiter((number.get(u, -1) for u in found), np.int64, len(found))
-                rare = np.flatnonzero(k < 0)
-                for i in rare.tolist():
+                values = list(map(get, found))
+                rare = [i for i, v in enumerate(values) if v is None]
+                for i in rare:
                     if len(found[i]) <= FOLDED:
                         out.append((row, doc, i, 1, 0, 0, plain, None, found[i]))
                     else:
                         out.append((row, doc, i, 1, *of_unit(long.ids(found[i]), found[i], plain), None))
-                edges = np.concatenate([[-1], rare, [len(found)]])
-                for a, b in zip(edges[:-1] + 1, edges[1:], strict=True):
+                a = 0
+                for b in (*rare, len(found)):
                     if a < b or not found:
-                        ids = b"".join([raw[i] for i in k[a:b].tolist()])
-                        out.append((row, doc, int(a), int(b - a), len(ids) // 4, zlib.crc32(ids), plain and bool(good[k[a:b]].all()), ids if with_ids else None, None))
-            yield {c: list(v) for c, v in zip((*_STRETCH, "unit"), zip(*out, strict=True), strict=True)}
-
-    def of_unit(ids: np.ndarray, unit: str, plain: bool) -> tuple[int, int, bool, bytes | None]:
-        raw = ids.tobytes()
+                        ids = b"".join(values[a:b])
+                        good = plain and (not odd or odd.isdisjoint(found[a:b]))
+                        out.append((row, doc, a, b - a, len(ids) // 4, zlib.crc32(ids), good, ids if with_ids else None, None))
+                    a = b + 1
+            yield dict(zip(names, map(list, zip(*out, strict=True)), strict=True))
+
+    def of_unit(ids: list[int], unit: str, plain: bool) -> tuple[int, int, bool, bytes | None]:
+        raw = array("I", ids).tobytes()
         return len(ids), zlib.crc32(raw), plain and shown.of(ids) == unit.replace(SPACE, " ").encode(), raw if with_ids else None
 
     def rest(batches: Iterator[dict]) -> Iterator[dict]:
         for x in batches:
-            values = [of_unit(np.array(v, "<u4"), u, p) for v, u, p in zip(x.pop("unit_ids"), x.pop("unit"), x["round_trip"], strict=True)]
-            yield x | dict(zip(("n_ids", "ids_crc32", "round_trip", "ids"), zip(*values, strict=True), strict=True))
+            values = map(of_unit, x.pop("unit_ids"), x.pop("unit"), x["round_trip"])
+            yield x | dict(zip(("n_ids", "ids_crc32", "round_trip", "ids"), map(list, zip(*values, strict=True)), strict=True))
 
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), "text")
     cut = written(map_lists(numbered, run, ENCODED))
-    others = cut.where("unit IS NOT NULL").select("row", "doc_id", "first_unit", "n_units", "unit")
+    others = cut.where("unit IS NOT NULL").select("row", "doc_id", "first_unit", "n_units", "round_trip", "unit")
     met = others.join(encoded.where(F.col("n") < least).select("unit", F.col("ids").alias("unit_ids")), "unit")
     return cut.where("unit IS NULL").drop("unit").unionByName(map_lists(met, rest, ENCODED.removesuffix(", unit string")))
 
@@ -436,14 +457,17 @@ def _shifted(table: np.ndarray, crc: np.ndarray) -> np.ndarray:
     return table[0][crc & 255] ^ table[1][crc >> 8 & 255] ^ table[2][crc >> 16 & 255] ^ table[3][crc >> 24]
 
 
-def joined_crc32(crcs: np.ndarray, sizes: np.ndarray, tables: np.ndarray) -> int:
-    """The crc32 of byte strings one after another, from those of each and their sizes in bytes."""
-    after = np.cumsum(sizes[::-1])[::-1] - sizes
-    crcs = crcs.astype(np.uint32)
-    for power in range(int(after[0]).bit_length() if len(after) else 0):
+def joined_crc32(crcs: list[list[int]], sizes: list[list[int]], tables: np.ndarray) -> np.ndarray:
+    """The crc32 of byte strings one after another, from those of each and their sizes in bytes: a number for each inner list."""
+    n = np.array([len(x) for x in crcs])
+    crc, size = np.array([c for x in crcs for c in x], np.uint32), np.array([s for x in sizes for s in x], np.int64)
+    ends = np.cumsum(n) - 1
+    total = np.cumsum(size)
+    after = np.repeat(total[ends], n) - total
+    for power in range(int(after.max(initial=0)).bit_length()):
         hit = after >> power & 1 == 1
-        crcs[hit] = _shifted(tables[power], crcs[hit])
-    return int(np.bitwise_xor.reduce(crcs)) if len(crcs) else 0
+        crc[hit] = _shifted(tables[power], crc[hit])
+    return np.bitwise_xor.reduceat(crc, ends - n + 1).astype(np.int64) if len(n) else np.zeros(0, np.int64)
 
 
 def whole(stretches: DataFrame) -> DataFrame:
@@ -453,14 +477,15 @@ def whole(stretches: DataFrame) -> DataFrame:
         F.sum("n_units").alias("n_units"), F.sum("n_ids").alias("n_ids"), F.bool_and("round_trip").alias("round_trip"),
         F.array_sort(F.collect_list(F.struct("first_unit", "n_ids", "ids_crc32", "ids"))).alias("parts"),
     )
-    # two rows of columns by place, so that Python gets arrays, not structs
+    # columns by place, so that Python gets arrays, not structs
     by_place = parts.select("row", "doc_id", "n_units", "n_ids", "round_trip", *[F.col(f"parts.{c}").alias(f"part_{c}") for c in ("n_ids", "ids_crc32", "ids")])
 
+    tables = _shift_tables()
+
     def run(batches: Iterator[dict]) -> Iterator[dict]:
-        tables = _shift_tables()
         for x in batches:
             sizes, crcs, ids = (x.pop(f"part_{c}") for c in ("n_ids", "ids_crc32", "ids"))
-            x["ids_crc32"] = [joined_crc32(np.array(c), 4 * np.array(s), tables) for c, s in zip(crcs, sizes, strict=True)]
+            x["ids_crc32"] = joined_crc32(crcs, [[4 * n for n in s] for s in sizes], tables)
             yield x | {"ids": [None if None in part else b"".join(part) for part in ids]}
 
     return map_lists(by_place, run, schema)
@@ -473,7 +498,7 @@ def decode(tokens: DataFrame, voc: Vocabulary | None = None) -> DataFrame:
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         for x in batches:
-            raw = [shown.of(np.array(ids or [], np.int64)) for ids in x["ids"]]
+            raw = [shown.of([i for i in ids or [] if i >= 0]) for ids in x["ids"]]
             yield {"key": x["key"], "text": [r[prefix and r.startswith(b" ") :].decode("utf-8", "replace") for r in raw]}
 
     kind = tokens.schema["key"].dataType.simpleString()
