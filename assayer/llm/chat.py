@@ -86,16 +86,18 @@ def attached(parts: Column) -> Column:
 def format_chats(turns: DataFrame) -> DataFrame:
     """From conv_id, turn, role, parts: conv_id, formatted, loss_spans, attachments, expanded_tokens.
 
-    loss_spans holds start and length, in code points of formatted, of every assistant text.
+    loss_spans holds start and length, in code points of formatted, of every assistant text, and its turn and its start in that.
     """
     shown = turns.select(
         "conv_id", "turn",
+        F.coalesce("role", F.lit("")).alias("said_by"),
+        "parts",
         escape_role(F.col("role")).alias("role"),
         render(F.col("parts")).alias("body"),
         attached(F.col("parts")).alias("files"),
         (F.col("role") == "assistant").alias("learned"),
     )
-    chats = shown.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "body", "files", "learned"))).alias("turns"))
+    chats = shown.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "said_by", "parts", "role", "body", "files", "learned"))).alias("turns"))
     whole = F.array_join(
         F.transform("turns", lambda t: F.concat(F.lit(START), t["role"], F.lit("\n"), t["body"], F.lit(END))), ""
     )
@@ -103,11 +105,12 @@ def format_chats(turns: DataFrame) -> DataFrame:
     def step(state: Column, t: Column) -> Column:
         begin = state["at"] + len(START) + F.length(t["role"]) + 1
         size = F.length(t["body"]).cast("long")
-        span = F.struct(begin.alias("start"), size.alias("length"))
+        span = F.struct(begin.alias("start"), size.alias("length"), state["turn"].alias("turn"), (F.length(t["role"]) + 1).alias("within"))
         spans = F.when(F.coalesce(t["learned"], F.lit(False)), F.concat(state["spans"], F.array(span))).otherwise(state["spans"])
-        return F.struct((begin + size + len(END)).alias("at"), spans.alias("spans"))
+        return F.struct((begin + size + len(END)).alias("at"), (state["turn"] + 1).alias("turn"), spans.alias("spans"))
 
-    first = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans"))
+    none = F.array().cast("array<struct<start:bigint,length:bigint,turn:int,within:int>>")
+    first = F.struct(F.lit(0).cast("long").alias("at"), F.lit(0).alias("turn"), none.alias("spans"))
     files = F.flatten(F.transform("turns", lambda t: t["files"]))
     return chats.select(
         "conv_id",
@@ -131,8 +134,10 @@ def read_turns(formatted: Column) -> Column:
 
 
 def masked_texts(formatted: Column, spans: Column) -> Column:
-    """The unescaped texts under the loss mask, in order."""
-    return F.transform(spans, lambda s: unescape(F.substr(formatted, (s["start"] + 1).cast("int"), s["length"].cast("int"))))
+    """The unescaped texts under the loss mask, in order: each is cut from its own turn, so that long conversations cost no more a turn."""
+    pieces = F.split(formatted, r"<\|im_start\|>")
+    with_pieces = F.transform(F.array(pieces), lambda p: F.transform(spans, lambda s: unescape(F.substr(p[s["turn"] + 1], s["within"] + 1, s["length"].cast("int")))))
+    return with_pieces[0]
 
 
 def op10_chat_format(spark, sf_dir: str) -> DataFrame:

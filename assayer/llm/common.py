@@ -16,7 +16,7 @@ from pyspark.sql.types import StructType
 
 from assayer.shipping import ship
 
-__all__ = ["crc_mod", "held", "lower_ascii", "map_lists", "read", "shared_dir", "ship", "tokenizer_path", "written"]
+__all__ = ["crc_mod", "free_name", "held", "lower_ascii", "map_lists", "read", "shared_dir", "ship", "tokenizer_path", "written"]
 
 #: Rows of an Arrow batch that are turned into Python values at once.
 SLICE_ROWS = 500
@@ -89,6 +89,14 @@ def crc_mod(key: Column, n: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(key.cast("string"), F.lit(""))), F.lit(n))
 
 
+def free_name(df: DataFrame, base: str) -> str:
+    """base, with as many underscores after it as make it no column of df."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
 def lower_ascii(text: str) -> bytes:
     """UTF-8 bytes with only A-Z lower-cased."""
     return text.encode("utf-8", "surrogatepass").lower()

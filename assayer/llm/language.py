@@ -6,7 +6,8 @@ Transitions between the languages of neighbouring words are learned too: trainin
 different languages, as code-switched text does. Forward-backward gives each word's language probabilities; a document gets
 the language with the largest mean probability over its words that have a letter, and that mean as its score.
 
-Training uses a bounded sample of labelled rows (TRAIN_DOCS for each language, the least by hash). Prediction covers every
+Training uses a bounded sample of labelled rows (TRAIN_DOCS for each language of at most TRAIN_CHARS characters each, the least
+by a hash of id and text; equal rows count once). Prediction covers every
 word of every text. A text that is null or has no letter gets `und` with score 0; so does every text if no row is labelled.
 Repeated rows get equal values; other columns are ignored; an empty table gives no row.
 """
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 import re
 import string
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -24,10 +26,11 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.common import crc_mod, read, ship
+from assayer.llm.common import crc_mod, held, map_lists, read, ship
 
 UNDETERMINED = "und"
 TRAIN_DOCS = 200
+TRAIN_CHARS = 200_000
 TABLE_BITS = 17
 TABLE = 1 << TABLE_BITS
 SEQUENCE = 32
@@ -35,8 +38,8 @@ STRETCH = 12
 EPOCHS = 2
 RATE = 0.5
 #: Words after which a worker's table of scores starts anew; a word takes about 200 bytes.
-CACHE_WORDS = 400_000
-BATCH = 400
+CACHE_WORDS = 150_000
+BATCH = 500
 STEP = 32
 LETTER = re.compile(r"[^\W\d_]")
 #: What is cut from both ends of a word.
@@ -221,15 +224,19 @@ def train(rows: list[tuple[str, str]], seed: int = 7) -> Model:
 
 
 def training_rows(docs: DataFrame, may_learn: Column, per_label: int = TRAIN_DOCS) -> list[tuple[str, str]]:
-    """At most per_label (text, lang) rows of each language: those with the least hashes of their doc_id."""
-    rows = docs.where(may_learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = rows.groupBy("lang").count().collect()
-    unit = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1_000_000_007)) / 1_000_000_007.0
+    """At most per_label (text, lang) rows of each language: those with the least hashes of their id and text.
+
+    The hash's cut for a language follows from a sketch of the number of its distinct hashes, so that neither rows that
+    share an id nor those without one come in greater number.
+    """
+    rows = docs.where(may_learn & F.col("lang").isNotNull() & (F.length("text") <= TRAIN_CHARS))
+    unit = F.pmod(F.xxhash64(F.lit("sample"), "doc_id", "text"), F.lit(1_000_000_007)) / 1_000_000_007.0
+    counts = rows.select("lang", unit.alias("u")).groupBy("lang").agg(F.approx_count_distinct("u").alias("n")).collect()
     picked = F.lit(False)
     for r in counts:
-        picked = picked | ((F.col("lang") == r["lang"]) & (unit < min(1.0, 1.2 * per_label / r["count"] + 1e-9)))
+        picked = picked | ((F.col("lang") == r["lang"]) & (unit < min(1.0, 1.4 * per_label / max(1, r["n"]) + 1e-9)))
     by_label: dict[str, list[tuple[float, str]]] = {}
-    for r in rows.where(picked).select("lang", "text", unit.alias("u")).collect():
+    for r in rows.where(picked).select("lang", "text", unit.alias("u")).distinct().collect():
         by_label.setdefault(r["lang"], []).append((r["u"], r["text"]))
     return [(t, lang) for lang, found in sorted(by_label.items()) for _, t in sorted(found)[:per_label]]
 
@@ -244,12 +251,13 @@ def predictor(docs: DataFrame, may_learn: Column):
     """Trains on docs and gives a function of texts to (lang_pred, score) for use in tasks."""
     rows = training_rows(docs, may_learn)
     model = docs.sparkSession.sparkContext.broadcast(train(rows) if rows else None)  # of fixed size
+    key = uuid.uuid4().hex
 
     def predict(texts: list[str | None]) -> list[tuple[str, float]]:
         out = [(UNDETERMINED, 0.0)] * len(texts)
         if model.value is None:
             return out
-        table = word_table(model)
+        table = word_table(model, key)
         for at in range(0, len(texts), BATCH):
             some = [k for k in range(at, min(at + BATCH, len(texts))) if texts[k] and LETTER.search(texts[k])]
             if not some:
@@ -267,29 +275,21 @@ def predictor(docs: DataFrame, may_learn: Column):
     return predict
 
 
-_TABLES: dict[int, WordTable] = {}
-
-
-def word_table(model: Broadcast) -> WordTable:
-    """The worker's table for a model; it lasts over the worker's tasks."""
-    key = id(model.value)
-    if key not in _TABLES or _TABLES[key].model is not model.value:
-        _TABLES.clear()
-        _TABLES[key] = WordTable(model.value)
-    return _TABLES[key]
+def word_table(model: Broadcast, key: str) -> WordTable:
+    """The worker's table for a model; it lasts until another operator runs there."""
+    return held(("words", key), lambda: WordTable(model.value))
 
 
 def identify(docs: DataFrame, may_learn: Column) -> DataFrame:
     """doc_id, lang_pred, score of each row of docs (doc_id, text, lang); lang is read only where may_learn holds."""
-    ship(docs.sparkSession)
     predict = predictor(docs, may_learn)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            found = predict(list(pdf["text"]))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "lang_pred": [x for x, _ in found], "score": [s for _, s in found]})
+    def run(batches: Iterator[dict]) -> Iterator[dict]:
+        for x in batches:
+            found = predict(x["text"])
+            yield {"doc_id": x["doc_id"], "lang_pred": [lang for lang, _ in found], "score": [s for _, s in found]}
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, lang_pred string, score double")
+    return map_lists(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, lang_pred string, score double", holds=True)
 
 
 def keep_known(docs: DataFrame, may_learn: Column, least: float = 0.5) -> DataFrame:

@@ -1,13 +1,15 @@
 """License scans by an exact set-similarity join of text blocks with license templates.
 
-Tokens are ordered by their frequency in the whole corpus, the rarest first. A block (a line) contains a template if it has
-at least `percent` of the template's distinct tokens. Such a block must have one of the template's first
+Tokens are ordered by their frequency in the whole corpus, the rarest first. A block is a run of LINES lines (all lines if there
+are fewer), so that a notice wrapped over lines stands in one; runs of fewer lines have no token that these lack. A block
+contains a template if it has at least `percent` of the template's distinct tokens. Such a block must have one of the template's first
 size - need + 1 tokens (prefix filter), at least `need` template tokens at all (length filter), and enough tokens left on
 both sides after their first common token (positional filter). Blocks that pass are joined with the templates by token and
 verified on their full token sets, so the result is exact.
 
 A null text is an empty one: no words, no labels, score 0. Repeated rows get equal values; other columns are ignored; an
-empty table gives no row. The template vocabulary and its counts are bounded by the templates, which are a parameter.
+empty table gives no row. Each worker holds the templates' tokens, which are a parameter; the tables that join blocks with
+templates are broadcast up to BROADCAST_ROWS rows.
 """
 
 from __future__ import annotations
@@ -15,14 +17,16 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 
-import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.common import read, ship
+from assayer.llm.common import map_lists, read, written
 
 PERCENT = 80
+LINES = 4
+#: Rows of template tokens up to which they are broadcast; a row takes about 60 bytes.
+BROADCAST_ROWS = 100_000
 #: Phrases and their labels: fixed values.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 #: Notices as licensors ask for them to be written, by the label that a block containing one gets.
@@ -60,15 +64,15 @@ def places(words: list[bytes], phrases: dict[str, str]) -> list[tuple[int, str]]
 def token_counts(docs: DataFrame, vocabulary: set[bytes]) -> dict[bytes, int]:
     """Occurrences of each token of the vocabulary in all texts; the result is as large as the vocabulary."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[dict]) -> Iterator[dict]:
         seen: Counter = Counter()
-        for pdf in batches:
-            for text in pdf["text"]:
+        for x in batches:
+            for text in x["text"]:
                 if text:
                     seen.update(filter(vocabulary.__contains__, tokens(text)))
-        yield pd.DataFrame({"token": list(seen), "n": list(seen.values())})
+        yield {"token": list(seen), "n": list(seen.values())}
 
-    found = docs.select("text").mapInPandas(run, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()
+    found = map_lists(docs.select("text"), run, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()
     return {bytes(r["token"]): r["n"] for r in found}
 
 
@@ -87,52 +91,57 @@ class Index:
         self.prefix = {t for _, ids, need in self.rows for t in ids[: len(ids) - need + 1]}
         self.least = min((need for _, _, need in self.rows), default=0)
 
-    def block(self, words: list[bytes]) -> list[int] | None:
-        """A block's template tokens in global order, or None if no template can be in it."""
-        ids = {self.number[w] for w in words if w in self.number}
-        return sorted(ids) if len(ids) >= self.least and not ids.isdisjoint(self.prefix) else None
+    def blocks(self, text: str, lines: int) -> list[list[int]]:
+        """The template tokens, in global order, of each block that may hold a template."""
+        number = self.number
+        of_line = [{number[w] for w in tokens(line) if w in number} for line in text.split("\n")]
+        out = set()
+        for k in range(max(1, len(of_line) - lines + 1)):
+            ids = set().union(*of_line[k : k + lines])
+            if len(ids) >= self.least and not ids.isdisjoint(self.prefix):
+                out.add(tuple(sorted(ids)))
+        return [list(x) for x in sorted(out)]
 
 
 SCANNED = "doc_id long, row_key long, n_words long, n_base long, first_word long, last_word long, base array<string>, blocks array<array<int>>"
 
 
-def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, percent: int = PERCENT) -> DataFrame:
+def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, percent: int = PERCENT, lines: int = LINES) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score of each row of docs (doc_id, text)."""
     spark = docs.sparkSession
-    ship(spark)
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     vocabulary = {t for text in templates.values() for t in tokens(text)}
     index = Index(templates, token_counts(docs, vocabulary), percent)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    names = [f.split()[0] for f in SCANNED.split(", ")]
+
+    def run(batches: Iterator[dict]) -> Iterator[dict]:
+        for x in batches:
             rows = []
-            for doc, text in zip(pdf["doc_id"], pdf["text"], strict=True):
+            for doc, text in zip(x["doc_id"], x["text"], strict=True):
                 text = text or ""
                 words = tokens(text)
                 found = places(words, PHRASES)
                 at = [k for k, _ in found]
                 blocks = []
                 if not index.prefix.isdisjoint(index.number[w] for w in words if w in index.number):
-                    blocks = [b for line in text.split("\n") if (b := index.block(tokens(line)))]
+                    blocks = index.blocks(text, lines)
                 key = xxhash.xxh3_64_intdigest(f"{doc} {text}") - 2**63
                 rows.append((doc, key, len(words), len(found), min(at, default=None), max(at, default=None), sorted({x for _, x in found}), blocks))
-            out = pd.DataFrame(rows, columns=[f.split()[0] for f in SCANNED.split(", ")])
-            for c in ("doc_id", "first_word", "last_word"):
-                out[c] = out[c].astype("Int64")
-            yield out
-
-    from assayer.llm.common import written
-
-    base = written(docs.mapInPandas(run, SCANNED))
-    prefixes = [(label, ids, len(ids), need, t, k) for label, ids, need in index.rows for k, t in enumerate(ids[: len(ids) - need + 1])]
-    table = spark.createDataFrame(prefixes, "label string, template array<int>, size int, need int, token int, place int")
+            yield dict(zip(names, map(list, zip(*rows, strict=True)), strict=True))
+
+    base = written(map_lists(docs, run, SCANNED))
+    prefixes = [(label, len(ids), need, t, k) for label, ids, need in index.rows for k, t in enumerate(ids[: len(ids) - need + 1])]
+    small = sum(len(ids) for _, ids, _ in index.rows) <= BROADCAST_ROWS
+    sent = F.broadcast if small else lambda table: table
+    table = sent(spark.createDataFrame(prefixes, "label string, size int, need int, token int, place int"))
+    whole = sent(spark.createDataFrame([(label, ids) for label, ids, _ in index.rows], "label string, template array<int>"))
     blocks = base.where(F.size("blocks") > 0).select("row_key", F.explode(F.array_distinct("blocks")).alias("block"))
-    met = blocks.select("row_key", "block", F.posexplode("block").alias("at", "token")).join(F.broadcast(table), "token")
+    met = blocks.select("row_key", "block", F.posexplode("block").alias("at", "token")).join(table, "token")
     left = F.least(F.col("size") - F.col("place"), F.size("block") - F.col("at"))
-    first = met.where(F.size("block") >= F.col("need")).groupBy("row_key", "block", "label", "template", "size", "need").agg(F.min_by(left, "at").alias("left"))
+    first = met.where(F.size("block") >= F.col("need")).groupBy("row_key", "block", "label", "size", "need").agg(F.min_by(left, "at").alias("left"))
     overlap = F.size(F.array_intersect("block", "template"))
-    passed = first.where("left >= need").withColumn("overlap", overlap).where("overlap >= need")
+    passed = first.where("left >= need").join(whole, "label").withColumn("overlap", overlap).where("overlap >= need")
     labels = passed.groupBy("row_key").agg(F.collect_set("label").alias("more"), F.max(F.col("overlap") / F.col("size")).alias("best"))
     out = base.drop("blocks").join(labels, "row_key", "left")
     everything = F.array_sort(F.array_distinct(F.concat("base", F.coalesce("more", F.array().cast("array<string>")))))
@@ -172,8 +181,10 @@ b AS (
   SELECT doc_id, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, list_sort(list_distinct(list(label))) AS base
   FROM found GROUP BY doc_id),
 tpl(label, token, size, need) AS (VALUES {_values()}),
-l AS (SELECT doc_id, line, row_number() OVER () AS k FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d)),
-lt AS (SELECT DISTINCT doc_id, k, unnest(regexp_extract_all({_LOWER.format('line')}, '{_WORD}')) AS token FROM l),
+l AS (SELECT doc_id, r, s[k] AS line, k FROM (
+  SELECT doc_id, r, s, unnest(range(1, len(s) + 1)) AS k FROM (SELECT doc_id, row_number() OVER () AS r, string_split(t, chr(10)) AS s FROM d))),
+one AS (SELECT DISTINCT doc_id, r, k, unnest(regexp_extract_all({_LOWER.format('line')}, '{_WORD}')) AS token FROM l),
+lt AS (SELECT DISTINCT doc_id, r * 100000000 + k - v AS k, token FROM one SEMI JOIN tpl USING (token), (VALUES {", ".join(f"({x})" for x in range(LINES))}) w(v) WHERE k - v >= 1),
 c AS (SELECT doc_id, k, label, size, count(*) AS o FROM lt JOIN tpl USING (token) GROUP BY doc_id, k, label, size, need HAVING count(*) >= need),
 m AS (SELECT doc_id, list(DISTINCT label) AS more, max(o / size) AS best FROM c GROUP BY doc_id)
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word,

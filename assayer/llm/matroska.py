@@ -17,11 +17,10 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.common import read, ship
+from assayer.llm.common import map_lists, read, ship
 
 UNIT = 64
 RATE = 8000
@@ -35,6 +34,8 @@ AUDIO, SAMPLING, CHANNELS, BIT_DEPTH, DEFAULT_DURATION = 0xE1, 0xB5, 0x9F, 0x626
 CLUSTER_TIME, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK = 0xE7, 0xA3, 0xA0, 0xA1
 CUE_POINT, CUE_TIME, CUE_POSITIONS, CUE_TRACK, CUE_CLUSTER = 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
 DOC_TYPE, MUXING_APP = 0x4282, 0x4D80
+#: Elements that end a cluster, or the cues, of unknown size.
+TOP = {EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES, 0x114D9B74, 0x1254C367, 0x1043A770, 0x1941A469}
 PARENTS = {SEGMENT, INFO, TRACKS, TRACK_ENTRY, AUDIO, CLUSTER, BLOCK_GROUP, CUES, CUE_POINT, CUE_POSITIONS, EBML}
 
 
@@ -111,16 +112,27 @@ def read_vint(data: bytes, at: int, keep: bool = False) -> tuple[int, int]:
 
 
 def elements(data: bytes, at: int = 0, end: int | None = None, depth: int = 0) -> Iterator[tuple[int, int, int, int]]:
-    """Depth-first (id, start of the body, end of the body, depth) of all elements; parents come before their children."""
+    """Depth-first (id, start of the body, end of the body, depth) of all elements; parents come before their children.
+
+    The open parents are a stack, not calls. One of unknown size ends with the data or its own parent, at an element of the
+    segment's level if it is in the segment, and at a new segment or header if it is the segment; its end is then not known
+    when it is told, and its parent's is given.
+    """
     end = len(data) if end is None else end
+    opened: list[tuple[int, int, bool]] = []  # (id, end, whether the size is unknown)
     while at < end:
         ident, body = read_vint(data, at, keep=True)
+        while opened and (at >= opened[-1][1] or opened[-1][2] and ident in ({EBML, SEGMENT} if opened[-1][0] == SEGMENT else TOP)):
+            opened.pop()
         size, body = read_vint(data, body)
-        stop = end if size < 0 else min(body + size, end)
-        yield ident, body, stop, depth
+        above = opened[-1][1] if opened else end
+        stop = above if size < 0 else min(body + size, above)
+        yield ident, body, stop, depth + len(opened)
         if ident in PARENTS:
-            yield from elements(data, body, stop, depth + 1)
-        at = stop
+            opened.append((ident, stop, size < 0))
+            at = body
+        else:
+            at = stop
 
 
 def frame_sizes(data: bytes, at: int, end: int, lacing: int) -> tuple[list[int], int]:
@@ -200,16 +212,12 @@ def feature(samples: bytes, table: list[tuple[int, int, bool, int, int]]) -> str
 
 def media(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes and media (the file) of each row of docs (doc_id, text)."""
-    ship(docs.sparkSession)
+    def run(batches: Iterator[dict]) -> Iterator[dict]:
+        for x in batches:
+            made = [payload_of(t) for t in x["text"]]
+            yield {"doc_id": x["doc_id"], "n_bytes": [n for _, n in made], "media": [mux(p) for p, _ in made]}
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for at in range(0, len(pdf), 1000):
-                part = pdf.iloc[at : at + 1000]
-                made = [payload_of(t) for t in part["text"]]
-                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "n_bytes": [n for _, n in made], "media": [mux(p) for p, _ in made]})
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, n_bytes long, media binary")
+    return map_lists(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, n_bytes long, media binary")
 
 
 PACKETS = "array<struct<track:int,timestamp_ns:long,key:boolean,first_byte:long,bytes:long>>"
@@ -224,22 +232,20 @@ def with_packets(files: DataFrame) -> DataFrame:
 
 def digests(files: DataFrame) -> DataFrame:
     """What is read back from the files' packets, one row for each of files (doc_id, n_bytes, media)."""
-    ship(files.sparkSession)
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def run(batches: Iterator[dict]) -> Iterator[dict]:
+        for x in batches:
             rows = []
-            for doc, n, data in zip(pdf["doc_id"], pdf["n_bytes"], pdf["media"], strict=True):
-                data = bytes(data)
+            for doc, n, data in zip(x["doc_id"], x["n_bytes"], x["media"], strict=True):
                 table = packets(data)
                 back = b"".join(data[a : a + size] for _, _, _, a, size in table)
                 rows.append((doc, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-UNIT:]), len(data), hashlib.sha256(data).hexdigest(), feature(back, table)))
-            out = pd.DataFrame(rows, columns=[f.split()[0] for f in schema.split(", ")])
-            out["doc_id"] = out["doc_id"].astype("Int64")
-            yield out
+            yield dict(zip(names, map(list, zip(*rows, strict=True)), strict=True))
 
-    return files.mapInPandas(run, schema)
+    return map_lists(files, run, schema)
 
 
 def op8_matroska(spark, sf_dir: str) -> DataFrame:

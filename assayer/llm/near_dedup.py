@@ -139,43 +139,57 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
 def between_components(labelled: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Links (a, b) between documents that share a bucket but are in different components. labelled: key, a, label.
 
-    Components that meet in buckets form families. A family's documents, each once, are dealt into blocks of bounded size,
-    and each pair of blocks is compared by one task on its inverted lists of shingles; only links leave the task, not the
-    pairs that were compared.
+    Components that meet in buckets form families, and each family has a main component, the one with most documents in it.
+    A family's documents, each once, are dealt into blocks of bounded size, those of the main component apart from the
+    others. A task compares a block of others with a block of the main component or of others on inverted lists of shingles;
+    blocks of the main component never meet each other, so a family with few others costs rows in proportion to its size.
+    Only links leave the task, not the pairs that were compared.
     """
     ends = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("key", "low")
     apart = labelled.join(ends, "key").select("a", "label", "low").distinct()
     families = components(apart.select(F.col("label").alias("a"), F.col("low").alias("b")))
     members = written(apart.select("a", "label").distinct().join(families.withColumnsRenamed({"node": "label", "component": "family"}), "label"))
-    sizes = members.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = members.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int"))
+    counted = members.groupBy("family", "label").agg(F.count("*").alias("n"))
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    sizes = counted.groupBy("family").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("all"))
+    sizes = sizes.select("family", "main", blocks(F.col("most")).alias("mains"), blocks(F.col("all") - F.col("most")).alias("others"))
+    dealt = members.join(sizes, "family").withColumn("is_main", F.col("label") == F.col("main"))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("a"), F.when(F.col("is_main"), F.col("mains")).otherwise(F.col("others"))).cast("int"))
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    task = lambda with_main, i, k: F.struct(with_main.alias("with_main"), i.alias("i"), k.alias("k"))
+    yes, no, block = F.lit(True), F.lit(False), F.col("block")
+    of_main = F.transform(upto(F.col("others")), lambda i: task(yes, i, block))
+    of_other = F.concat(
+        F.transform(upto(F.col("mains")), lambda k: task(yes, block, k)),
+        F.transform(upto(F.col("others")), lambda k: task(no, F.least(block, k), F.greatest(block, k))),
+    )
+    tasks = dealt.select("family", "a", "label", "is_main", "block", F.explode(F.when(F.col("is_main"), of_main).otherwise(of_other)).alias("t"))
     texts = docs.select(F.col("doc_id").cast("long").alias("a"), "text").where("doc_id IS NOT NULL").hint("merge")
-    met = dealt.join(texts, "a").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("k"), "block", "a", "label", "text")
+    met = tasks.join(texts, "a").select("family", "t.with_main", "t.i", "t.k", "block", "is_main", "a", "label", "text")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates("a")
-        found = links_across([shingle_set(t, width) for t in pdf["text"]], pdf["label"].to_numpy(), percent)
-        ids, block = pdf["a"].to_numpy(), pdf["block"].to_numpy()
-        two = pdf["i"].iloc[0] != pdf["k"].iloc[0]
+        asks = ~pdf["is_main"].to_numpy(bool)
+        ids, block, two = pdf["a"].to_numpy(), pdf["block"].to_numpy(), not pdf["with_main"].iloc[0] and pdf["i"].iloc[0] != pdf["k"].iloc[0]
+        if two:
+            asks = block == pdf["i"].iloc[0]
+        found = links_across([shingle_set(t, width) for t in pdf["text"]], pdf["label"].to_numpy(), asks, percent)
         rows = [(ids[x], ids[y]) for x, y in found if not two or block[x] != block[y]]
         return pd.DataFrame(rows, columns=["a", "b"], dtype="int64")
 
-    return met.groupBy("family", "i", "k").applyInPandas(run, "a long, b long")
+    return met.groupBy("family", "with_main", "i", "k").applyInPandas(run, "a long, b long")
 
 
-def links_across(sets: list[np.ndarray], labels: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Pairs of places of sets with different labels that reach the similarity, from the sizes of their intersections."""
+def links_across(sets: list[np.ndarray], labels: np.ndarray, asks: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Pairs (x, y) of places of sets, x among those that ask, with different labels, that reach the similarity, from the sizes of their intersections."""
     sizes = np.array([len(s) for s in sets])
     owner = np.repeat(np.arange(len(sets)), sizes)
     values, ids = np.unique(np.concatenate(sets), return_inverse=True)
     order = np.argsort(ids, kind="stable")
     lists = np.split(owner[order], np.cumsum(np.bincount(ids, minlength=len(values)))[:-1])
     starts = np.concatenate([[0], np.cumsum(sizes)])
-    names, counts = np.unique(labels, return_counts=True)
-    main = names[counts.argmax()]
     out = []
-    for x in np.flatnonzero(labels != main):
+    for x in np.flatnonzero(asks):
         mine = ids[starts[x] : starts[x + 1]]
         both = np.bincount(np.concatenate([lists[i] for i in mine]), minlength=len(sets))
         hit = (100 * both >= percent * (sizes + sizes[x] - both)) & (labels != labels[x])

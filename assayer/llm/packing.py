@@ -14,19 +14,17 @@ from __future__ import annotations
 import zlib
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from assayer.llm.common import read, ship, tokenizer_path, written
+from assayer.llm.common import held, map_lists, read, tokenizer_path, written
 
 CAPACITY = 4096
 END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
 #: Parts in each of the two generations of an encoder's cache; an entry takes about 200 bytes.
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 150_000
 #: Pieces of one length that one window partition ranks.
 RANK_ROWS = 5_000
 #: Rows of the plan up to which it is broadcast; a row takes 48 bytes.
@@ -68,9 +66,9 @@ class Encoder:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
-@lru_cache(2)
 def encoder(path: str) -> Encoder:
-    return Encoder(path)
+    """The worker's encoder; its cache lasts until another operator runs there."""
+    return held(("encoder", path), lambda: Encoder(path))
 
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -78,28 +76,25 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 def tokenized(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, with_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, and ids (binary) if asked for."""
-    ship(docs.sparkSession)
     path = path or tokenizer_path(VOCABULARY)
     end = END_ID.to_bytes(4, "little")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    schema = PIECES + (", ids binary" if with_ids else "")
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def run(batches: Iterator[dict]) -> Iterator[dict]:
         e = encoder(path)
-        for pdf in batches:
-            for at in range(0, len(pdf), 500):
-                part = pdf.iloc[at : at + 500]
-                rows = []
-                for doc, ids in zip(part["doc_id"], e.encode(list(part["text"])), strict=True):
-                    ids += end
-                    for k in range(0, len(ids), 4 * capacity):
-                        x = ids[k : k + 4 * capacity]
-                        rows.append((doc, k // (4 * capacity), k // 4, len(x) // 4, zlib.crc32(x), *([x] if with_ids else [])))
-                out = pd.DataFrame(rows, columns=[f.split()[0] for f in schema.split(", ")])
-                out["doc_id"] = out["doc_id"].astype("Int64")
-                yield out
+        for part in batches:
+            rows = []
+            for doc, ids in zip(part["doc_id"], e.encode(part["text"]), strict=True):
+                ids += end
+                for k in range(0, len(ids), 4 * capacity):
+                    x = ids[k : k + 4 * capacity]
+                    rows.append((doc, k // (4 * capacity), k // 4, len(x) // 4, zlib.crc32(x), *([x] if with_ids else [])))
+            yield dict(zip(names, map(list, zip(*rows, strict=True)), strict=True))
 
-    schema = PIECES + (", ids binary" if with_ids else "")
     picked = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    return picked.mapInPandas(run, schema)
+    return map_lists(picked, run, schema, holds=True)
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.common import ship, written
+from assayer.llm.common import free_name, map_lists, read, ship, written
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
@@ -72,20 +72,16 @@ def measure(text: str | None) -> tuple[int, ...]:
     return len(words), chars, sum(map((text or "").count, SYMBOLS)), len(lines), dup, repeated_words(words)
 
 
-def _measure_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        out = np.array([measure(t) for t in pdf["text"]], dtype=np.int64).reshape(-1, len(COUNTS))
-        rest = pdf.drop(columns=["text"])
-        for k, c in enumerate(COUNTS):
-            rest[c] = out[:, k]
-        yield rest
+def _measure_batches(batches: Iterator[dict]) -> Iterator[dict]:
+    for x in batches:
+        out = np.array([measure(t) for t in x.pop("text")], dtype=np.int64).reshape(-1, len(COUNTS))
+        yield x | dict(zip(COUNTS, out.T, strict=True))
 
 
 def measured(docs: DataFrame) -> DataFrame:
     """doc_id, host and COUNTS of each row of docs (doc_id, text, source)."""
-    ship(docs.sparkSession)
     picked = docs.select(F.col("doc_id").cast("long"), F.coalesce("source", F.lit("")).alias("host"), "text")
-    return picked.mapInPandas(_measure_batches, MEASURED)
+    return map_lists(picked, _measure_batches, MEASURED)
 
 
 def with_rules(counts: DataFrame) -> DataFrame:
@@ -142,11 +138,11 @@ def keep(docs: DataFrame, max_rate: float = MAX_HOST_RATE) -> DataFrame:
     ship(docs.sparkSession)
     bad = written(host_verdicts(with_rules(measured(docs)), max_rate).where("host_rejected").select("host", "host_rejected"))
     flags = F.pandas_udf(_flags, "struct<base_failed:boolean,soft_failed:boolean>")
-    marked = docs.withColumns({"_host": F.coalesce("source", F.lit("")), "_flags": flags(F.col("text"))})
-    marked = marked.where("NOT _flags.base_failed")
+    host, failed, rejected = free_name(docs, "_host"), free_name(docs, "_failed"), free_name(docs, "_rejected")
+    marked = docs.withColumns({host: F.coalesce("source", F.lit("")), failed: flags(F.col("text"))}).where(~F.col(failed)["base_failed"])
     if not bad.isEmpty():
-        b = bad.withColumnRenamed("host", "_host").withColumnRenamed("host_rejected", "_rejected")
-        marked = marked.join(b, "_host", "left").where("NOT (coalesce(_rejected, false) AND _flags.soft_failed)")
+        verdicts = bad.select(F.col("host").alias(host), F.col("host_rejected").alias(rejected))
+        marked = marked.join(verdicts, host, "left").where(~(F.coalesce(rejected, F.lit(False)) & F.col(failed)["soft_failed"]))
     return marked.select(*docs.columns)
 
 
@@ -160,8 +156,6 @@ def _flags(texts: pd.Series) -> pd.DataFrame:
 
 
 def op3_quality_rules(spark, sf_dir: str) -> DataFrame:
-    from assayer.llm.common import read
-
     out = judge(read(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 

@@ -200,7 +200,7 @@ def test_links_across_components():
             both = len(np.intersect1d(sets[x], sets[y]))
             if labels[x] != labels[y] and 100 * both >= 72 * (len(sets[x]) + len(sets[y]) - both):
                 want.add(frozenset((x, y)))
-    assert {frozenset(p) for p in near_dedup.links_across(sets, labels, 72)} == want and want
+    assert {frozenset(p) for p in near_dedup.links_across(sets, labels, labels != 1, 72)} == want and want
 
 
 def test_components_of_chains_stars_and_cycles(spark):
@@ -301,6 +301,50 @@ def test_passages_beside_a_hot_line_are_found(spark):
     assert found == {(k + 1, k) for k in range(12, 92, 2)}
 
 
+def test_risk_and_prior_against_brute_force(spark):
+    rng = np.random.default_rng(11)
+    n, d = 4000, 6
+    good = rng.random(n) < 0.7
+    x = np.hstack([np.ones((n, 1)), rng.normal(size=(n, d)) + good[:, None] * 1.2])
+    known = np.flatnonzero(good)[:900]
+    u, p = x.T @ x / n, x[known].T @ x[known] / len(known)
+
+    def risk(w, prior):  # row by row
+        g = x @ w
+        negative = ((1 + g) ** 2).mean() / 4 - prior * ((1 + g[known]) ** 2).mean() / 4
+        return prior * ((1 - g[known]) ** 2).mean() / 4 + max(0.0, negative) + quality_classifier.RIDGE * (w @ w), negative
+
+    for prior in (0.3, 0.7, 0.95):
+        w = quality_classifier.minimise(u, p, prior)
+        least, negative = risk(w, prior)
+        assert negative > -1e-4
+        for size in (1e-3, 1e-2, 0.1):
+            assert all(risk(w + size * rng.normal(size=d + 1), prior)[0] >= least - 1e-5 for _ in range(200))
+    assert quality_classifier.weighted(u, p, 0.95, 1.0)[1] < 0 < quality_classifier.weighted(u, p, 0.3, 1.0)[1]  # the clamp acts on one of them
+    g = x @ quality_classifier.weighted(u, p, 0.5, 1.0)[0]
+    counts = Counter()
+    for kind, rows in ((0, range(n)), (1, np.flatnonzero(good)[900:])):
+        counts.update((kind, int(k)) for k in np.searchsorted(quality_classifier.GRID, g[rows]))
+    prior = quality_classifier.class_prior(counts)
+    assert abs(prior - good.mean()) < 0.08
+    above = g > quality_classifier.threshold(counts, prior)
+    assert (above == good).mean() > 0.9
+
+
+def test_moments_equal_sums_over_rows(spark):
+    rng = np.random.default_rng(12)
+    width = len(quality_classifier.MEASURES) + 2 * quality_classifier.BUCKETS
+    x = rng.random((50, width)).astype(np.float32).astype(float)
+    y = [None, 1, 2, 1, None] * 10
+    rows = spark.createDataFrame([(list(map(float, a)), b) for a, b in zip(x, y, strict=True)], "x array<float>, y int").repartition(3)
+    edges = [[0.3, 0.6]] * len(quality_classifier.MEASURES)
+    mean, n = quality_classifier.moments(rows, edges)
+    c = quality_classifier.columns_of(x, edges)
+    assert n == {"u": 50, "p": 20, "q": 10} and np.allclose(mean["u"], c.T @ c / 50)
+    good = c[[k for k in range(50) if y[k] == 1]]
+    assert np.allclose(mean["p"], good.T @ good / 20)
+
+
 def test_quality_classifier_on_held_out_rows(spark):
     rng = np.random.default_rng(2)
     words = [f"w{k}" for k in range(400)]
@@ -386,6 +430,10 @@ def test_matroska_round_trip_and_lacing():
     assert matroska.frame_sizes(bytes([1]) + b"x" * 8, 0, 9, 2)[0] == [4, 4]
     with pytest.raises(ValueError):
         matroska.packets(b"\x00\x00")
+    cluster = lambda k: matroska.CLUSTER.to_bytes(4, "big") + b"\xff" + matroska.element(matroska.CLUSTER_TIME, k) + matroska.element(matroska.SIMPLE_BLOCK, b"\x81\x00\x00\x80" + b"x")
+    live = matroska.element(matroska.EBML, b"") + matroska.SEGMENT.to_bytes(4, "big") + b"\x01" + b"\xff" * 7 + b"".join(map(cluster, range(3000)))
+    assert [t for _, t, _, _, _ in matroska.packets(live)] == [k * 1_000_000 for k in range(3000)]
+    assert max(depth for *_, depth in matroska.elements(live)) == 2
 
 
 def test_media_of_documents(docs):
@@ -409,6 +457,22 @@ def test_license_scan(docs):
     assert licenses.tokens("A-b É1\x00Z") == ["a".encode(), b"b", "É1".encode(), b"z"]
 
 
+def test_wrapped_notices_are_found(spark):
+    text = licenses.TEMPLATES["mit-grant"].split()
+    wrapped = "Some words before\n" + "\n".join(" ".join(text[k : k + 9]) for k in range(0, len(text), 9)) + "\nand after"
+    apart = "\n\n\n\n\n".join(text)
+    got = {r["doc_id"]: r["labels"] for r in licenses.scan(spark.createDataFrame([(1, wrapped), (2, apart)], "doc_id long, text string")).collect()}
+    assert "mit-grant" in got[1].split(",") and "mit-grant" not in got[2].split(",")
+
+
+def test_turns_of_one_number_are_ordered_by_their_raw_texts(spark):
+    rows = [(1, 0, "user", "<a"), (1, 0, "user", "<|x"), (1, 0, "user", "<a")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    chats = chat.format_chats(df.select("conv_id", "turn", "role", chat.text_parts(F.col("text")).alias("parts")))
+    turns = chats.select(chat.read_turns(F.col("formatted")).alias("t")).first()["t"]
+    assert [t["text"] for t in turns] == sorted(r[3] for r in rows)
+
+
 def test_chat_round_trip_and_mask(spark):
     rows = [(1, 0, "user", "hi <|im_end|> <\\|x <| <\\\\|"), (1, 1, "assistant", "<|im_start|>assistant\nno"), (1, 2, "assistant", None), (1, 3, "we%ird<\n", "x"), (2, 0, None, ""), (None, 0, "assistant", "é\U0001f600")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
@@ -439,6 +503,29 @@ def test_empty_tables(spark, empty):
     assert quality_classifier.scored(empty, spark.createDataFrame([], "doc_id long, quality int")).count() == 0
 
 
+def test_large_ids_beside_nulls_stay_exact(spark):
+    text = " ".join(f"w{k}" for k in range(60))
+    ids = [2**53 + 1, None, 2**53 + 3, None]
+    docs = spark.createDataFrame([(d, f"{text} {k}", "en", "s", 1) for k, d in enumerate(ids)], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1)
+    labels = spark.createDataFrame([(2**53 + 1, 1)], "doc_id long, quality int")
+    given = [
+        pieces.whole(pieces.encode(docs)), packing.pack(docs), quality_rules.judge(docs), quality_classifier.scored(docs, labels),
+        language.identify(docs, F.lit(True)), matroska.digests(matroska.media(docs)), licenses.scan(docs),
+    ]
+    for out in given:
+        assert Counter(r["doc_id"] for r in out.collect()) == Counter(ids)
+    for out in (near_dedup.near_duplicates(docs), near_dedup.keep_one(docs).where("doc_id IS NOT NULL"), substring_dedup.cut_duplicates(docs).where("doc_id IS NOT NULL")):
+        assert {r["doc_id"] for r in out.collect()} <= {2**53 + 1, 2**53 + 3}
+    chats = chat.format_chats(spark.createDataFrame([(d, 0, "user", "x") for d in ids[:3]], "conv_id long, turn long, role string, text string").select("conv_id", "turn", "role", chat.text_parts(F.col("text")).alias("parts")))
+    assert {r["conv_id"] for r in chats.collect()} == set(ids)
+
+
+def test_columns_that_clash_with_ours_come_back(spark, docs):
+    odd = docs.withColumns({c: F.lit("mine") for c in ("_host", "_failed", "_rejected", "_id", "_spans", "component_id", "key")})
+    for out in (quality_rules.keep(odd), near_dedup.keep_one(odd), substring_dedup.cut_duplicates(odd), language.keep_known(odd, F.lit(True))):
+        assert out.columns == odd.columns and all(r["_host"] == r["_spans"] == r["_id"] == "mine" for r in out.collect())
+
+
 def test_rows_without_an_id(spark):
     text = " ".join(f"w{k}" for k in range(60))
     docs = spark.createDataFrame([(None, text), (1, text), (2, text)], "doc_id long, text string")
