@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -16,7 +17,7 @@ from pyspark.sql.types import StructType
 
 from assayer.shipping import ship
 
-__all__ = ["crc_mod", "free_name", "held", "lower_ascii", "map_lists", "read", "shared_dir", "ship", "tokenizer_path", "written"]
+__all__ = ["crc_mod", "free_name", "held", "lower_ascii", "map_lists", "read", "release", "shared_dir", "ship", "tokenizer_path", "written"]
 
 #: Rows of an Arrow batch that are turned into Python values at once.
 SLICE_ROWS = 500
@@ -31,6 +32,15 @@ def held(key: tuple, make: Callable[[], Any]) -> Any:
     return _HELD[key]
 
 
+def release() -> None:
+    """Give free memory back to the system, so that a worker that is used again does not keep what a task had at its largest."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def map_lists(df: DataFrame, run: Callable[[Iterator[dict[str, list]]], Iterable[dict]], schema: str, holds: bool = False) -> DataFrame:
     """mapInArrow with plain lists by column in and lists or arrays by column out.
 
@@ -51,6 +61,7 @@ def map_lists(df: DataFrame, run: Callable[[Iterator[dict[str, list]]], Iterable
             _HELD.clear()
         for out in run(slices(batches)):
             yield pa.RecordBatch.from_pydict(out, schema=target)
+        release()
 
     return df.mapInArrow(over, schema)
 

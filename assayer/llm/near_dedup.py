@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.common import lower_ascii, read, ship, written
+from assayer.llm.common import lower_ascii, read, release, ship, written
 from assayer.llm.components import components
 
 SHINGLE = 5
@@ -110,6 +110,7 @@ def signatures(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
                 "set_hash": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets],
                 "bands": [sign(s) if len(s) else [] for s in sets],
             })
+        release()
 
     return docs.select(F.col("doc_id").cast("long"), "text").where("doc_id IS NOT NULL").mapInPandas(run, SIGNED)
 
@@ -132,6 +133,7 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
                 both = len(np.intersect1d(x, kept, assume_unique=True))
                 ok.append(100 * both >= percent * (len(x) + len(kept) - both))
             yield pdf.loc[ok, ["a", "b"]]
+        release()
 
     return both.select("a", "b", "text_a", "text_b").mapInPandas(run, "a long, b long")
 
