@@ -59,8 +59,38 @@ def match_confidence(score: Column) -> Column:
     return F.when(score > 0.7, "high").when(score > 0.5, "medium").otherwise("low")
 
 
-#: Identifier prefixes of courts by jurisdiction, the first match wins. The short one is what ids carry after truncation.
-JURISDICTION_ARMS = (("canlii", "CA"), ("bailii", "UK"), ("austlii", "AU"), ("nzlii", "NZ"), ("hklii", "HK"), ("courtliste", "US"), ("singapore", "SG"))
+#: Parts of case ids by jurisdiction, the first match wins; the short name is what ids carry after truncation: fixed values.
+JURISDICTION_ARMS = (("-onca-", "CA"), ("-fc-", "CA"), ("-fca-", "CA"), ("bailii", "UK"), ("courtliste", "US"), ("nzlii", "NZ"), ("austlii", "AU"))
+#: The reduced ladder of the summaries: fixed values.
+SUMMARY_JURISDICTIONS = (("bailii", "UK"), ("courtlistener", "US"), ("nzlii", "NZ"))
+#: Names of models as shown, the first pattern that occurs wins: fixed values.
+MODEL_NAMES = (
+    ("gpt-5.2-concise", "GPT-5.2-Concise"),
+    ("gpt-5", "GPT-5.2"),
+    ("gpt-4o-mini", "GPT-4o Mini"),
+    ("gpt-4o", "GPT-4o"),
+    ("claude-sonnet-4\\.5", "Claude Sonnet 4.5"),
+    ("claude-sonnet-4", "Claude Sonnet 4"),
+    ("claude-3.5-haiku", "Claude 3.5 Haiku"),
+    ("gemini-3-pro", "Gemini 3 Pro"),
+    ("gemini-2.0-flash", "Gemini 2.0 Flash"),
+    ("llama-4-maverick", "Llama 4 Maverick"),
+    ("llama-4-scout", "Llama 4 Scout"),
+    ("qwen3", "Qwen3 30B"),
+    ("qwen-2.5", "Qwen 2.5 72B"),
+    ("grok", "Grok 4.1"),
+    ("deepseek", "DeepSeek R1"),
+    ("mistral", "Mistral Large"),
+)
+
+
+def model_name(col: Column) -> Column:
+    """A model's name as shown; others as they are."""
+    return ladder(col, MODEL_NAMES, col)
+
+
+def summary_jurisdiction(case_id: Column) -> Column:
+    return jurisdiction(case_id, SUMMARY_JURISDICTIONS, "Unknown")
 
 
 def jurisdiction(case_id: Column, arms: Sequence[tuple[str, str]] = JURISDICTION_ARMS, default: str | None = None) -> Column:
@@ -81,16 +111,22 @@ def clamp_ratio(value: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), v.cast("double")))
 
 
-TRUE_WORDS = ("true", "yes", "y", "1", "breach", "established")
-FALSE_WORDS = ("false", "no", "n", "0", "none", "not established")
+#: Words of the strict variant, and more words of the one that takes all else as false: fixed values.
+TRUE_WORDS, FALSE_WORDS = ("true", "yes", "1"), ("false", "no", "0")
+MORE_TRUE_WORDS = ("established", "proven", "found")
 
 
 def coerced_bool(col: Column, unknown: bool | None = None) -> Column:
-    """Free text to boolean; what is neither becomes `unknown`."""
+    """Free text to boolean. With unknown null only plain words count; with unknown false findings count as true as well and all else is false."""
+    if unknown is None:
+        word = F.lower(col.cast("string"))
+        return F.when(word.isin(*TRUE_WORDS), True).when(word.isin(*FALSE_WORDS), False).otherwise(F.lit(None).cast("boolean"))
     word = F.lower(F.trim(col.cast("string")))
-    return F.when(word.isin(*TRUE_WORDS), True).when(word.isin(*FALSE_WORDS), False).otherwise(F.lit(unknown).cast("boolean"))
+    return F.when(word.isin(*TRUE_WORDS, *MORE_TRUE_WORDS), True).when(word.isin(*FALSE_WORDS), False).otherwise(F.lit(unknown))
 
 
+#: Parts of texts that stand for an empty list: fixed values.
+LIST_PLACEHOLDERS = ("not documented", "unknown", "none")
 PLACEHOLDERS = ("n/a", "none", "not specified", "unknown", "not mentioned", "not documented", "null")
 
 
@@ -100,8 +136,8 @@ def placeholder(col: Column, words: Sequence[str] = PLACEHOLDERS, empty: bool =
     return F.when(col.isNull() | (word == ""), F.lit(empty)).otherwise(word.isin(*words))
 
 
-def coerced_list(col: Column, words: Sequence[str] = PLACEHOLDERS) -> Column:
-    """A JSON list of texts, or a single text as a list of one; placeholders and nulls are the empty list."""
-    none = F.array().cast("array<string>")
-    parsed = F.from_json(col, "array<string>")
-    return F.when(placeholder(col, words), none).when(col.rlike(r"^\s*\[") & parsed.isNotNull(), parsed).otherwise(F.array(col))
+def coerced_list(col: Column, parts: Sequence[str] = LIST_PLACEHOLDERS) -> Column:
+    """A JSON list of texts, or a single text as a list of one; a text that holds a placeholder is the empty list; null stays null."""
+    none, parsed = F.array().cast("array<string>"), F.from_json(col, "array<string>")
+    out = F.when(col.isNull(), F.lit(None).cast("array<string>")).when(col.rlike(r"^\s*\[") & parsed.isNotNull(), parsed)
+    return out.when(col.rlike("(?i)" + "|".join(parts)), none).otherwise(F.array(col))

@@ -86,7 +86,8 @@ def global_overlap(col: Column, least: int = 3) -> Column:
     return let(sets, lambda x: F.when(F.size(x) >= 2, let(F.array_sort(F.flatten(x)), share)))
 
 
-PRONOUNS = ("i", "me", "my", "mine", "we", "us", "our", "ours", "you", "your", "yours", "he", "him", "his", "she", "her", "hers", "it", "its", "they", "them", "their", "theirs")
+#: Pronouns counted: fixed values.
+PRONOUNS = ("i", "you", "he", "she", "it", "we", "they", "me", "him", "her", "us", "them", "my", "your", "his", "its", "our", "their")
 
 
 def pronoun_density(col: Column, pronouns: Sequence[str] = PRONOUNS) -> Column:
@@ -147,7 +148,8 @@ def any_date(col: Column, formats: Sequence[str] = DATE_FORMATS) -> Column:
     return F.coalesce(*[F.try_to_timestamp(F.trim(col), F.lit(f)) for f in formats]).cast("date")
 
 
-TRACKING = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "ref", "source", "fbclid", "gclid")
+#: Starts of parameters that only track visitors: fixed values.
+TRACKING = ("utm_", "ref=", "source=", "click=")
 
 
 def normalized_url(col: Column, tracking: Sequence[str] = TRACKING) -> Column:
@@ -156,15 +158,16 @@ def normalized_url(col: Column, tracking: Sequence[str] = TRACKING) -> Column:
     bare = F.regexp_replace(F.when(low.rlike("^[a-z][a-z0-9+.-]*://"), low).otherwise(F.concat(F.lit("https://"), low)), "#.*$", "")
     path = F.regexp_replace(F.substring_index(bare, "?", 1), "/+$", "")
     query = F.when(bare.contains("?"), F.regexp_extract(bare, r"\?(.*)$", 1)).otherwise("")
-    kept = F.array_sort(F.filter(F.split(query, "&"), lambda p: (p != "") & ~F.substring_index(p, "=", 1).isin(*tracking)))
+    kept = F.array_sort(F.filter(F.split(query, "&"), lambda p: (p != "") & ~p.rlike("^(?:" + "|".join(map(re.escape, tracking)) + ")")))
     return F.when(F.size(kept) > 0, F.concat(path, F.lit("?"), F.array_join(kept, "&"))).otherwise(path)
 
 
-TITLE_STOP = ("the", "a", "an", "of", "in", "and", "for", "on", "to", "by")
+#: Words left out of titles: fixed values.
+TITLE_STOP = ("the", "a", "an", "and", "or", "of", "in", "on", "at", "to", "for")
 
 
 def normalized_title(col: Column, stop: Sequence[str] = TITLE_STOP) -> Column:
-    parts = F.split(F.trim(F.regexp_replace(F.lower(col), r"[^\w\s&]", " ")), r"\s+")
+    parts = F.split(F.trim(F.regexp_replace(F.lower(col), r"(?U)[^\w\s&]", "")), r"\s+")
     return F.array_join(F.filter(parts, lambda w: (w != "") & ~w.isin(*stop)), " ")
 
 

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from assayer.shipping import ship
+
 BLOCK_TAGS = ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "div", "blockquote", "td", "article", "section")
 SILENT_TAGS = ("script", "style", "head", "noscript")
 HEADINGS = r"(?i)^\s*(?:[ivx\d]+[.)]\s*)?(?:introduction|background|facts?|evidence|issues?|discussion|analysis|findings|conclusions?|judge?ment|orders?|damages)\s*:?\s*$"
@@ -68,6 +70,7 @@ def html_paragraphs(pages: DataFrame, key: str, html: str) -> DataFrame:
             rows = [(k, pos, tag, text) for k, h in zip(pdf[key], pdf[html], strict=True) for pos, (tag, text) in enumerate(html_blocks(h))]
             yield pd.DataFrame(rows, columns=[key, "pos", "tag", "text"])
 
+    ship(pages.sparkSession)
     return pages.select(key, html).mapInPandas(run, f"{key} {dict(pages.dtypes)[key]}, pos int, tag string, text string")
 
 
@@ -138,6 +141,7 @@ def segments(paragraphs: DataFrame, key: str, pos: str, tokens: str, budget: int
         return pd.DataFrame(rows, columns=[key, *[f.split()[0] for f in SEGMENT.split(", ")]])
 
     picked = paragraphs.select(key, pos, tokens, *([priority] if priority else []))
+    ship(picked.sparkSession)
     return picked.groupBy(key).applyInPandas(run, f"{key} {dict(paragraphs.dtypes)[key]}, {SEGMENT}")
 
 
@@ -163,6 +167,7 @@ def evidence_context(paragraphs: DataFrame, key: str, pos: str, text: str, token
         rows = [(pdf[key].iloc[0], int(pdf[pos][k]), taken[k]) for k in sorted(taken)]
         return pd.DataFrame(rows, columns=[key, "pos", "reason"])
 
+    ship(paragraphs.sparkSession)
     return paragraphs.select(key, pos, text, tokens).groupBy(key).applyInPandas(run, f"{key} {dict(paragraphs.dtypes)[key]}, pos int, reason string")
 
 

@@ -77,7 +77,8 @@ def issue_frequency(df: DataFrame, found: str, k: int = 10) -> DataFrame:
     return df.select(F.explode(found).alias("i")).groupBy(F.col("i.code").alias("code")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "code").limit(k)
 
 
-GRADES = ((0.8, "excellent"), (0.65, "good"), (0.5, "fair"), (0.35, "poor"))
+#: Least scores of the grades: fixed names.
+GRADES = ((0.8, "excellent"), (0.65, "good"), (0.5, "marginal"), (0.35, "poor"))
 
 
 def suitability(parts: Sequence[tuple[Column, float]]) -> Column:
@@ -87,7 +88,7 @@ def suitability(parts: Sequence[tuple[Column, float]]) -> Column:
     return total
 
 
-def grade(score: Column, grades: Sequence[tuple[float, str]] = GRADES, rest: str = "unusable") -> Column:
+def grade(score: Column, grades: Sequence[tuple[float, str]] = GRADES, rest: str = "unsuitable") -> Column:
     out = None
     for least, name in grades:
         out = F.when(score >= least, name) if out is None else out.when(score >= least, name)

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from assayer.shipping import ship
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a.cast("array<double>"), b.cast("array<double>"), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
@@ -55,6 +57,7 @@ def top_matches(queries: DataFrame, index: DataFrame, query_id: str, code_id: st
                     got = pd.DataFrame({query_id: some[query_id].to_numpy()[rows], code_id: ids[best.ravel()], "score": scores[rows, best.ravel()]})
                     yield got[got["score"] >= threshold]
 
+        ship(asked.sparkSession)
         found = asked.mapInPandas(run, kinds)
         out = found if out is None else out.unionByName(found)
     if out is None:

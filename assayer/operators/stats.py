@@ -15,11 +15,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayer.functions import tails
+from assayer.shipping import ship
 
 
 def _p(kind: str, *cols: Column) -> Column:
     """A tail as a column of a small frame."""
     f = getattr(tails, kind)
+    ship()
 
     @F.pandas_udf("double")
     def tail(*series: pd.Series) -> pd.Series:

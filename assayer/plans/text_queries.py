@@ -27,11 +27,11 @@ def lexical_overlap(spark, sf_dir):
 
 
 def pronoun_density(spark, sf_dir):
-    return _docs(spark, sf_dir).where("lang = 'en'").select("doc_id", T.pronoun_density(F.col("text")).alias("per_hundred"))
+    return _docs(spark, sf_dir).select("doc_id", T.pronoun_density(F.col("text")).alias("per_hundred"))
 
 
 def readability(spark, sf_dir):
-    return _docs(spark, sf_dir).where("lang = 'en'").select("doc_id", T.grade_level(F.col("text")).alias("grade"), T.smog_index(F.col("text")).alias("smog"))
+    return _docs(spark, sf_dir).select("doc_id", T.grade_level(F.col("text")).alias("grade"), T.smog_index(F.col("text")).alias("smog"))
 
 
 def keyword_flags(spark, sf_dir):
@@ -66,7 +66,7 @@ def content_hash_dupes(spark, sf_dir):
 
 def redacted_texts(spark, sf_dir):
     t = T.without_terms(F.col("text"), ("the", "and", "idiot"))
-    return _docs(spark, sf_dir).where("lang = 'en'").select("doc_id", F.length(t).cast("long").alias("n"), F.md5(t).alias("digest"))
+    return _docs(spark, sf_dir).select("doc_id", F.length(t).cast("long").alias("n"), F.md5(t).alias("digest"))
 
 
 def questions_before_final(spark, sf_dir):
@@ -89,7 +89,8 @@ def json_props(spark, sf_dir):
 
 def title_keys(spark, sf_dir):
     p = read(spark, sf_dir, "part")
-    return p.groupBy(T.case_key(F.col("p_type"), F.col("p_name")).alias("key"), T.normalized_title(F.concat(F.lit("The "), F.col("p_name"))).alias("title")).agg(F.count("*").alias("n"))
+    title = F.concat(F.lit("The Matter of O'Neil & Co. at "), F.col("p_name"), F.lit(" by or for it"))
+    return p.groupBy(T.case_key(F.col("p_type"), F.col("p_name")).alias("key"), T.normalized_title(title).alias("title")).agg(F.count("*").alias("n"))
 
 
 QUERIES = {f.__name__: f for f in (
@@ -119,10 +120,10 @@ g AS (SELECT doc_id, count(*) AS d, count(*) FILTER (c > 1) AS r FROM (
   SELECT doc_id, x, count(*) AS c FROM (SELECT doc_id, unnest(flatten(list_transform(w, lambda l: list_filter(l, lambda y: length(y) > 3)))) AS x FROM w) GROUP BY ALL) GROUP BY 1)
 SELECT w.doc_id, CASE WHEN n >= 50 AND len(w) >= 2 THEN round(m, 3) + 0.0 END AS adjacent, CASE WHEN len(w) >= 2 THEN round(r / d, 3) + 0.0 END AS overall
 FROM w LEFT JOIN p USING (doc_id) LEFT JOIN g USING (doc_id)""",
-    "pronoun_density": f"""SELECT doc_id, CASE WHEN len({_WORDS.format(t='text')}) > 0 THEN round(100.0 * len(regexp_extract_all(lower(text), '\\b(?:{'|'.join(T.PRONOUNS)})\\b')) / len({_WORDS.format(t='text')}), 2) END AS per_hundred
-FROM documents WHERE lang = 'en'""",
+    "pronoun_density": f"""SELECT doc_id, CASE WHEN len({_WORDS.format(t='text')}) > 0 THEN round(100.0 * len(regexp_extract_all(regexp_replace(lower(text), '[\u00c0-\u024f]', 'x', 'g'), '\\b(?:i|you|he|she|it|we|they|me|him|her|us|them|my|your|his|its|our|their)\\b')) / len({_WORDS.format(t='text')}), 2) END AS per_hundred
+FROM documents""",
     "readability": f"""WITH d AS (SELECT doc_id, length(text) AS n, {_WORDS.format(t='text')} AS w, greatest(len({_SENTENCES.format(t='text', n=0)}), 1) AS s,
-  len(regexp_extract_all(lower(text), '[aeiouy]+')) AS v FROM documents WHERE lang = 'en')
+  len(regexp_extract_all(lower(text), '[aeiouy]+')) AS v FROM documents)
 SELECT doc_id, CASE WHEN n >= 50 THEN round(least(20.0, greatest(0.0, 0.39 * len(w)::DOUBLE / s + 11.8::DOUBLE * greatest(v, len(w)) / greatest(len(w), 1) - 15.59)), 2) END AS grade,
        CASE WHEN n >= 50 THEN round(least(20.0, 1.0430 * sqrt(len(list_filter(w, lambda x: len(regexp_extract_all(x, '[aeiouy]+')) >= 3)) * 30.0::DOUBLE / s) + 3.1291), 2) END AS smog FROM d""",
     "keyword_flags": f"""SELECT doc_id, {' OR '.join(_HAS.format(t) for t in TERMS)} AS any_term, {_label_hits(TERMS)} AS n_terms,
@@ -139,14 +140,16 @@ SELECT coalesce(m[1], 'plain') AS first, CASE WHEN list_contains(m, 'rude') THEN
     "url_normalize": f"""WITH b AS (SELECT page_id, regexp_replace(lower(trim(url)), '#.*$', '') AS u FROM pages),
 p AS (SELECT page_id, regexp_replace(split_part(u, '?', 1), '/+$', '') AS path,
   list_sort(list_filter(string_split(CASE WHEN contains(u, '?') THEN regexp_extract(u, '\\?(.*)$', 1) ELSE '' END, '&'),
-    lambda x: x <> '' AND NOT list_contains({list(T.TRACKING)}, split_part(x, '=', 1)))) AS q FROM b)
+    lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_|ref=|source=|click=)'))) AS q FROM b)
 SELECT page_id, CASE WHEN len(q) > 0 THEN path || '?' || array_to_string(q, '&') ELSE path END AS url FROM p""",
     "content_hash_dupes": "SELECT copies, count(*) AS texts FROM (SELECT count(*) AS copies FROM documents GROUP BY text) GROUP BY 1",
+    "redacted_texts": r"""WITH r AS (SELECT doc_id, trim(regexp_replace(regexp_replace(text, '(?i)\b(?:the|and|idiot)\b', '', 'g'), '\s+', ' ', 'g')) AS t FROM documents)
+SELECT doc_id, length(t)::BIGINT AS n, md5(t) AS digest FROM r""",
     "questions_before_final": """WITH m AS (SELECT conv_id, min(turn) AS f FROM conversations WHERE contains(text, 'The ') GROUP BY 1)
 SELECT conv_id, nullif(count(*) FILTER (role = 'user' AND turn < coalesce(f, 1000000000)), 0)::BIGINT AS questions FROM conversations LEFT JOIN m USING (conv_id) GROUP BY 1""",
     "intent_ladder": f"""SELECT role, CASE WHEN contains(lower(text), 'write ') OR contains(lower(text), 'list ') THEN 'order_test'
   WHEN contains(lower(text), 'should ') OR contains(lower(text), 'because') THEN 'recommendation' WHEN contains(text, '?') THEN 'question'
   WHEN len({_WORDS.format(t='text')}) < 5 THEN 'short' ELSE 'response' END AS intent, count(*) AS n FROM conversations GROUP BY ALL""",
     "json_props": "SELECT event_type, sum((props::JSON->>'k')::BIGINT)::BIGINT AS total, count(props::JSON->>'k') AS n FROM events GROUP BY 1",
-    "title_keys": """SELECT substr(lower(substr(p_type, 1, 10)) || '-' || regexp_replace(p_name, '[^a-z0-9]+', '-', 'g'), 1, 64) AS key, lower(p_name) AS title, count(*) AS n FROM part GROUP BY ALL""",
+    "title_keys": """SELECT substr(lower(substr(p_type, 1, 10)) || '-' || regexp_replace(p_name, '[^a-z0-9]+', '-', 'g'), 1, 64) AS key, 'matter oneil & co ' || lower(p_name) || ' by it' AS title, count(*) AS n FROM part GROUP BY ALL""",
 }

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from assayer.shipping import ship
+
 STEP_MINUTES = 15
 LIMIT_MINUTES = 120
 STATE = "elapsed int, tests int, imaging int, urgent boolean"
@@ -61,6 +63,7 @@ def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
 
 def track(stream: DataFrame) -> DataFrame:
     """REPLY of a stream of events, a row for each event; an end event clears its session's state."""
+    ship(stream.sparkSession)
     return stream.groupBy("session_id").applyInPandasWithState(_advance, REPLY, STATE, "append", GroupStateTimeout.NoTimeout)
 
 

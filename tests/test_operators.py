@@ -168,9 +168,9 @@ def test_validator_by_mutation(spark):
 
 
 def test_quality_and_grades(spark):
-    assert one(spark, qa.grade(F.lit(0.66))) == "good" and one(spark, qa.grade(F.lit(0.1))) == "unusable"
-    df = spark.createDataFrame([("excellent",), ("fair",), ("poor",)], "g string")
-    assert qa.at_least(df, "g", "fair").count() == 2
+    assert one(spark, qa.grade(F.lit(0.66))) == "good" and one(spark, qa.grade(F.lit(0.1))) == "unsuitable" and one(spark, qa.grade(F.lit(0.55))) == "marginal"
+    df = spark.createDataFrame([("excellent",), ("marginal",), ("poor",)], "g string")
+    assert qa.at_least(df, "g", "marginal").count() == 2
     assert one(spark, qa.verdict_in_tail(F.lit("dismissed " * 10 + "negligent found"), "negligent", "dismissed", 0.14)) == "LIABLE"
     assert one(spark, qa.grounded(F.lit("patient collapsed suddenly"), F.lit("the patient collapsed"), [])) is True
     assert math.isclose(stats.half_width(103), 0.1959963984540054)
