@@ -72,3 +72,20 @@ def test_packing_holds_every_text(stages):
     rows = stages[5].toPandas()
     assert set(rows.doc_id) == _ids(stages[4]) and (rows.groupby("sequence_id").length.sum() <= 4096).all()
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_run_equals_the_stages_one_by_one(spark, stages, tmp_path):
+    spark.createDataFrame(_rows(), SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    key = lambda df: sorted((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in df.collect())
+    assert key(corpus_pipeline.run(spark, str(tmp_path))) == key(stages[5])
+
+
+def test_awkward_tables_go_through(spark, tmp_path):
+    good = _rows()[0][1]
+    rows = [(None, good, "aa", None, 1), (1, good, "aa", "s", 1), (1, good, "aa", "s", 1), (2, None, None, None, None), (3, "", "aa", "s", 0), (4, good + " " + good.upper(), None, "s", 1)]
+    for name, table in (("some", rows), ("none", [])):
+        odd = spark.createDataFrame(table, SCHEMA).selectExpr("*", "'mine' AS _id", "'mine' AS key")
+        odd.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        packed = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
+        assert (len(packed) > 0) == bool(table)
+        assert {r["doc_id"] for r in packed} <= {None, 1, 4}  # empty texts go; a text that repeats itself breaks the base rule or stays
