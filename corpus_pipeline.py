@@ -1,4 +1,10 @@
-"""A training corpus from raw documents: quality rules, language, near duplicates, repeated passages, packing."""
+"""A training corpus from raw documents: quality rules, language, near duplicates, repeated passages, packing.
+
+Rows without a text or with an empty one go at the quality rules. Rows without a doc_id are judged by the first two stages like
+any other and left alone by the next two; rows that repeat a doc_id are kept or dropped together by these. Other columns are
+carried along up to the packing, whatever their names. Of equal documents the one with the least doc_id stays. An empty table
+gives no row.
+"""
 
 from __future__ import annotations
 
@@ -42,7 +48,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: Learned and iterative stages: SQL cannot express them; tests compare run() with a brute-force version.
+#: Learned and iterative stages: SQL cannot express them; tests hold each stage against a plain version, and run() against the stages.
 ORACLE_SQL = None
 
 
