@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from assayer.llm import bpe, chat, language, licenses, matroska, near_dedup, packing, pieces, quality_classifier, quality_rules, substring_dedup
+from assayer.llm import bpe, chat, language, licenses, matroska, near_dedup, packing, pieces, quality_classifier, quality_rules, repair, substring_dedup
 
 QUERIES = {
     "op1_sentencepiece": pieces.op1_sentencepiece,
@@ -17,6 +17,7 @@ QUERIES = {
     "op8_matroska": matroska.op8_matroska,
     "op9_license_scan": licenses.op9_license_scan,
     "op10_chat_format": chat.op10_chat_format,
+    "op11_structure_repair": repair.op11_structure_repair,
     "op13_bpe": bpe.op13_bpe,
     "pipeline": corpus_pipeline.run,
 }
@@ -26,4 +27,5 @@ ORACLES = {
     "op6_near_dedup": near_dedup.ORACLE,
     "op9_license_scan": licenses.ORACLE,
     "op10_chat_format": chat.ORACLE,
+    "op11_structure_repair": repair.ORACLE,
 }
