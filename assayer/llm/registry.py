@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from assayer.llm import bpe, chat, language, licenses, matroska, near_dedup, packing, pieces, quality_classifier, quality_rules, repair, substring_dedup
+from assayer.llm import bpe, chat, language, licenses, matroska, near_dedup, packing, pieces, prefix_trie, quality_classifier, quality_rules, repair, substring_dedup
 
 QUERIES = {
     "op1_sentencepiece": pieces.op1_sentencepiece,
@@ -18,6 +18,7 @@ QUERIES = {
     "op9_license_scan": licenses.op9_license_scan,
     "op10_chat_format": chat.op10_chat_format,
     "op11_structure_repair": repair.op11_structure_repair,
+    "op12_prefix_trie": prefix_trie.op12_prefix_trie,
     "op13_bpe": bpe.op13_bpe,
     "pipeline": corpus_pipeline.run,
 }
@@ -28,4 +29,5 @@ ORACLES = {
     "op9_license_scan": licenses.ORACLE,
     "op10_chat_format": chat.ORACLE,
     "op11_structure_repair": repair.ORACLE,
+    "op12_prefix_trie": prefix_trie.ORACLE,
 }
