@@ -14,67 +14,113 @@ special tokens in a text are those tokens, as in the library.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import heapq
+import itertools
 import json
 import tempfile
 import unicodedata
 import uuid
+from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm.common import held, map_lists, read, tokenizer_path
+from assayer.llm.common import held, map_lists, read, tokenizer_path, written
 
 VOCABULARY = "word_bpe_49k.json"
 #: Words of the lexicon, the most frequent ones, and the bytes of the longest that may enter. They bound what the driver compiles.
-LEXICON_WORDS, WORD_BYTES = 200_000, 64
+LEXICON_WORDS, WORD_BYTES = 250_000, 64
+#: Steps between a frequency and its double: words are taken from the most frequent step downwards, while whole steps fit.
+LEVELS = 32
 #: Distinct parts, and bytes of text, that a counting task takes up before it gives its counts out.
 COUNTED_PARTS, COUNTED_BYTES = 300_000, 1 << 27
 #: Parts in each of the two generations of an encoder's cache (an entry takes about 200 bytes), and bytes of the longest kept.
 CACHE_ENTRIES, CACHED_BYTES = 150_000, 256
-#: Symbols up to which a word is merged by looking for its best pair again and again.
-SHORT = 48
+#: Code points of text that are taken up at once.
+TEXT_CHARS = 1 << 23
+#: What ends a part in a row of ids: no id reaches it, nor do the bytes of two neighbours.
+PART_END = b"\xff" * 4
+#: Bytes up to which words are merged many at once, and how many.
+SHORT, TOGETHER = 48, 4096
+NEVER = 1 << 40
 
 
 class Vocabulary:
     """Ids, merges and patterns of a vocabulary file of the tokenizers library: byte-level BPE with word ends."""
 
     def __init__(self, path: str):
-        self.path, self.library = path, None
+        self.path, self.library, self.known = path, None, set()
         with open(path, encoding="utf-8") as f:
             whole = json.load(f)
         model, self.end = whole["model"], whole["model"]["end_of_word_suffix"]
         ids = model["vocab"]
         chars = _byte_chars()
-        self.inner = [ids.get(c) for c in chars]
-        self.last = [ids.get(c + self.end) for c in chars]
+        self.inner = np.array([ids[c] for c in chars])
+        self.last = np.array([ids[c + self.end] for c in chars])
         self.pairs = {(ids[a], ids[b]): (rank, ids[a + b]) for rank, (a, b) in enumerate(model["merges"])}
+        made = sorted((a * (1 << 20) + b, rank) for (a, b), (rank, _) in self.pairs.items())
+        self.pair_keys, self.pair_ranks = (np.array(x, np.int64) for x in zip(*made, strict=True))
+        self.pair_made = np.array([x for _, x in sorted(self.pairs.values())])
         self.special = {t["content"]: t["id"] for t in whole["added_tokens"]}
         self.tokens = {k: t.encode("utf-8") for t, k in {**ids, **self.special}.items()}
         pattern = next(p["pattern"]["Regex"] for p in whole["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.words = regex.compile(pattern).findall
+        self.words = regex.compile(pattern + r"|\n").findall  # a line feed is a word here: it tells where a stretch ends
         self.cut = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")").split
 
-    def pieces(self, part: str) -> list[bytes | int]:
-        """The words (UTF-8) and the special ids of a text, in order."""
-        if "<|" not in part:
-            return self._words(part)
-        out: list[bytes | int] = []
-        for x in self.cut(part):
-            out += [self.special[x]] if x in self.special else self._words(x)
+    def plain(self, text: str) -> bool:
+        """Whether a text's normal form, cut at white space, tells all: no special tokens, no characters that Python does not know."""
+        return "<|" not in text and self._knows(text)
+
+    def odd_parts(self, text: str) -> list[bytes]:
+        """Any text as stretches of its normal form without white space; after a line feed: special tokens, and words as they are."""
+        out: list[bytes] = []
+        for x in self.cut(text):
+            if x in self.special:
+                out.append(b"\n" + x.encode("utf-8"))
+            else:
+                out += normal(x).encode("utf-8").split() if self._knows(x) else [b"\n" + w for w in self._newer(x)]
         return out
 
-    def _words(self, text: str) -> list[bytes]:
-        if not text.isascii() and any(map(_unassigned, text)):
-            return self._newer(text)
-        return [w.encode("utf-8") for w in self.words(normal(text))]
+    def parts(self, texts: list[str | None]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """The distinct parts of texts, the number of each part among these, in order, and how many parts each text has."""
+        texts = [t or "" for t in texts]
+        odd = {k: self.odd_parts(t) for k, t in enumerate(texts) if not self.plain(t)}
+        forms = pa.array([b"" if k in odd else normal(t).encode("utf-8") for k, t in enumerate(texts)], pa.large_binary())
+        cut = pc.ascii_split_whitespace(forms.cast(pa.large_string()))
+        found = cut.flatten().cast(pa.large_binary()).dictionary_encode()
+        names, numbers = found.dictionary.to_pylist(), found.indices.to_numpy(zero_copy_only=False)
+        sizes = np.diff(cut.offsets.to_numpy())
+        if odd:
+            place = {p: k for k, p in enumerate(names)}
+            rows = np.split(numbers, np.cumsum(sizes)[:-1])
+            for k, parts in odd.items():
+                rows[k] = np.array([place.setdefault(p, len(place)) for p in parts], np.int64)
+            names, numbers, sizes = [*place], np.concatenate(rows), np.array([*map(len, rows)])
+        return names, numbers, sizes
+
+    def pieces(self, parts: list[bytes]) -> list[str]:
+        """The words of stretches, in one list, with a line feed after each stretch."""
+        return self.words(b"\n".join((*parts, b"")).decode("utf-8"))
+
+    def _knows(self, text: str) -> bool:
+        """Whether Python's Unicode tables know all characters."""
+        if text.isascii():
+            return True
+        new = set(text) - self.known
+        if any(unicodedata.category(c) == "Cn" for c in new):
+            return False
+        self.known |= new
+        return True
 
     def _newer(self, text: str) -> list[bytes]:
         """The words of a text with characters that Python's Unicode tables do not know, by the library's own tables."""
@@ -82,25 +128,61 @@ class Vocabulary:
             from tokenizers import Tokenizer
 
             self.library = Tokenizer.from_file(self.path)
-            self.byte_of = {c: b for b, c in enumerate(_byte_chars())}
         cut = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
-        return [bytes(map(self.byte_of.__getitem__, w)) for w, _ in cut]
-
-    def merge(self, word: bytes) -> list[int]:
-        """A word's ids: the pair of the least rank is merged first, the leftmost of equal ones."""
-        symbols = [x for x in [*map(self.inner.__getitem__, word[:-1]), self.last[word[-1]]] if x is not None]
-        return self._by_heap(symbols) if len(symbols) > SHORT else self._by_search(symbols)
-
-    def _by_search(self, symbols: list[int]) -> list[int]:
-        pairs, none = self.pairs, (1 << 60, 0)
-        while len(symbols) > 1:
-            found = [pairs.get(x, none) for x in zip(symbols, symbols[1:])]
-            best = min(found)
-            if best is none:
+        byte_of = {c: b for b, c in enumerate(_byte_chars())}
+        return [bytes(map(byte_of.__getitem__, w)) for w, _ in cut]
+
+    def merged(self, words: list[bytes]) -> list[bytes]:
+        """Little-endian 32-bit ids of words, merged exactly: in each, the pair of the least rank first, the leftmost of equal ones."""
+        out: list[bytes] = [b""] * len(words)
+        order = sorted(range(len(words)), key=lambda k: len(words[k]))
+        short = bisect.bisect_right(order, SHORT, key=lambda k: len(words[k]))
+        for at in range(0, short, TOGETHER):
+            rows = order[at : min(at + TOGETHER, short)]
+            for k, ids in zip(rows, self._by_table([words[k] for k in rows]), strict=True):
+                out[k] = ids
+        for k in order[short:]:
+            out[k] = np.array(self._by_heap([*map(int, self.inner[np.frombuffer(words[k][:-1], np.uint8)]), int(self.last[words[k][-1]])]), "<u4").tobytes()
+        return out
+
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The ranks of pairs of ids; NEVER where two are not merged or one is missing (-1)."""
+        key = left * (1 << 20) + right
+        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+        return np.where((self.pair_keys[at] == key) & (right >= 0), self.pair_ranks[at], NEVER)
+
+    def _by_table(self, words: list[bytes]) -> list[bytes]:
+        """Many words at once, a merge in each of them a step."""
+        sizes = np.array([*map(len, words)])
+        width = int(sizes.max())
+        columns = np.arange(width)
+        ids = np.full((len(words), width + 1), -1, np.int64)
+        inside = columns < sizes[:, None]
+        ids[:, :-1][inside] = self.inner[np.frombuffer(b"".join(words), np.uint8)]
+        ids[np.arange(len(words)), sizes - 1] = self.last[[w[-1] for w in words]]
+        ranks = np.full((len(words), width + 1), NEVER, np.int64)
+        ranks[:, :-1] = self._ranks(ids[:, :-1], ids[:, 1:])
+        rows = np.arange(len(words))
+        while True:
+            at = ranks[rows].argmin(1)
+            best = ranks[rows, at]
+            going = best < NEVER
+            rows, at, best = rows[going], at[going], best[going]
+            if not len(rows):
                 break
-            at = found.index(best)
-            symbols[at : at + 2] = [best[1]]
-        return symbols
+            moved = np.minimum(columns + (columns > at[:, None]), width)  # what stands behind the pair moves up by one
+            ids[rows, :-1] = np.take_along_axis(ids[rows], moved, 1)
+            ids[rows, at] = self.pair_made[best]
+            moved = np.minimum(columns + (columns >= at[:, None]), width)
+            ranks[rows, :-1] = np.take_along_axis(ranks[rows], moved, 1)
+            ranks[rows, at] = self._ranks(ids[rows, at], ids[rows, at + 1])
+            second = at > 0
+            row, left = rows[second], at[second] - 1
+            ranks[row, left] = self._ranks(ids[row, left], ids[row, left + 1])
+        held = ids >= 0
+        raw = ids[held].astype("<u4").tobytes()
+        stops = [0, *(4 * np.cumsum(held.sum(1))).tolist()]
+        return [raw[a:b] for a, b in zip(stops, stops[1:])]
 
     def _by_heap(self, symbols: list[int]) -> list[int]:
         pairs, n = self.pairs, len(symbols)
@@ -133,10 +215,6 @@ def normal(text: str) -> str:
     return text.lower() if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
 
-def _unassigned(c: str) -> bool:
-    return unicodedata.category(c) == "Cn"
-
-
 def vocabulary(path: str) -> Vocabulary:
     return held(("vocabulary", path), lambda: Vocabulary(path))
 
@@ -234,9 +312,7 @@ class Transducer:
         order = np.argsort(-sizes, kind="stable")  # the words that still walk stand first
         sizes, longest = sizes[order], int(sizes.max())
         grid = np.zeros((len(kept), longest), np.uint8)
-        for row, k in enumerate(order):
-            word = words[kept[k]]
-            grid[row, : len(word)] = np.frombuffer(word, np.uint8)
+        grid[np.arange(longest) < sizes[:, None]] = np.frombuffer(b"".join([words[kept[k]] for k in order.tolist()]), np.uint8)
         state = np.full(len(kept), self.root, np.uint32)
         alive = np.ones(len(kept), bool)
         taken = np.zeros((len(kept), longest + 1), np.uint32)
@@ -264,35 +340,67 @@ class Transducer:
 
 
 class Encoder:
-    """Encodes texts, each distinct white-space-separated part once while it stays in the cache."""
+    """Encodes texts, each distinct part once while it stays in the cache: two generations, of which a full one becomes the older."""
 
     def __init__(self, voc: Vocabulary, lexicon: Transducer | None):
         self.voc, self.lexicon = voc, lexicon
-        self.cache: dict[bytes, bytes] = {}
+        self.now: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        rows = [(t or "").encode("utf-8").split() for t in texts]
-        if len(self.cache) > CACHE_ENTRIES:
-            self.cache, self.older = {}, self.cache
-        cache, older = self.cache, self.older
-        missing = {p for parts in rows for p in parts if p not in cache}
-        cache.update((p, older[p]) for p in missing if p in older)
-        new = [p for p in missing if p not in cache]
-        cache.update(zip(new, self._parts(new), strict=True))
-        out = [b"".join(map(cache.__getitem__, parts)) for parts in rows]
+        self.special = {b"\n" + t.encode("utf-8"): k.to_bytes(4, "little") for t, k in voc.special.items()}
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The ids of each text."""
+        if not texts:
+            return []
+        if len(self.now) > CACHE_ENTRIES:
+            self.now, self.older = {}, self.now
+        known, older = self.now, self.older
+        known.update(self.special)
+        names, numbers, sizes = self.voc.parts(texts)
+        missing = {p for p in names if p not in known}
+        known.update((p, older[p]) for p in missing & older.keys())
+        new = [*(missing - older.keys())]
+        known.update(self._parts(new))
+        raw = [*map(known.__getitem__, names)]
+        ids, lengths = np.frombuffer(b"".join(raw), "<u4"), np.array([*map(len, raw)], np.int64) // 4
         for p in new:
             if len(p) > CACHED_BYTES:
-                del cache[p]
-        return out
-
-    def _parts(self, parts: list[bytes]) -> list[bytes]:
-        cut = [[p.lower()] if p.isalpha() else self.voc.pieces(p.decode("utf-8")) for p in parts]  # isalpha: of ASCII alone
-        words = [*{x for pieces in cut for x in pieces if isinstance(x, bytes)}]
-        found = self.lexicon.find(words) if self.lexicon else [None] * len(words)
-        ids = {w: hit if hit is not None else np.array(self.voc.merge(w), "<u4").tobytes() for w, hit in zip(words, found, strict=True)}
-        return [b"".join(ids[x] if isinstance(x, bytes) else x.to_bytes(4, "little") for x in pieces) for pieces in cut]
+                del known[p]
+        ends = np.concatenate([[0], np.cumsum(lengths[numbers])])
+        spots = np.arange(ends[-1]) + np.repeat((np.cumsum(lengths) - lengths)[numbers] - ends[:-1], lengths[numbers])
+        return np.split(ids[spots], ends[np.cumsum(sizes)[:-1]])
+
+    def _parts(self, parts: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        single = [p for p in parts if p.isalpha()]  # ASCII letters alone are one word
+        given = [p for p in parts if p[:1] == b"\n"]
+        mixed = [p for p in parts if not p.isalpha() and p[:1] != b"\n"]
+        pieces = self.voc.pieces(mixed)
+        words = {w: w.encode("utf-8") for w in set(pieces) - {"\n"}}
+        raw = [*{*single, *words.values(), *(p[1:] for p in given)}]
+        ids = self.lexicon.find(raw) if self.lexicon else [None] * len(raw)
+        unseen = [k for k, x in enumerate(ids) if x is None]
+        for k, x in zip(unseen, self.voc.merged([raw[k] for k in unseen]), strict=True):
+            ids[k] = x
+        of = dict(zip(raw, ids, strict=True))
+        yield from zip(single, map(of.__getitem__, single))
+        by_word = {"\n": PART_END, **{w: of[r] for w, r in words.items()}}
+        yield from zip(mixed, b"".join(map(by_word.__getitem__, pieces)).split(PART_END))
+        yield from ((p, of[p[1:]]) for p in given)
+
+
+def bunched(batches: Iterator[dict]) -> Iterator[dict]:
+    """Neighbouring lists by column as one, while they hold no more than TEXT_CHARS of text."""
+    held: dict[str, list] = {}
+    size = 0
+    for part in batches:
+        more = sum(len(t) for t in part["text"] if t)
+        if held and size + more > TEXT_CHARS:
+            yield held
+            held, size = {}, 0
+        held = {k: held.get(k, []) + v for k, v in part.items()}
+        size += more
+    if held:
+        yield held
 
 
 def word_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -301,21 +409,27 @@ def word_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         voc, parts, taken = vocabulary(path), Counter(), 0
+        special = {b"\n" + t.encode("utf-8") for t in voc.special}
 
         def given() -> dict:
             words: Counter = Counter()
-            for p, n in parts.items():
-                for w in [p.lower()] if p.isalpha() else voc.pieces(p.decode("utf-8")):
-                    if isinstance(w, bytes) and len(w) <= WORD_BYTES:
-                        words[w] += n
+            mixed = {p: n for p, n in parts.items() if not p.isalpha() and p[:1] != b"\n"}
+            times = iter(mixed.values())
+            n = next(times, 0)
+            for w in voc.pieces([*mixed]):
+                if w == "\n":
+                    n = next(times, 0)
+                else:
+                    words[w] += n
+            rows = Counter({p[p[:1] == b"\n" :]: n for p, n in parts.items() if p not in mixed and p not in special and len(p) <= WORD_BYTES})
+            rows.update({raw: n for w, n in words.items() if len(raw := w.encode("utf-8")) <= WORD_BYTES})
             parts.clear()
-            return {"word": [*words], "n": [*words.values()]}
+            return {"word": [*rows], "n": [*rows.values()]}
 
-        for part in batches:
-            for text in part["text"]:
-                raw = (text or "").encode("utf-8")
-                parts.update(raw.split())
-                taken += len(raw)
+        for part in bunched(batches):
+            names, numbers, _ = voc.parts(part["text"])
+            parts.update(dict(zip(names, np.bincount(numbers, minlength=len(names)).tolist(), strict=True)))
+            taken += sum(len(t) for t in part["text"] if t)
             if len(parts) > COUNTED_PARTS or taken > COUNTED_BYTES:
                 yield given()
                 taken = 0
@@ -325,17 +439,22 @@ def word_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def lexicon(docs: DataFrame, words: int = LEXICON_WORDS, path: str | None = None) -> str:
-    """Compiles the most frequent words of docs and sends the file to all executors; returns its name there."""
+    """Compiles the most frequent words of docs, words of them at most, and sends the file to all executors; returns its name there."""
     spark, path = docs.sparkSession, path or tokenizer_path(VOCABULARY)
-    top = word_counts(docs, path).orderBy(F.desc("n"), "word").limit(words).select("word").repartition(spark.sparkContext.defaultParallelism)
+    level = F.floor(F.log2("n") * LEVELS).cast("int")
+    counts = written(word_counts(docs, path).select("word", level.alias("level")))
+    at_level = counts.groupBy("level").agg(F.count("*").alias("words")).orderBy(F.desc("level")).collect()  # LEVELS rows for each power of two
+    total = list(itertools.accumulate(r["words"] for r in at_level))
+    least = next((r["level"] + 1 for r, n in zip(at_level, total, strict=True) if n > words), 0)
+    top = counts.where(F.col("level") >= least).select("word")
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         voc = vocabulary(path)
         for part in batches:
-            yield {"word": part["word"], "ids": [voc.merge(w) for w in part["word"]]}
+            yield {"word": part["word"], "ids": voc.merged(part["word"])}
 
-    merged = map_lists(top, run, "word binary, ids array<int>", holds=True).collect()  # words rows at most
-    flat = compiled((bytes(w), tuple(ids)) for w, ids in sorted(merged, key=lambda r: bytes(r["word"])))
+    merged = map_lists(top, run, "word binary, ids binary", holds=True).collect()  # words rows at most
+    flat = compiled((w, tuple(array("I", ids))) for w, ids in sorted((bytes(r["word"]), bytes(r["ids"])) for r in merged))
     target = Path(tempfile.mkdtemp()) / f"lexicon-{uuid.uuid4().hex}"  # on the driver alone: addFile takes it from here
     flat.astype("<u4").tofile(target)
     spark.sparkContext.addFile(str(target))
@@ -353,8 +472,8 @@ def encode(docs: DataFrame, name: str | None, path: str | None = None) -> DataFr
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         e = encoder(path, name)
-        for part in batches:
-            ids = [np.frombuffer(x, "<u4") for x in e.encode(part["text"])]
+        for part in bunched(batches):
+            ids = e.encode(part["text"])
             yield {"doc_id": part["doc_id"], "n_tokens": [*map(len, ids)], "ids": ids}
 
     return map_lists(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, n_tokens long, ids array<int>", holds=True)
@@ -362,7 +481,10 @@ def encode(docs: DataFrame, name: str | None, path: str | None = None) -> DataFr
 
 def decoded(ids: Iterable[int], tokens: dict[int, bytes]) -> bytes:
     """The tokens joined by spaces, as a vocabulary without a decoder is read; ids that are no token are left out."""
-    return b" ".join(t for t in map(tokens.get, ids) if t is not None)
+    try:
+        return b" ".join(map(tokens.__getitem__, ids))
+    except KeyError:
+        return b" ".join(t for t in map(tokens.get, ids) if t is not None)
 
 
 def decode(rows: DataFrame, path: str | None = None) -> DataFrame:
@@ -385,14 +507,13 @@ def digests(docs: DataFrame, name: str | None, path: str | None = None) -> DataF
         e = encoder(path, name)
         tokens = e.voc.tokens
         numbers = {k: b"%d" % k for k in tokens}
-        for part in batches:
-            ids = [np.frombuffer(x, "<u4").tolist() for x in e.encode(part["text"])]
-            yield {
-                "doc_id": part["doc_id"],
-                "n_tokens": [*map(len, ids)],
-                "ids_sha256": [hashlib.sha256(b" ".join(map(numbers.__getitem__, x))).hexdigest() for x in ids],
-                "decoded_sha256": [hashlib.sha256(decoded(x, tokens)).hexdigest() for x in ids],
-            }
+        for part in bunched(batches):
+            told: tuple[list, list, list] = ([], [], [])
+            for ids in map(np.ndarray.tolist, e.encode(part["text"])):
+                told[0].append(len(ids))
+                told[1].append(hashlib.sha256(b" ".join(map(numbers.__getitem__, ids))).hexdigest())
+                told[2].append(hashlib.sha256(decoded(ids, tokens)).hexdigest())
+            yield {"doc_id": part["doc_id"], "n_tokens": told[0], "ids_sha256": told[1], "decoded_sha256": told[2]}
 
     return map_lists(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", holds=True)
 
