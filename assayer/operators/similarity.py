@@ -1,16 +1,10 @@
-"""Vectors: normalisation, top matches by cosine, and coherence of sequences."""
+"""Vectors: normalisation and coherence of sequences. Top matches by cosine are in vector_index."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayer.shipping import ship
-
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a.cast("array<double>"), b.cast("array<double>"), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
@@ -26,46 +20,6 @@ def normalized(df: DataFrame, vector: str, name: str = "unit") -> DataFrame:
     return df.withColumn("_n", n).withColumn(name, F.when(F.col("_n") > 0, F.transform(F.col(vector).cast("array<double>"), lambda x: x / F.col("_n")))).drop("_n")
 
 
-def top_matches(queries: DataFrame, index: DataFrame, query_id: str, code_id: str, vector: str, k: int = 5, threshold: float = 0.3, most: int = 200_000) -> DataFrame:
-    """query_id, code_id, score, rank: the k most similar rows of an index of bounded size, at or above a threshold.
-
-    The index is a catalogue. Up to `most` rows it is sent to all tasks as one matrix, and each batch of queries is one matrix
-    product with a partial sort; a larger one is dealt into blocks of that size that each give k candidates, merged by rank.
-    Ties go to the lesser code.
-    """
-    spark = queries.sparkSession
-    codes = normalized(index, vector).where("unit IS NOT NULL").select(code_id, "unit")
-    blocks = max(1, -(-codes.count() // most))
-    dealt = codes.withColumn("_b", F.pmod(F.xxhash64(code_id), F.lit(blocks)))
-    asked = normalized(queries, vector).where("unit IS NOT NULL").select(query_id, "unit")
-    kinds = f"{query_id} {dict(queries.dtypes)[query_id]}, {code_id} {dict(index.dtypes)[code_id]}, score double"
-    out = None
-    for b in range(blocks):
-        part = dealt.where(F.col("_b") == b).select(code_id, "unit").toPandas().sort_values(code_id)
-        if not len(part):
-            continue
-        sent = spark.sparkContext.broadcast((part[code_id].to_numpy(), np.stack(part["unit"].to_list()) if len(part) else np.zeros((0, 0))))
-
-        def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            ids, matrix = sent.value
-            for pdf in batches:
-                for at in range(0, len(pdf), 512):
-                    some = pdf.iloc[at : at + 512]
-                    scores = np.stack(some["unit"].to_list()) @ matrix.T
-                    best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-                    rows = np.repeat(np.arange(len(some)), best.shape[1])
-                    got = pd.DataFrame({query_id: some[query_id].to_numpy()[rows], code_id: ids[best.ravel()], "score": scores[rows, best.ravel()]})
-                    yield got[got["score"] >= threshold]
-
-        ship(asked.sparkSession)
-        found = asked.mapInPandas(run, kinds)
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        return spark.createDataFrame([], kinds + ", rank int")
-    w = Window.partitionBy(query_id).orderBy(F.desc("score"), code_id)
-    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
 def adjacent_coherence(vectors: Column) -> Column:
     """Mean cosine of neighbours in an array of unit vectors; null below two."""
     n = F.size(vectors)

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from assayer.operators import cost as C
 from assayer.operators import graph as G
 from assayer.operators import similarity as V
+from assayer.operators import vector_index as X
 from assayer.plans.tables import read
+from assayer.sources.stored import kept_until_end, shared_dir
 
 
 def price_fallback(spark, sf_dir):
@@ -57,8 +59,30 @@ def extracted_procedures(spark, sf_dir):
 def cosine_topk(spark, sf_dir):
     e = read(spark, sf_dir, "embeddings")
     labels = e.groupBy("label").agg(F.min("vec_id").alias("vec_id")).join(e.drop("label"), "vec_id").select(F.col("vec_id").alias("code"), "embedding")
-    out = V.top_matches(e.select("vec_id", "embedding"), labels, "vec_id", "code", "embedding", k=2, threshold=0.1)
-    return out.withColumn("score", F.round("score", 4) + 0.0)
+    index = X.built(labels, "code", "embedding", kept_until_end(spark, f"{shared_dir(spark)}/label-vectors"))
+    return X.search(index, e, "vec_id", "embedding", k=2, threshold=0.1).withColumn("score", F.round("score", 4) + 0.0)
+
+
+def _all_vectors(spark, e):
+    """The stored index of all embeddings; built by whichever query comes first, read by the others."""
+    return X.built(e, "vec_id", "embedding", kept_until_end(spark, f"{shared_dir(spark)}/all-vectors"))
+
+
+def vector_search(spark, sf_dir):
+    """Every vector's five nearest others."""
+    e = read(spark, sf_dir, "embeddings")
+    out = X.search(_all_vectors(spark, e), e, "vec_id", "embedding", k=5, threshold=0.3, same=True)
+    return out.withColumn("score", F.round("score", 6) + 0.0)
+
+
+def nearest_codes(spark, sf_dir):
+    """Every group's mean vector with the one vector that is nearest to it, as procedures are matched with codes."""
+    e = read(spark, sf_dir, "embeddings")
+    parts = e.select("label", F.pmod(F.col("vec_id"), F.lit(40)).alias("procedure"), F.posexplode("embedding").alias("place", "x"))
+    means = parts.groupBy("label", "procedure", "place").agg(F.avg(F.col("x").cast("double")).alias("x")).groupBy("label", "procedure")
+    asked = means.agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "x"))), lambda p: p["x"]).alias("mean")).withColumn("procedure", F.concat_ws("-", "label", "procedure"))
+    out = X.search(_all_vectors(spark, e), asked, "procedure", "mean", k=1, threshold=0.4)
+    return out.select("procedure", "code", (F.round("score", 6) + 0.0).alias("score"))
 
 
 def coherence_closed_form(spark, sf_dir):
@@ -120,7 +144,7 @@ def filter_chain(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    price_fallback, cost_totals, price_stats, cost_run_summary, procedure_profile, top_procedures, extracted_procedures, cosine_topk,
+    price_fallback, cost_totals, price_stats, cost_run_summary, procedure_profile, top_procedures, extracted_procedures, cosine_topk, vector_search, nearest_codes,
     coherence_closed_form, pending_antijoin, queue_top_priority, upsert_latest, insert_ignore, coalesced_update, citation_bfs, citation_degrees,
     quota_per_year, filter_chain,
 )}
@@ -150,6 +174,15 @@ SELECT name, category, keyword, count(*) AS n FROM h WHERE rn = 1 GROUP BY ALL""
 s AS (SELECT e.vec_id, code, list_cosine_similarity(e.embedding::DOUBLE[], v::DOUBLE[]) AS s FROM embeddings e, c),
 r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, code)::INT AS rank FROM s WHERE s >= 0.1)
 SELECT vec_id, code, round(s, 4) + 0.0 AS score, rank FROM r WHERE rank <= 2""",
+    "vector_search": """WITH s AS (SELECT a.vec_id, b.vec_id AS code, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(s, 12) DESC, code)::INT AS rank FROM s WHERE s >= 0.3)
+SELECT vec_id, code, round(s, 6) + 0.0 AS score, rank FROM r WHERE rank <= 5""",
+    "nearest_codes": """WITH x AS (SELECT label, vec_id % 40 AS procedure, unnest(range(len(embedding))) AS place, unnest(embedding)::DOUBLE AS x FROM embeddings),
+m AS (SELECT label, procedure, place, avg(x) AS x FROM x GROUP BY ALL),
+q AS (SELECT label || '-' || procedure AS procedure, list(x ORDER BY place) AS mean FROM m GROUP BY label, m.procedure),
+s AS (SELECT procedure, vec_id AS code, list_cosine_similarity(mean, embedding::DOUBLE[]) AS s FROM q, embeddings),
+r AS (SELECT *, row_number() OVER (PARTITION BY procedure ORDER BY round(s, 12) DESC, code) AS k FROM s WHERE s >= 0.4)
+SELECT procedure, code, round(s, 6) + 0.0 AS score FROM r WHERE k = 1""",
     "coherence_closed_form": """WITH p AS (SELECT a.label, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id),
 n AS (SELECT label, count(*) AS n FROM embeddings GROUP BY 1)
 SELECT label, n, round(avg(s), 6) + 0.0 AS coherence FROM n LEFT JOIN p USING (label) GROUP BY ALL""",

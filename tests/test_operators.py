@@ -95,11 +95,6 @@ def test_price_fallback_and_zero_costs(spark):
 
 
 def test_similarity(spark):
-    index = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 2.0]), (3, [0.0, 0.0])], "code int, v array<double>")
-    asked = spark.createDataFrame([(7, [3.0, 1.0])], "q int, v array<double>")
-    for most in (100, 1):
-        rows = similarity.top_matches(asked, index, "q", "code", "v", 2, 0.1, most).orderBy("rank").collect()
-        assert [(r["code"], round(r["score"], 3)) for r in rows] == [(1, 0.949), (2, 0.316)]
     assert one(spark, similarity.adjacent_coherence(F.array(F.array(F.lit(1.0), F.lit(0.0)), F.array(F.lit(1.0), F.lit(0.0)), F.array(F.lit(0.0), F.lit(1.0))))) == 0.5
     assert len(one(spark, similarity.hashed_embedding(F.lit("a b"), 16))) == 16
 
