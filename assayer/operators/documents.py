@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from assayer.operators.folds import Packing, Selection, folded
 from assayer.shipping import ship
 
 BLOCK_TAGS = ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "div", "blockquote", "td", "article", "section")
@@ -125,50 +126,31 @@ def packed(items: list[tuple[int, int]], budget: int, overlap: int) -> list[tupl
 
 
 def segments(paragraphs: DataFrame, key: str, pos: str, tokens: str, budget: int = 12000, overlap: int = 500, priority: str | None = None) -> DataFrame:
-    """key and SEGMENT. Token budgets need a running sum with resets, so each document is folded in one Python call.
+    """key and SEGMENT, as packed has them, folded over the rows of each document as they pass.
 
-    With priority (a boolean column) those paragraphs are packed first and the others after them, ids running on.
+    With priority (a boolean column) those paragraphs are packed first and the others after them, ids running on. Null tokens
+    are none; paragraphs at the same position go by their tokens.
     """
+    group = F.lit(0) if priority is None else F.when(F.coalesce(F.col(priority), F.lit(False)), 0).otherwise(1)
+    columns = {"group": group, "pos": F.col(pos).cast("int"), "tokens": F.col(tokens).cast("int")}
+    return folded(paragraphs, key, [group, F.col(pos)], columns, lambda: Packing(budget, overlap), SEGMENT)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(pos)
-        flags = [True, False] if priority else [None]
-        rows = []
-        for flag in flags:
-            part = pdf if flag is None else pdf[pdf[priority].fillna(False).astype(bool) == flag]
-            found = packed(list(zip(part[pos].astype(int), part[tokens].astype(int), strict=True)), budget, overlap)
-            rows += [(pdf[key].iloc[0], len(rows) + s[0], *s[1:]) for s in found]
-        return pd.DataFrame(rows, columns=[key, *[f.split()[0] for f in SEGMENT.split(", ")]])
 
-    picked = paragraphs.select(key, pos, tokens, *([priority] if priority else []))
-    ship(picked.sparkSession)
-    return picked.groupBy(key).applyInPandas(run, f"{key} {dict(paragraphs.dtypes)[key]}, {SEGMENT}")
+def evidence_context(
+    paragraphs: DataFrame, key: str, pos: str, text: str, tokens: str, terms: Sequence[str], budget: int, parts: Sequence[float] = (0.30, 0.25, 0.25, 0.15), last: int = 20, first: int = 15
+) -> DataFrame:
+    """key, pos, reason of the paragraphs that fit: the last ones, those with terms, the first ones, then the others.
 
-
-def evidence_context(paragraphs: DataFrame, key: str, pos: str, text: str, tokens: str, terms: Sequence[str], budget: int, parts: Sequence[float] = (0.30, 0.25, 0.25, 0.15)) -> DataFrame:
-    """key, pos, reason of the paragraphs that fit: the last ones, those with terms, the first ones, then the middle.
-
-    Each kind takes paragraphs in its order while its share of the budget lasts; a paragraph is taken once.
+    Each kind takes paragraphs in its order (the last ones from the end) while its share of the budget lasts, leaving out what
+    does not fit; a paragraph is taken once.
     """
-    low = [t.lower() for t in terms]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(pos).reset_index(drop=True)
-        n, size = len(pdf), pdf[tokens].astype(int)
-        hits = [k for k in range(n) if any(t in str(pdf[text][k]).lower() for t in low)]
-        orders = {"last": list(range(n - 1, max(-1, n - 21), -1)), "term": hits, "first": list(range(min(15, n))), "middle": list(range(n // 4, n))}
-        taken: dict[int, str] = {}
-        for (reason, order), share in zip(orders.items(), parts, strict=True):
-            room = int(budget * share)
-            for k in order:
-                if k not in taken and size[k] <= room:
-                    taken[k] = reason
-                    room -= size[k]
-        rows = [(pdf[key].iloc[0], int(pdf[pos][k]), taken[k]) for k in sorted(taken)]
-        return pd.DataFrame(rows, columns=[key, "pos", "reason"])
-
-    ship(paragraphs.sparkSession)
-    return paragraphs.select(key, pos, text, tokens).groupBy(key).applyInPandas(run, f"{key} {dict(paragraphs.dtypes)[key]}, pos int, reason string")
+    low = F.lower(F.coalesce(text, F.lit("")))
+    hit = F.lit(False)
+    for term in terms:
+        hit = hit | F.contains(low, F.lit(term.lower()))
+    rooms = tuple(int(budget * share) for share in parts)
+    columns = {"pos": F.col(pos).cast("int"), "tokens": F.col(tokens).cast("int"), "hit": hit}
+    return folded(paragraphs, key, [F.col(pos)], columns, lambda: Selection(rooms, last, first), "pos int, reason string")
 
 
 def with_evidence_ids(paragraphs: DataFrame, key: str, pos: str = "pos", text: str = "text", most: int = 500) -> DataFrame:

@@ -127,7 +127,35 @@ QUERIES = {f.__name__: f for f in (
 
 _LINES = "l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents), p AS (SELECT doc_id, pos::INT AS pos, trim(text) AS text FROM l WHERE trim(text) <> '')"
 _SPLIT_WORDS = "list_filter(regexp_split_to_array(lower({}), '[ \\t\\n\\r]+'), lambda w: w <> '')"
+_ROWS = "r AS (SELECT doc_id, pos, text, ceil(length(text) / 4)::INT AS tokens, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i, count(*) OVER (PARTITION BY doc_id) AS n FROM p)"
+_TAIL = "list_filter(cur, lambda x, k: list_sum([y.t FOR y IN cur[k:]]) <= 60)"
 ORACLES = {
+    "token_segments": f"""WITH RECURSIVE {_LINES}, {_ROWS},
+w AS (
+  SELECT doc_id, i, [{{'p': pos, 't': tokens}}] AS cur, false AS carried, 0 AS seg, NULL::STRUCT(seg INT, a INT, b INT, n INT, o BOOLEAN) AS closed FROM r WHERE i = 1
+  UNION ALL
+  SELECT doc_id, i, list_append(CASE WHEN full_ THEN tail ELSE cur END, {{'p': pos, 't': tokens}}), CASE WHEN full_ THEN len(tail) > 0 ELSE carried END, seg + full_::INT,
+         CASE WHEN full_ THEN {{'seg': seg, 'a': cur[1].p, 'b': cur[-1].p, 'n': total, 'o': carried}} END
+  FROM (SELECT *, CASE WHEN coalesce(list_sum([x.t FOR x IN fits]), 0) + tokens > 400 THEN [] ELSE fits END AS tail FROM (
+    SELECT w.doc_id, r.i, r.pos, r.tokens, cur, carried, seg, list_sum([x.t FOR x IN cur])::INT AS total, list_sum([x.t FOR x IN cur]) + r.tokens > 400 AS full_, {_TAIL} AS fits
+    FROM w JOIN r ON r.doc_id = w.doc_id AND r.i = w.i + 1))),
+f AS (SELECT doc_id, closed FROM w WHERE closed IS NOT NULL
+  UNION ALL SELECT w.doc_id, {{'seg': seg, 'a': cur[1].p, 'b': cur[-1].p, 'n': list_sum([x.t FOR x IN cur])::INT, 'o': carried}} FROM w JOIN r ON r.doc_id = w.doc_id AND r.i = w.i AND r.i = r.n)
+SELECT doc_id, closed.seg AS segment_id, closed.a AS first_pos, closed.b AS last_pos, closed.n AS n_tokens, closed.o AS overlaps FROM f""",
+    "evidence_context": f"""WITH RECURSIVE {_LINES}, {_ROWS},
+h AS (SELECT *, contains(lower(text), 'licen') OR contains(lower(text), 'token') AS hit FROM r),
+-- in the order of the kinds: the last twenty from the end, then all rows for each other kind
+q AS (
+  SELECT doc_id, 1 AS kind, pos, tokens, i, n - i AS o FROM h WHERE i > n - 20 UNION ALL SELECT doc_id, 2, pos, tokens, i, i FROM h WHERE hit
+  UNION ALL SELECT doc_id, 3, pos, tokens, i, i FROM h WHERE i <= 15 UNION ALL SELECT doc_id, 4, pos, tokens, i, i FROM h),
+s AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY kind, o) AS step FROM q),
+w AS (
+  SELECT DISTINCT doc_id, 0::BIGINT AS step, 0 AS kind, NULL::INT AS pos, [240, 200, 200, 120]::INT[] AS room, []::BIGINT[] AS taken, false AS fits FROM s
+  UNION ALL
+  SELECT doc_id, step, kind, pos, CASE WHEN fits THEN list_transform(room, lambda x, k: CASE WHEN k = kind THEN x - tokens ELSE x END) ELSE room END,
+         CASE WHEN fits THEN list_append(taken, i) ELSE taken END, fits
+  FROM (SELECT w.doc_id, s.step, s.kind, s.pos, s.tokens, s.i, room, taken, s.tokens <= room[s.kind] AND NOT list_contains(taken, s.i) AS fits FROM w JOIN s ON s.doc_id = w.doc_id AND s.step = w.step + 1))
+SELECT doc_id, pos, ['last', 'term', 'first', 'middle'][kind] AS reason FROM w WHERE fits""",
     "text_paragraphs": f"WITH {_LINES} SELECT doc_id, pos, text FROM p",
     "evidence_ids": f"""WITH {_LINES}, r AS (SELECT doc_id, text, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k FROM p)
 SELECT doc_id, max('E' || CASE WHEN k < 1000 THEN lpad(k::VARCHAR, 3, '0') ELSE k::VARCHAR END) AS last_id, sum(least(length(text), 500))::BIGINT AS chars FROM r GROUP BY 1""",
