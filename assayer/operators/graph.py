@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 def expanded(seeds: DataFrame, edges: DataFrame, depth: int = 2, known: DataFrame | None = None) -> DataFrame:
     """node, depth, priority of nodes reached from seeds within `depth` hops, the least depth of each; known nodes are left out.
 
-    edges: src, dst. Every hop joins the frontier, not all that was found, and drops what was seen before.
+    edges: src, dst. Every hop joins the frontier, not all that was found, and drops what was seen before. With contexts, a cap
+    and an order of finds: frontier.explored.
     """
     frontier = seeds.select(F.col("node")).distinct().withColumn("depth", F.lit(0))
     seen = frontier
@@ -22,7 +23,7 @@ def expanded(seeds: DataFrame, edges: DataFrame, depth: int = 2, known: DataFram
     out = seen.where("depth > 0")
     if known is not None:
         out = out.join(known.select("node"), "node", "left_anti")
-    return out.withColumn("priority", F.greatest(F.lit(0.5), F.round(0.8 - 0.1 * F.col("depth"), 6)))
+    return out.withColumn("priority", F.greatest(F.lit(0.5), F.round(0.9 - 0.1 * F.col("depth"), 6)))
 
 
 def degrees(edges: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from assayer.operators import cost as C
+from assayer.operators import frontier as N
 from assayer.operators import graph as G
 from assayer.operators import similarity as V
 from assayer.operators import vector_index as X
@@ -126,6 +127,15 @@ def citation_bfs(spark, sf_dir):
     return G.expanded(seeds, edges, 2)
 
 
+def citation_frontier(spark, sf_dir):
+    """Finds from the wealthiest customer of each segment, along orders that are not of low priority, beyond customers in debt. The cap is the feature."""
+    o, c = read(spark, sf_dir, "orders"), read(spark, sf_dir, "customer")
+    edges = o.select(F.col("o_custkey").alias("src"), F.col("o_orderkey").alias("place"), F.floor(F.col("o_totalprice") % 997).cast("long").alias("dst"), "o_orderpriority")
+    seeds = c.groupBy("c_mktsegment").agg(F.max_by("c_custkey", F.struct("c_acctbal", "c_custkey")).alias("node")).select("node", F.col("node").alias("seed_rank"))
+    known = c.where("c_acctbal < 0").select(F.col("c_custkey").alias("node"))
+    return N.explored(seeds, edges, ~F.col("o_orderpriority").startswith("5"), known, depth=2, most=400).nodes
+
+
 def citation_degrees(spark, sf_dir):
     edges = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("src"), F.floor(F.col("o_totalprice") % 997).cast("long").alias("dst"))
     return G.degrees(edges)
@@ -145,7 +155,7 @@ def filter_chain(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     price_fallback, cost_totals, price_stats, cost_run_summary, procedure_profile, top_procedures, extracted_procedures, cosine_topk, vector_search, nearest_codes,
-    coherence_closed_form, pending_antijoin, queue_top_priority, upsert_latest, insert_ignore, coalesced_update, citation_bfs, citation_degrees,
+    coherence_closed_form, pending_antijoin, queue_top_priority, upsert_latest, insert_ignore, coalesced_update, citation_bfs, citation_frontier, citation_degrees,
     quota_per_year, filter_chain,
 )}
 
@@ -195,7 +205,15 @@ WHERE o_orderstatus = 'P' ORDER BY priority_score DESC NULLS LAST, o_orderkey LI
     "citation_bfs": f"""WITH {_EDGES}, s AS (SELECT min(c_custkey) AS node FROM customer GROUP BY c_mktsegment),
 a AS (SELECT DISTINCT dst AS node FROM e WHERE src IN (SELECT node FROM s) AND dst NOT IN (SELECT node FROM s)),
 b AS (SELECT DISTINCT dst AS node FROM e WHERE src IN (SELECT node FROM a) AND dst NOT IN (SELECT node FROM s) AND dst NOT IN (SELECT node FROM a))
-SELECT node, 1 AS depth, 0.7::DOUBLE AS priority FROM a UNION ALL SELECT node, 2, 0.6::DOUBLE FROM b""",
+SELECT node, 1 AS depth, 0.8::DOUBLE AS priority FROM a UNION ALL SELECT node, 2, 0.7::DOUBLE FROM b""",
+    "citation_frontier": """WITH e AS (SELECT o_custkey AS src, o_orderkey AS place, floor(o_totalprice % 997)::BIGINT AS dst, o_orderpriority NOT LIKE '5%' AS ok FROM orders),
+s AS (SELECT arg_max(c_custkey, (c_acctbal, c_custkey)) AS node FROM customer GROUP BY c_mktsegment),
+known AS (SELECT node FROM s UNION SELECT c_custkey FROM customer WHERE c_acctbal < 0),
+a AS (SELECT dst, src, place, ok, src AS above FROM e JOIN s ON src = s.node QUALIFY row_number() OVER (PARTITION BY dst ORDER BY src, place) = 1),
+a1 AS (SELECT dst AS node, src AS cited_by, row_number() OVER (ORDER BY above, place) - 1 AS k FROM a WHERE ok AND dst NOT IN (SELECT node FROM known) QUALIFY k < 400),
+b AS (SELECT dst, src, place, ok, k AS above FROM e JOIN a1 ON src = a1.node WHERE dst NOT IN (SELECT dst FROM a) QUALIFY row_number() OVER (PARTITION BY dst ORDER BY k, place) = 1),
+b1 AS (SELECT dst AS node, src AS cited_by, (SELECT count(*) FROM a1) + row_number() OVER (ORDER BY above, place) - 1 AS k FROM b WHERE ok AND dst NOT IN (SELECT node FROM known) QUALIFY k < 400)
+SELECT node, 1 AS depth, 0.8::DOUBLE AS priority, cited_by, k AS found_as FROM a1 UNION ALL SELECT node, 2, 0.7::DOUBLE, cited_by, k FROM b1""",
     "citation_degrees": f"""WITH {_EDGES}, x AS (SELECT src AS node, count(DISTINCT dst) AS cites FROM e GROUP BY 1), y AS (SELECT dst AS node, count(DISTINCT src) AS cited_by FROM e GROUP BY 1)
 SELECT node, coalesce(cites, 0) AS cites, coalesce(cited_by, 0) AS cited_by FROM x FULL JOIN y USING (node)""",
     "quota_per_year": """SELECT o_orderkey, year, o_totalprice FROM (SELECT o_orderkey, year(o_orderdate) AS year, o_totalprice,

@@ -102,7 +102,7 @@ def test_similarity(spark):
 def test_graph_and_queue(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (1, 3), (3, 4), (4, 5)], "src long, dst long")
     got = {r["node"]: (r["depth"], r["priority"]) for r in graph.expanded(spark.createDataFrame([(1,)], "node long"), edges, 2).collect()}
-    assert got == {2: (1, 0.7), 3: (1, 0.7), 4: (2, 0.6)}
+    assert got == {2: (1, 0.8), 3: (1, 0.8), 4: (2, 0.7)}
     cand = spark.createDataFrame([(1, "u"), (2, "u"), (3, "v")], "id int, url string")
     have = spark.createDataFrame([(9, "v")], "id int, url string")
     assert [tuple(r) for r in graph.new_rows(cand, have, ["id", "url"]).collect()] == [(1, "u")]
