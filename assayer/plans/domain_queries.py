@@ -11,6 +11,7 @@ from assayer.operators import similarity as V
 from assayer.operators import vector_index as X
 from assayer.plans.tables import read
 from assayer.sources.stored import kept_until_end, shared_dir
+from assayer.streaming import ledger as T
 
 
 def price_fallback(spark, sf_dir):
@@ -108,6 +109,15 @@ def upsert_latest(spark, sf_dir):
     return C.latest(read(spark, sf_dir, "events"), ["user_id", "event_type"], "ts", "event_id").select("user_id", "event_type", "event_id")
 
 
+def status_fold(spark, sf_dir):
+    """Users as cases: the tens of each event's property are the status that it reports."""
+    e = read(spark, sf_dir, "events")
+    status = F.element_at(F.array(*[F.lit(s) for s in T.STATUSES]), (F.floor(F.get_json_object("props", "$.k").cast("int") / 10) + 1).cast("int"))
+    told = T.advanced(e.select(F.col("user_id").alias("case_id"), "event_id", status.alias("status"), F.col("ts").cast("timestamp").alias("at")))
+    lost = F.count(F.when(F.col("kind") == "illegal", 1))
+    return told.groupBy("case_id").agg(F.max(F.when(F.col("kind") == "state", F.col("status"))).alias("status"), F.coalesce(F.max(F.when(F.col("kind") == "state", F.col("changes"))), F.lit(0)).alias("changes"), lost.alias("illegal"))
+
+
 def insert_ignore(spark, sf_dir):
     pages = read(spark, sf_dir, "pages").select("page_id", "url")
     return G.new_rows(pages, pages.where("url LIKE 'https%'").select("url"), ["url"]).select("page_id", "url")
@@ -155,7 +165,7 @@ def filter_chain(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     price_fallback, cost_totals, price_stats, cost_run_summary, procedure_profile, top_procedures, extracted_procedures, cosine_topk, vector_search, nearest_codes,
-    coherence_closed_form, pending_antijoin, queue_top_priority, upsert_latest, insert_ignore, coalesced_update, citation_bfs, citation_frontier, citation_degrees,
+    coherence_closed_form, pending_antijoin, queue_top_priority, upsert_latest, status_fold, insert_ignore, coalesced_update, citation_bfs, citation_frontier, citation_degrees,
     quota_per_year, filter_chain,
 )}
 
@@ -200,6 +210,13 @@ SELECT label, n, round(avg(s), 6) + 0.0 AS coherence FROM n LEFT JOIN p USING (l
     "queue_top_priority": """SELECT o_orderkey, o_orderstatus AS status, CASE WHEN o_orderkey % 3 <> 0 THEN o_totalprice END AS priority_score FROM orders
 WHERE o_orderstatus = 'P' ORDER BY priority_score DESC NULLS LAST, o_orderkey LIMIT 50""",
     "upsert_latest": "SELECT user_id, event_type, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY ALL",
+    "status_fold": """WITH n AS (SELECT ['queued', 'fetching', 'fetched', 'parsing', 'parsed', 'extracting', 'extracted', 'validated', 'rejected', 'error'] AS names),
+e AS (SELECT user_id::VARCHAR AS case_id, list({'s': names[json_extract(props, '$.k')::INT // 10 + 1], 'ok': 0, 'bad': 0} ORDER BY ts, event_id) AS xs FROM events, n GROUP BY 1),
+f AS (SELECT case_id, list_reduce([{'s': '', 'ok': 0, 'bad': 0}] || xs, lambda a, b: CASE
+  WHEN (a.s IN ('', 'error') AND b.s = 'queued') OR (list_position(names, b.s) BETWEEN 2 AND 8 AND list_position(names, a.s) = list_position(names, b.s) - 1)
+    OR (b.s IN ('rejected', 'error') AND list_position(names, a.s) <= 8 AND NOT (a.s = 'validated' AND b.s = 'error'))
+  THEN {'s': b.s, 'ok': a.ok + 1, 'bad': a.bad} ELSE {'s': a.s, 'ok': a.ok, 'bad': a.bad + 1} END) AS r FROM e, n)
+SELECT case_id, nullif(r.s, '') AS status, r.ok::BIGINT AS changes, r.bad::BIGINT AS illegal FROM f""",
     "insert_ignore": "SELECT min(page_id) AS page_id, url FROM pages WHERE url NOT LIKE 'https%' GROUP BY url",
     "coalesced_update": """SELECT n_nationkey, CASE WHEN n_nationkey < 5 AND n_nationkey <> 2 THEN r_name ELSE n_name END AS n_name, n_regionkey FROM nation LEFT JOIN region ON r_regionkey = n_nationkey""",
     "citation_bfs": f"""WITH {_EDGES}, s AS (SELECT min(c_custkey) AS node FROM customer GROUP BY c_mktsegment),
