@@ -17,10 +17,12 @@ from pyspark.sql.types import StructType
 
 from assayer.shipping import ship
 
-__all__ = ["crc_mod", "free_name", "held", "lower_ascii", "map_lists", "read", "release", "shared_dir", "ship", "tokenizer_path", "written"]
+__all__ = ["crc_mod", "free_name", "held", "lower_ascii", "map_lists", "read", "release", "shared_dir", "ship", "small_batches", "tokenizer_path", "written"]
 
 #: Rows of an Arrow batch that are turned into Python values at once.
 SLICE_ROWS = 500
+#: Rows of an Arrow batch where stages follow each other and workers of several stages live beside the same executor.
+ARROW_ROWS = 1000
 _HELD: dict[tuple, Any] = {}
 
 
@@ -32,8 +34,13 @@ def held(key: tuple, make: Callable[[], Any]) -> Any:
     return _HELD[key]
 
 
-def release() -> None:
-    """Give free memory back to the system, so that a worker that is used again does not keep what a task had at its largest."""
+def release(keep: bool = False) -> None:
+    """Give free memory back to the system, so that a worker that is used again does not keep what a task had at its largest.
+
+    What the worker holds for later tasks goes as well, unless it is to be kept.
+    """
+    if not keep:
+        _HELD.clear()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
@@ -61,11 +68,18 @@ def map_lists(df: DataFrame, run: Callable[[Iterator[dict[str, list]]], Iterable
             _HELD.clear()
         for out in run(slices(batches)):
             yield pa.RecordBatch.from_pydict(out, schema=target)
-        release()
+        release(holds)
 
     return df.mapInArrow(over, schema)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts and pairs of them go to Python workers in batches of ARROW_ROWS rows at most, for this session."""
+    rows = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    if rows <= 0 or rows > ARROW_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir. Only a local master gets a temporary one where it is unset."""
     where = spark.conf.get("spark.checkpoint.dir", None)

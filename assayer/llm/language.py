@@ -26,7 +26,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.common import crc_mod, held, map_lists, read, ship
+from assayer.llm.common import crc_mod, held, map_lists, read, release, ship
 
 UNDETERMINED = "und"
 TRAIN_DOCS = 200
@@ -297,8 +297,10 @@ def keep_known(docs: DataFrame, may_learn: Column, least: float = 0.5) -> DataFr
     ship(docs.sparkSession)
     predict = predictor(docs, may_learn)
 
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([lang != UNDETERMINED and score >= least for lang, score in predict(list(texts))], dtype=bool)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([lang != UNDETERMINED and score >= least for lang, score in predict(list(texts))], dtype=bool)
+        release(keep=True)
 
     return docs.where(F.pandas_udf(run, "boolean")(F.col("text")))
 

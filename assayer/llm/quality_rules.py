@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.common import free_name, map_lists, read, ship, written
+from assayer.llm.common import free_name, map_lists, read, release, ship, written
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
@@ -146,7 +146,13 @@ def keep(docs: DataFrame, max_rate: float = MAX_HOST_RATE) -> DataFrame:
     return marked.select(*docs.columns)
 
 
-def _flags(texts: pd.Series) -> pd.DataFrame:
+def _flags(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    for texts in batches:
+        yield _flagged(texts)
+    release()
+
+
+def _flagged(texts: pd.Series) -> pd.DataFrame:
     m = np.array([measure(t) for t in texts], dtype=np.int64).reshape(-1, len(COUNTS))
     words, chars, symbols, lines, dup, repeat = m.T
     base = (words < MIN_WORDS) | (100 * repeat > MAX_REPEAT_PERCENT * words)
