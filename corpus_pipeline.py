@@ -12,31 +12,36 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayer.llm import language, near_dedup, packing, quality_rules, substring_dedup
-from assayer.llm.common import crc_mod, read, written
+from assayer.llm.common import crc_mod, read, small_batches, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops what the base rules or the host verdicts reject."""
+    small_batches(spark)
     return quality_rules.keep(docs)
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts without a language; the model learns from the rows that the language query may learn from."""
+    small_batches(spark)
     return language.keep_known(docs, crc_mod(F.col("doc_id"), 4) != 2)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near duplicates on five-word shingles."""
+    small_batches(spark)
     return near_dedup.keep_one(docs)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts passages that an earlier document holds."""
+    small_batches(spark)
     return substring_dedup.cut_duplicates(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Places of the documents' pieces in training sequences."""
+    small_batches(spark)
     return packing.pack(docs)
 
 
