@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from assayer.operators import documents as D
+from assayer.operators import grounding as R
 from assayer.operators import qa as Q
 from assayer.operators import scoring as S
 from assayer.plans.tables import ratings, read, RATINGS
@@ -105,6 +106,15 @@ def evidence_grounding(spark, sf_dir):
     return b.select("item_id", Q.grounded(F.col("text"), F.substring("text", 1, 60), ["other", "about"]).alias("grounded"))
 
 
+def evidence_in_next(spark, sf_dir):
+    """Every paragraph of every document, with its number, held against the whole text of the next document."""
+    docs = read(spark, sf_dir, "documents")
+    rows = text_paragraphs(spark, sf_dir).select("doc_id", F.col("pos").cast("string").alias("ref"), "pos", "text")
+    following = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("source"))
+    out = R.grounded(rows, following, "doc_id", "pos", "text", "ref", "source", ["other", "about"])
+    return out.select("doc_id", "pos", "ref_found", F.col("n_words").cast("long").alias("n_words"), "n_found", "grounded")
+
+
 def criteria_met(spark, sf_dir):
     """User turns as criteria and the assistant turns after them as responses."""
     c = read(spark, sf_dir, "conversations")
@@ -121,7 +131,7 @@ def quarantine_reasons(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     text_paragraphs, page_paragraphs, paragraph_sections, paragraph_numbers, token_segments, evidence_context, evidence_ids, segment_merge,
-    session_clock, final_turns, event_windows, sliding_windows, checklist_scores, rank_changes, option_scores, verdict_tail, evidence_grounding,
+    session_clock, final_turns, event_windows, sliding_windows, checklist_scores, rank_changes, option_scores, verdict_tail, evidence_grounding, evidence_in_next,
     criteria_met, quarantine_reasons,
 )}
 
@@ -130,6 +140,13 @@ _SPLIT_WORDS = "list_filter(regexp_split_to_array(lower({}), '[ \\t\\n\\r]+'), l
 _ROWS = "r AS (SELECT doc_id, pos, text, ceil(length(text) / 4)::INT AS tokens, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i, count(*) OVER (PARTITION BY doc_id) AS n FROM p)"
 _TAIL = "list_filter(cur, lambda x, k: list_sum([y.t FOR y IN cur[k:]]) <= 60)"
 ORACLES = {
+    "evidence_in_next": f"""WITH {_LINES},
+e AS (SELECT p.doc_id, pos, pos::VARCHAR AS ref, coalesce(n.text, '') AS s,
+        list_filter(regexp_split_to_array(lower(p.text), '[^\\p{{L}}\\p{{N}}_]+'), lambda w: regexp_full_match(w, '[a-z]{{5,}}') AND w NOT IN ('other', 'about'))[1:5] AS words
+      FROM p LEFT JOIN documents n ON n.doc_id = p.doc_id + 1),
+f AS (SELECT *, regexp_matches(s, '(?mi)\\[' || ref || '\\]|^' || ref || '\\.|¶\\s*' || ref || '|para(?:graph)?\\s*' || ref) AS ref_found,
+        len(list_filter(words, lambda w: contains(lower(s), w))) AS n_found FROM e)
+SELECT doc_id, pos, ref_found, len(words) AS n_words, n_found, ref_found OR len(words) = 0 OR n_found >= len(words) * 0.5 AS grounded FROM f""",
     "token_segments": f"""WITH RECURSIVE {_LINES}, {_ROWS},
 w AS (
   SELECT doc_id, i, [{{'p': pos, 't': tokens}}] AS cur, false AS carried, 0 AS seg, NULL::STRUCT(seg INT, a INT, b INT, n INT, o BOOLEAN) AS closed FROM r WHERE i = 1
