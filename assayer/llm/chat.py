@@ -24,6 +24,8 @@ START, END = "<|im_start|>", "<|im_end|>\n"
 PART = "struct<type:string,text:string,ref:string,units:double>"
 #: Tokens that one unit of a part expands to: image tiles, audio seconds, document pages.
 TOKENS_PER_UNIT = {"image": 256.0, "audio": 25.0, "document": 800.0}
+#: The placeholder of parts of any other kind.
+OTHER = "attachment"
 
 
 def escape(text: Column) -> Column:
@@ -53,9 +55,10 @@ def text_parts(text: Column) -> Column:
 
 
 def json_parts(content: Column) -> Column:
-    """Content that is either a JSON list of parts or a plain text."""
+    """Content that is either a JSON list of parts of known kinds or a plain text."""
     parsed = F.from_json(content, f"array<{PART}>")
-    return F.when(content.startswith("[") & parsed.isNotNull(), parsed).otherwise(text_parts(content))
+    known = F.forall(parsed, lambda p: F.coalesce(p["type"], F.lit("text")).isin("text", *TOKENS_PER_UNIT))
+    return F.when(content.startswith("[") & F.coalesce(known, F.lit(False)), parsed).otherwise(text_parts(content))
 
 
 def _is_text(part: Column) -> Column:
@@ -63,10 +66,11 @@ def _is_text(part: Column) -> Column:
 
 
 def render(parts: Column) -> Column:
-    """The parts' texts and placeholders, in order, joined."""
+    """The parts' texts and placeholders, in order, joined; a kind that is not known is written as OTHER, so that no kind is a control string."""
 
     def visit(part: Column) -> Column:
-        placeholder = F.concat(F.lit("<|"), F.regexp_replace(part["type"], r"[^A-Za-z0-9_]", "_"), F.lit("|>"))
+        kind = F.when(part["type"].isin(*TOKENS_PER_UNIT), part["type"]).otherwise(F.lit(OTHER))
+        placeholder = F.concat(F.lit("<|"), kind, F.lit("|>"))
         return F.when(_is_text(part), escape(part["text"])).otherwise(placeholder)
 
     return F.array_join(F.transform(F.coalesce(parts, F.array().cast(f"array<{PART}>")), visit), "")
