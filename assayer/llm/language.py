@@ -72,9 +72,12 @@ def grams(cores: list[str], lexicon: dict[str, int]) -> tuple[np.ndarray, np.nda
     return np.concatenate(rows), np.concatenate(owners)
 
 
-def forward_backward(scores: np.ndarray, transition: np.ndarray, lengths: list[int]) -> np.ndarray:
+def forward_backward(scores: np.ndarray, transition: np.ndarray, lengths: list[int], moves: np.ndarray | None = None) -> np.ndarray:
     """Label probabilities of each word of sequences laid end to end.
 
+    To moves (labels by labels), if given, the probabilities of the label pairs of neighbouring words are added, summed over
+    all neighbours: the expected number of each transition, which is the derivative of the log partition function by it.
+
     Sequences are cut into blocks of STEP words. Products of the words' transfer matrices give each block's matrix, a pass
     over the blocks of each sequence gives the messages at block borders, and a pass within all blocks at once gives those
     at each word: the same numbers as word by word.
@@ -129,8 +132,13 @@ def forward_backward(scores: np.ndarray, transition: np.ndarray, lengths: list[i
         alpha[:, t] = a
     beta = back
     for t in range(STEP - 1, -1, -1):
+        step = matrix(t)
+        if moves is not None:
+            pair = (alpha[:, t - 1] if t else into)[:, :, None] * step * beta[:, None, :]
+            pair = pair[real[:, t] & ~(head & (t == 0))]
+            moves += (pair / pair.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
         alpha[:, t] *= beta
-        beta = np.einsum("bij,bj->bi", matrix(t), beta)
+        beta = np.einsum("bij,bj->bi", step, beta)
         beta = beta / beta.sum(axis=1, keepdims=True)
     out = alpha[row, col]
     return out / out.sum(axis=1, keepdims=True)
@@ -174,7 +182,11 @@ class WordTable:
 
 
 def train(rows: list[tuple[str, str]], seed: int = 7) -> Model:
-    """Fits the model to (text, label) rows by gradient steps on the sequences' log-likelihood."""
+    """Fits the model to (text, label) rows by steps along the gradient of the sequences' log-likelihood.
+
+    Transitions move by the gradient itself. A word's weights move by a step rule instead: its gradient is clipped and shared
+    out over its features, so that long words, which have more of them, do not move faster than short ones.
+    """
     labels = sorted({y for _, y in rows})
     counts = Counter(core(w) for t, _ in rows for w in t.split())
     lexicon = {w: k for k, w in enumerate(sorted(w for w, n in counts.items() if n > 1 and w))}
@@ -210,7 +222,8 @@ def train(rows: list[tuple[str, str]], seed: int = 7) -> Model:
             feats, owners = grams([core(w) for w in distinct], lexicon)
             weights = model.weights[feats]
             scores = np.stack([np.bincount(owners, weights[:, c], len(distinct)) for c in range(m)], axis=1)
-            p = forward_backward(scores[ids], model.transition, lengths)
+            expected = np.zeros((m, m))
+            p = forward_backward(scores[ids], model.transition, lengths, expected)
             y = np.eye(m)[gold]
             by_word = np.stack([np.bincount(ids, (y - p)[:, c], len(distinct)) for c in range(m)], axis=1)
             sizes = np.maximum(np.bincount(owners, minlength=len(distinct)), 1)
@@ -218,7 +231,6 @@ def train(rows: list[tuple[str, str]], seed: int = 7) -> Model:
             np.add.at(model.weights, feats, rate * (np.clip(by_word, -5, 5) / sizes[:, None])[owners])
             inner = np.ones(len(words) - 1, bool)
             inner[np.cumsum(lengths)[:-1] - 1] = False
-            expected = np.einsum("ni,nj->ij", p[:-1][inner], p[1:][inner])
             model.transition += rate * 10 * (np.einsum("ni,nj->ij", y[:-1][inner], y[1:][inner]) - expected) / len(words)
     return model
 
