@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from assayer.operators import crawl as C
 from assayer.operators import discovery as D
 from assayer.operators import votes as V
 from assayer.plans.tables import RATINGS, ratings, read
@@ -45,13 +46,19 @@ def seed_pages(spark, sf_dir):
     return D.seeds(p, hosts, p.where("url LIKE '%ref=%'").select("url"))
 
 
+def link_crawl(spark, sf_dir):
+    """Everything that links of the English pages lead to, two levels deep."""
+    p = read(spark, sf_dir, "pages")
+    return C.crawled(p, p.where("url LIKE '%/en/%'").select("url"), depth=2).visited
+
+
 def majority_and_mean(spark, sf_dir):
     """How two ways to combine raters relate."""
     r = V.with_votes(ratings(spark, sf_dir), ("claude", "grok", "gpt5")).where("majority IS NOT NULL")
     return r.groupBy("llm_name").agg(F.count("*").alias("n"), F.round(F.avg("majority"), 6).alias("majority"), F.round(F.avg("mean_score"), 6).alias("mean"), F.round(F.corr("majority", "mean_score"), 6).alias("r"))
 
 
-QUERIES = {f.__name__: f for f in (source_priorities, page_years, content_checks, structure_checks, case_addresses, seed_pages, majority_and_mean)}
+QUERIES = {f.__name__: f for f in (source_priorities, page_years, content_checks, structure_checks, case_addresses, seed_pages, link_crawl, majority_and_mean)}
 
 
 def _hits(terms):
