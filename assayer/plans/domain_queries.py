@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from assayer.operators import cost as C
@@ -10,6 +12,7 @@ from assayer.operators import graph as G
 from assayer.operators import similarity as V
 from assayer.operators import vector_index as X
 from assayer.plans.tables import read
+from assayer.sources import layout as L
 from assayer.sources.stored import kept_until_end, shared_dir
 from assayer.streaming import ledger as T
 
@@ -163,10 +166,21 @@ def filter_chain(spark, sf_dir):
     return G.decided(p, rules, "base").groupBy("reason", F.round("score", 4).alias("score")).agg(F.count("*").alias("n"))
 
 
+def stored_criteria(spark, sf_dir):
+    """Orders as runs and their line items as criteria, exported as bucketed tables and joined there without a shuffle."""
+    o, line = read(spark, sf_dir, "orders"), read(spark, sf_dir, "lineitem")
+    runs = o.select(F.col("o_orderkey").alias("run_id"), F.col("o_custkey").alias("case_id"), F.col("o_orderpriority").alias("llm_name"), (F.col("o_orderstatus") == "F").alias("risk_flag"))
+    criteria = line.select(F.col("l_orderkey").alias("run_id"), F.col("l_linenumber").alias("criterion"), (F.col("l_returnflag") == "N").alias("met"))
+    name = f"stored_{uuid.uuid4().hex}"
+    made = L.export_tables(runs, criteria, kept_until_end(spark, f"{shared_dir(spark)}/{name}"), name)
+    out = L.joined(spark, made).groupBy("llm_name", "risk_flag")
+    return out.agg(F.count("*").alias("criteria"), F.sum("met").alias("met"), F.countDistinct("run_id").alias("runs"))
+
+
 QUERIES = {f.__name__: f for f in (
     price_fallback, cost_totals, price_stats, cost_run_summary, procedure_profile, top_procedures, extracted_procedures, cosine_topk, vector_search, nearest_codes,
     coherence_closed_form, pending_antijoin, queue_top_priority, upsert_latest, status_fold, insert_ignore, coalesced_update, citation_bfs, citation_frontier, citation_degrees,
-    quota_per_year, filter_chain,
+    quota_per_year, filter_chain, stored_criteria,
 )}
 
 _EDGES = "e AS (SELECT o_custkey AS src, floor(o_totalprice % 997)::BIGINT AS dst FROM orders)"
@@ -238,4 +252,6 @@ SELECT node, coalesce(cites, 0) AS cites, coalesce(cited_by, 0) AS cited_by FROM
     "filter_chain": """WITH d AS (SELECT p_size >= 5 AS a, p_retailprice >= 950 AS b, p_type IN ('ECONOMY', 'STANDARD') AS c FROM part)
 SELECT CASE WHEN NOT a THEN 'small' WHEN NOT b THEN 'cheap' WHEN NOT c THEN 'kind' END AS reason,
        round(least(1.0, 0.5 + (CASE WHEN a THEN 0.1 ELSE 0 END) + (CASE WHEN a AND b THEN 0.2 ELSE 0 END) + (CASE WHEN a AND b AND c THEN 0.4 ELSE 0 END)), 4)::DOUBLE AS score, count(*) AS n FROM d GROUP BY ALL""",
+    "stored_criteria": """SELECT o_orderpriority AS llm_name, (o_orderstatus = 'F')::INT AS risk_flag, count(*) AS criteria,
+  sum((l_returnflag = 'N')::INT)::BIGINT AS met, count(DISTINCT o_orderkey) AS runs FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY ALL""",
 }
