@@ -51,6 +51,8 @@ def shaped(df: DataFrame, ddl: str) -> DataFrame:
 def _store(df: DataFrame, name: str, path: str, buckets: int, looked_up: tuple[str, ...] = ()) -> None:
     df.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
     out = df.repartition(buckets, "run_id").write.mode("overwrite").format("parquet").bucketBy(buckets, "run_id").sortBy("run_id").option("path", path)
+    if looked_up:
+        out = out.option("parquet.bloom.filter.adaptive.enabled", "true")  # sized by the values of a file, not the largest size for each
     for c in looked_up:
         out = out.option(f"parquet.bloom.filter.enabled#{c}", "true")
     out.saveAsTable(name)
