@@ -15,9 +15,12 @@ def norm(a: Column) -> Column:
 
 
 def normalized(df: DataFrame, vector: str, name: str = "unit") -> DataFrame:
-    """Adds the vector of length 1; null for the zero vector."""
-    n = norm(F.col(vector))
-    return df.withColumn("_n", n).withColumn(name, F.when(F.col("_n") > 0, F.transform(F.col(vector).cast("array<double>"), lambda x: x / F.col("_n")))).drop("_n")
+    """Adds the vector of length 1; null for the zero vector.
+
+    The norm is bound as a lambda's argument: as a column of its own Spark would put its expression in for each element.
+    """
+    v = F.col(vector).cast("array<double>")
+    return df.withColumn(name, F.transform(F.array(norm(v)), lambda n: F.when(n > 0, F.transform(v, lambda x: x / n)))[0])
 
 
 def adjacent_coherence(vectors: Column) -> Column:

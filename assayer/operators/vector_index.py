@@ -7,8 +7,9 @@ written, is there.
 
 A search first visits each query's own cell, which gives the score that its k-th match has at least. By the angle between query
 and centroid and the widest angle within a cell, all cells that cannot hold a better one are left out; the rest is visited.
-Where queries and a list meet, the list's rows come first and are held as one matrix, and the queries pass by in batches, each
-leaving k matches at most; these are merged by query. Lists that a large share of the queries visits are dealt out again.
+Neighbouring lists stand on shelves, so that a query goes to a shelf once with all cells that it asks there. Where queries and a
+shelf meet, the shelf's rows come first and are held as one matrix, and the queries pass by in batches, each leaving k matches
+of a cell at most, none below the score it has; these are merged by query. Shelves that many queries visit are copied.
 
 Rows without a vector, or with one of length zero, are left out on both sides, queries of another dimension as well. Scores are
 told to 12 digits, so that equal vectors tie; ties go to the lesser id. Repeated ids are matches of their own.
@@ -22,7 +23,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -32,8 +32,10 @@ from assayer.operators.similarity import dot, normalized
 from assayer.shipping import ship
 from assayer.sources.stored import exists, written
 
-#: Centroids at most: what comes to the driver and is sent to all tasks. Rows of a list, and queries that pass one copy of it.
+#: Centroids at most: what comes to the driver and is sent to all tasks. Rows of a list, and queries that pass one copy of a shelf.
 MOST_CELLS, LIST_ROWS, QUERY_ROWS = 1024, 8192, 65_536
+#: Numbers of a shelf's vectors.
+SHELF_VALUES = 1 << 22
 #: Queries that are multiplied with a list at once.
 TOGETHER = 256
 SLACK = 1e-9
@@ -107,65 +109,118 @@ def _near(units: np.ndarray, centers: np.ndarray) -> np.ndarray:
     return np.clip(units @ centers.T, -1.0, 1.0)
 
 
-def best(scores: np.ndarray, k: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and columns of the k largest scores of each row, at or above threshold; of equal ones those that stand first."""
-    if scores.shape[1] > k:
-        least = np.partition(scores, scores.shape[1] - k, axis=1)[:, -k][:, None]
-        above, equal = scores > least, scores == least
-        taken = above | (equal & (equal.cumsum(1) <= k - above.sum(1, keepdims=True)))
-    else:
-        taken = np.ones(scores.shape, bool)
-    return np.nonzero(taken & (scores >= threshold))
-
-
-def _meeting(index: VectorIndex, visits: DataFrame, kind: str, k: int, threshold: float) -> DataFrame:
-    """asked, code, score: up to k matches for each visit (asked, own, unit, cell) from each list of its cell."""
-    per_cell = visits.groupBy("cell").agg(F.ceil(F.count("*") / QUERY_ROWS).alias("copies")).collect()  # a row a cell
-    lists = {r["cell"]: r["lists"] for r in index.cells()}
-    spread = index.spark.createDataFrame([(r["cell"], lists[r["cell"]], r["copies"]) for r in per_cell], "cell int, lists int, copies long")
-    rows = index.lists().where(F.col("cell").isin([r["cell"] for r in per_cell])).join(F.broadcast(spread), "cell")
-    rows = rows.select("cell", "list", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy"), F.lit(None).cast("long").alias("asked"), "code", "unit")
-    queries = visits.join(F.broadcast(spread), "cell").select(
-        "cell", F.explode(F.sequence(F.lit(0), F.col("lists") - 1)).alias("list"), F.pmod(F.xxhash64("asked"), F.col("copies")).alias("copy"), "asked", F.col("own").alias("code"), "unit"
-    )
-    met = rows.unionByName(queries).repartition("cell", "list", "copy").sortWithinPartitions("cell", "list", "copy", F.asc_nulls_first("asked"), "code")
+def best(scores: np.ndarray, k: int, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, columns and scores, told to 12 digits, of the k largest of each row at or above its least; of equal ones those that stand first."""
+    floor = least - SLACK
+    r, c = np.nonzero(scores >= floor[:, None])
+    if len(r) > 2 * k * len(scores):
+        if scores.shape[1] > k:
+            floor = np.maximum(floor, np.partition(scores, scores.shape[1] - k, axis=1)[:, -k] - SLACK)
+        r, c = np.nonzero(scores >= floor[:, None])
+    s = np.round(scores[r, c], 12)
+    kept = s >= least[r]
+    r, c, s = r[kept], c[kept], s[kept]
+    order = np.lexsort((c, -s, r))
+    r, c, s = r[order], c[order], s[order]
+    few = np.arange(len(r)) - np.searchsorted(r, r) < k
+    return r[few], c[few], s[few]
+
+
+def shelves(index: VectorIndex) -> tuple[list[tuple[int, int, int]], int]:
+    """(cell, list, shelf) of all lists, and the rows of a shelf: lists that a task holds together, an eighth of the index but no more than SHELF_VALUES."""
+    cells, manifest = index.cells(), index.manifest
+    rows = max(LIST_ROWS, min(SHELF_VALUES // max(1, manifest["dims"] or 1), -(-manifest["n"] // 8)))
+    out, held, shelf = [], 0.0, 0
+    for r in cells:
+        for k in range(r["lists"]):
+            if held and held + r["n"] / r["lists"] > rows:
+                held, shelf = 0.0, shelf + 1
+            out.append((r["cell"], k, shelf))
+            held += r["n"] / r["lists"]
+    return out, rows
+
+
+def _meeting(index: VectorIndex, visits: DataFrame, kind: str, k: int, placed: list[tuple[int, int, int]], shelf_rows: int) -> DataFrame:
+    """asked, code, score: up to k matches for each visit (asked, own, unit, least, shelf, cells) from each of these cells on the shelf."""
+    per_copy = min(QUERY_ROWS, shelf_rows)
+    counts = visits.groupBy("shelf").agg(F.ceil(F.count("*") / per_copy).alias("copies")).collect()  # a row a shelf
+    copies = {r["shelf"]: r["copies"] for r in counts}
+    spread = index.spark.createDataFrame(list(copies.items()), "shelf int, copies long")
+    lists = index.spark.createDataFrame([(c, n, s, copies[s]) for c, n, s in placed if s in copies], "cell int, list int, shelf int, copies long")
+    rows = index.lists().join(F.broadcast(lists), ["cell", "list"])
+    rows = rows.select("shelf", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy"), F.lit(None).cast("long").alias("asked"), "code", "unit", F.lit(None).cast("double").alias("least"), F.array("cell").alias("cells"))
+    queries = visits.join(F.broadcast(spread), "shelf").select("shelf", F.pmod(F.xxhash64("asked"), F.col("copies")).alias("copy"), "asked", F.col("own").alias("code"), "unit", "least", "cells")
+    met = rows.unionByName(queries).repartition("shelf", "copy").sortWithinPartitions("shelf", "copy", F.asc_nulls_first("asked"), F.when(F.col("asked").isNull(), F.col("cells")[0]), "code")
     schema = pa.schema([("asked", pa.int64()), ("code", met.sparkSession.createDataFrame([], f"code {kind}").toArrow().schema.field("code").type), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, codes, units, held = None, [], [], None
+        now, codes, units, cells, held = None, [], [], [], None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("cell", "list", "copy")], 1)
-            asked = batch.column("asked")
-            is_query = np.asarray(asked.is_valid())
-            marks = np.column_stack([keys, is_query])
+            is_query = np.asarray(batch.column("asked").is_valid())
+            marks = np.column_stack([batch.column("shelf").to_numpy().astype(np.int64), batch.column("copy").to_numpy(), is_query])
             cuts = [0, *(np.flatnonzero((marks[1:] != marks[:-1]).any(1)) + 1).tolist(), batch.num_rows]
-            vectors, names = _matrix(batch, "unit"), batch.column("code")
+            vectors, names, places = _matrix(batch, "unit"), batch.column("code"), batch.column("cells")
             for a, b in zip(cuts, cuts[1:]):
-                key = tuple(keys[a])
+                key = tuple(marks[a, :2])
                 if key != now:
-                    now, codes, units, held = key, [], [], None
+                    now, codes, units, cells, held = key, [], [], [], None
                 if not is_query[a]:
                     codes.append(names.slice(a, b - a))
-                    units.append(vectors[a:b])
+                    units.append(vectors[a:b].copy())
+                    cells.append(places.slice(a, b - a).flatten().to_numpy())
                     continue
                 if not units:
                     continue
                 if held is None:
-                    held = pa.chunked_array(codes).combine_chunks(), np.concatenate(units).T
+                    held = Shelf(pa.chunked_array(codes).combine_chunks(), np.concatenate(units), np.concatenate(cells))
+                    codes, cells = [], []
                 for at in range(a, b, TOGETHER):
-                    end = min(at + TOGETHER, b)
-                    scores = np.round(vectors[at:end] @ held[1], 12)
-                    own = names.slice(at, end - at)
-                    for r in np.flatnonzero(np.asarray(own.is_valid())):  # a query is no match of itself
-                        scores[r, np.asarray(pc.equal(held[0], own[int(r)]).fill_null(False))] = -2.0
-                    r, c = best(scores, k, threshold)
-                    yield pa.RecordBatch.from_arrays([asked.slice(at, end - at).take(pa.array(r)), held[0].take(pa.array(c)), pa.array(scores[r, c])], schema=schema)
+                    part = batch.slice(at, min(at + TOGETHER, b) - at)
+                    r, c, found = held.matches(vectors[at : at + len(part)], part, k)
+                    yield pa.RecordBatch.from_arrays([part.column("asked").take(pa.array(r)), held.codes.take(pa.array(c)), pa.array(found)], schema=schema)
 
     return met.mapInArrow(run, f"asked long, code {kind}, score double")
 
 
+class Shelf:
+    """The lists that a task holds: rows in the order of cells, and of codes within a cell."""
+
+    def __init__(self, codes: pa.Array, units: np.ndarray, cells: np.ndarray):
+        self.codes, self.units = codes, units
+        numbers, starts = np.unique(cells, return_index=True)
+        self.spans = {int(c): (int(f), int(t)) for c, f, t in zip(numbers, starts, [*starts[1:], len(cells)])}
+        self._places: dict | None = None
+
+    def places(self, code) -> list[int]:
+        """Where a code stands."""
+        if self._places is None:
+            self._places = {}
+            for k, c in enumerate(self.codes.to_pylist()):
+                self._places.setdefault(c, []).append(k)
+        return self._places.get(code, [])
+
+    def matches(self, vectors: np.ndarray, queries: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Query, row and score of up to k matches of each query in each of its cells, LIST_ROWS rows at a time."""
+        wanted, least = queries.column("cells"), queries.column("least").to_numpy()
+        row, cell = np.repeat(np.arange(len(vectors)), wanted.value_lengths().to_numpy(zero_copy_only=False)), wanted.flatten().to_numpy()
+        own = [(r, p) for r, code in enumerate(queries.column("code").to_pylist()) if code is not None for p in self.places(code)]
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        for c in np.unique(cell):
+            start, stop = self.spans.get(int(c), (0, 0))
+            asking = row[cell == c]
+            for f in range(start, stop, LIST_ROWS):
+                t = min(f + LIST_ROWS, stop)
+                scores = vectors[asking] @ self.units[f:t].T
+                for r, p in own:  # a query is no match of itself
+                    if f <= p < t:
+                        scores[asking == r, p - f] = -2.0
+                r, at, s = best(scores, k, least[asking])
+                out.append((asking[r], at + f, s))
+        return tuple(np.concatenate(x) for x in zip(*out))
+
+
 def search(index: VectorIndex, queries: DataFrame, query_id: str, vector: str, k: int = 5, threshold: float = 0.3, same: bool = False) -> DataFrame:
     """query_id, code, score, rank: the k vectors of the index most similar to each query, at or above threshold, exactly.
 
@@ -191,21 +246,34 @@ def search(index: VectorIndex, queries: DataFrame, query_id: str, vector: str, k
     units = units.select(F.monotonically_increasing_id().alias("asked"), "query", own.alias("own"), "unit")
     asked = written(units.mapInArrow(at_home, f"asked long, query {asked_kind}, own {kind}, unit array<double>, home int"))
 
-    first = written(_meeting(index, asked.select("asked", "own", "unit", F.col("home").alias("cell")), kind, k, threshold))
+    placed, shelf_rows = shelves(index)
+    homes = spark.createDataFrame(sorted({(c, s) for c, _, s in placed}), "home int, shelf int")
+    visits = asked.join(F.broadcast(homes), "home").select("asked", "own", "unit", F.lit(float(threshold)).alias("least"), "shelf", F.array("home").alias("cells"))
+    first = written(_meeting(index, visits, kind, k, placed, shelf_rows))
     known = Window.partitionBy("asked").orderBy(F.desc("score"), "code")
     least = first.withColumn("rank", F.row_number().over(known)).where(F.col("rank") <= k).groupBy("asked").agg(F.when(F.count("*") == k, F.min("score")).alias("least"))
+    on_shelf: dict[int, set[int]] = {}
+    for c, _, s in placed:
+        on_shelf.setdefault(s, set()).add(c)
+    held = {s: np.isin(numbers, list(c)) for s, c in on_shelf.items()}
 
     def elsewhere(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             bounds = np.cos(np.maximum(0.0, np.arccos(_near(_matrix(batch, "unit"), centers)) - widths))
-            open_cells = (bounds >= np.asarray(batch.column("least"))[:, None] - SLACK) & (numbers != np.asarray(batch.column("home"))[:, None])
-            r, c = np.nonzero(open_cells)
-            yield pa.RecordBatch.from_arrays([batch.column("asked").take(pa.array(r)), pa.array(numbers[c].astype(np.int32))], names=["asked", "cell"])
-
-    bounded = asked.join(least, "asked", "left").select("asked", "unit", "home", F.coalesce("least", F.lit(float(threshold))).alias("least"))
-    more = written(bounded.mapInArrow(elsewhere, "asked long, cell int"))
-    second = _meeting(index, more.join(asked.select("asked", "own", "unit"), "asked"), kind, k, threshold)
+            least = batch.column("least")
+            open_cells = (bounds >= np.asarray(least)[:, None] - SLACK) & (numbers != np.asarray(batch.column("home"))[:, None])
+            for s, here in held.items():
+                r, c = np.nonzero(open_cells & here)
+                to, n = np.unique(r, return_counts=True)
+                cells = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(numbers[c].astype(np.int32)))
+                took = pa.array(to)
+                yield pa.RecordBatch.from_arrays([batch.column("asked").take(took), least.take(took), pa.array(np.full(len(to), s, np.int32)), cells], names=["asked", "least", "shelf", "cells"])
+
+    # visits are small as files, so that Spark would take them for a broadcast, but there may be some for each query on each shelf
+    bounded = asked.hint("merge").join(least, "asked", "left").select("asked", "unit", "home", F.coalesce("least", F.lit(float(threshold))).alias("least"))
+    more = written(bounded.mapInArrow(elsewhere, "asked long, least double, shelf int, cells array<int>"))
+    second = _meeting(index, more.hint("merge").join(asked.select("asked", "own", "unit"), "asked"), kind, k, placed, shelf_rows)
     ranked = first.unionByName(second).withColumn("rank", F.row_number().over(known)).where(F.col("rank") <= k)
-    return ranked.join(asked.select("asked", "query"), "asked").select(F.col("query").alias(query_id), "code", "score", "rank")
+    return ranked.hint("merge").join(asked.select("asked", "query"), "asked").select(F.col("query").alias(query_id), "code", "score", "rank")

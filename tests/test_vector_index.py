@@ -97,3 +97,14 @@ def test_awkward_indexes(spark, folder):
     assert _got(vector_index.search(one, asked, "q", "v"), "q") == [("q", "a", 1.0, 1)]
     with pytest.raises(ValueError, match="dimensions"):
         vector_index.built(spark.createDataFrame([("a", [2.0], 1, "x"), ("b", [2.0, 1.0], 1, "x")], SCHEMA), "code", "v", folder)
+
+
+def test_visits_of_the_second_pass_are_not_broadcast(spark, folder, monkeypatch):
+    rows = [(r[0], r[1]) for r in _rows(5) if r[0]]
+    index = vector_index.built(spark.createDataFrame(rows, "code string, v array<double>"), "code", "v", folder, cells=9)
+    plans = []
+    meeting = vector_index._meeting
+    monkeypatch.setattr(vector_index, "_meeting", lambda ix, visits, *rest: plans.append(visits._jdf.queryExecution().executedPlan().toString()) or meeting(ix, visits, *rest))
+    found = vector_index.search(index, spark.createDataFrame(rows, "q string, v array<double>"), "q", "v", 2, 0.5)
+    assert _got(found, "q") == _plain(rows, rows, 2, 0.5)
+    assert "SortMergeJoin" in plans[1] and "BroadcastHashJoin" not in plans[1]
