@@ -169,3 +169,13 @@ def test_quality_and_grades(spark):
     assert one(spark, qa.verdict_in_tail(F.lit("dismissed " * 10 + "negligent found"), "negligent", "dismissed", 0.14)) == "LIABLE"
     assert one(spark, qa.grounded(F.lit("patient collapsed suddenly"), F.lit("the patient collapsed"), [])) is True
     assert math.isclose(stats.half_width(103), 0.1959963984540054)
+
+
+def test_norm_of_a_vector_is_computed_once_not_for_each_element(spark):
+    from assayer.operators.similarity import normalized
+    from assayer.operators.vector_index import _units
+
+    df = normalized(spark.createDataFrame([(1, [3.0, 4.0]), (2, [0.0, 0.0]), (3, None), (4, [1.0, None])], "k int, v array<double>"), "v")
+    assert [r["unit"] for r in df.orderBy("k").collect()] == [[0.6, 0.8], None, None, None]
+    plan = _units(df, "k", "v")._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "/ sqrt(" not in plan
