@@ -24,9 +24,13 @@ def distinctive(text: Column, common: Sequence[str], first: int = FIRST_WORDS) -
     return F.slice(F.filter(words, lambda w: w.rlike("^[a-z]{5,}$") & ~w.isin(*common)), 1, first)
 
 
+def _quotable(ref: Column) -> Column:
+    return F.regexp_replace(ref, r"\\E", "")
+
+
 def reference_pattern(ref: Column) -> Column:
     """How a paragraph's number may stand in a text: [15], 15. at the start of a line, a pilcrow and 15, para or paragraph 15."""
-    number = F.concat(F.lit("\\Q"), F.regexp_replace(ref, r"\\E", ""), F.lit("\\E"))
+    number = F.concat(F.lit("\\Q"), _quotable(ref), F.lit("\\E"))
     forms = (F.concat(F.lit(r"\["), number, F.lit(r"\]")), F.concat(F.lit("^"), number, F.lit(r"\.")), F.concat(F.lit(r"¶\s*"), number), F.concat(F.lit(r"para(?:graph)?\s*"), number))
     return F.concat(F.lit("(?mi)"), F.concat_ws("|", *forms))
 
@@ -48,7 +52,10 @@ def grounded(evidence: DataFrame, sources: DataFrame, key: str, evidence_id: str
     many = distinct.groupBy("k").agg(F.ceil(F.count("*") / TERMS).alias("lists"))
     lists = distinct.join(many, "k").groupBy("k", F.pmod(F.xxhash64("term"), F.col("lists")).alias("list")).agg(F.collect_list(F.struct("is_ref", "term")).alias("terms"))
     read = lists.join(sources.select(F.col(key).alias("k"), F.col(source).alias("s")), "k")
-    met = F.filter("terms", lambda t: F.when(t["is_ref"], F.regexp_like(F.col("s"), reference_pattern(t["term"]))).otherwise(F.contains(F.lower("s"), t["term"])))
+    # the text is lowered once, as a lambda's argument, not for each term; a reference is looked for as it is before its pattern is tried
+    here = F.struct(F.lower("s").alias("low"), F.upper("s").alias("up"))
+    is_met = lambda t, x: F.when(t["is_ref"], F.contains(x["up"], F.upper(_quotable(t["term"]))) & F.regexp_like(F.col("s"), reference_pattern(t["term"]))).otherwise(F.contains(x["low"], t["term"]))
+    met = F.transform(F.array(here), lambda x: F.filter("terms", lambda t: is_met(t, x)))[0]
     held = read.select("k", F.explode(met).alias("t")).select("k", "t.is_ref", "t.term", F.lit(1).alias("hit"))
     told = terms.join(held, ["k", "is_ref", "term"], "left").groupBy("row").agg(
         F.first("k").alias("k"), F.first("e").alias("e"), F.first("n_words").alias("n_words"),

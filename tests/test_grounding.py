@@ -37,3 +37,11 @@ def test_joined_equals_row_by_row(spark, monkeypatch):
 def test_no_rows(spark):
     empty = spark.createDataFrame([], "d long, e string, t string, ref string")
     assert grounding.grounded(empty, spark.createDataFrame([], "d long, s string"), "d", "e", "t", "ref", "s").collect() == []
+
+
+def test_texts_are_lowered_once_and_references_found_in_any_case(spark):
+    evidence = spark.createDataFrame([(1, 1, "nothing", "a1"), (1, 2, "nothing", "ß\\E2"), (1, 3, "nothing", "9")], "k int, e int, text string, ref string")
+    sources = spark.createDataFrame([(1, "see [A1], [ß2] and 9")], "k int, s string")
+    out = grounding.grounded(evidence, sources, "k", "e", "text", "ref", "s")
+    assert [r["ref_found"] for r in out.orderBy("e").collect()] == [True, True, False]
+    assert "contains(lower(" not in out._jdf.queryExecution().optimizedPlan().toString().lower()
