@@ -271,18 +271,19 @@ def viterbi_table(least_score: float) -> Column:
         ending = F.filter("edges", lambda x: (x["e"] == end) & (x["s"] < end))
         ways = F.transform(ending, lambda x: F.struct((best[x["s"]]["total"] - x["cost"]).alias("total"), x["s"].alias("from")))
         own = F.struct((best[end - 1]["total"] + least_score - 10.0).alias("total"), (end - 1).alias("from"))
-        covered = F.exists(ending, lambda x: x["s"] == end - 1)
-        return F.concat(best, F.array(F.array_max(F.when(covered, ways).otherwise(F.concat(ways, F.array(own))))))
+        covered = lambda w: F.exists(w, lambda x: x["from"] == end - 1)
+        last = F.transform(F.array(ways), lambda w: F.array_max(F.when(covered(w), w).otherwise(F.concat(w, F.array(own)))))
+        return F.concat(best, last)
 
     first = F.array(F.struct(F.lit(0.0).alias("total"), F.lit(-1).alias("from")))
     return F.aggregate(F.sequence(F.lit(1), F.length("unit")), first, step)
 
 
-def viterbi_path() -> Column:
-    """Borders of the segments of the largest sum of scores, from the column `table`."""
+def viterbi_path(table: Column) -> Column:
+    """Borders of the segments of the largest sum of scores. The table is to be a lambda's argument: as a column of its own Spark would make it anew for each segment."""
 
     def back(path: Column, _: Column) -> Column:
-        return F.when(path[0] == 0, path).otherwise(F.concat(F.array(F.col("table")[path[0]]["from"]), path))
+        return F.when(path[0] == 0, path).otherwise(F.concat(F.array(table[path[0]]["from"]), path))
 
     return F.aggregate(F.sequence(F.lit(1), F.length("unit")), F.array(F.length("unit")), back)
 
@@ -292,8 +293,9 @@ def folded(edges: DataFrame, voc: Vocabulary) -> DataFrame:
     if voc.bpe:
         left = edges.withColumn("left", merge_fold()).withColumn("chosen", merged_edges())
         return left.select("unit", "n", merged_ids(voc).alias("ids"))
-    paths = edges.withColumn("table", viterbi_table(min(s for _, _, s in voc.pieces))).withColumn("path", viterbi_path())
-    return paths.select("unit", "n", path_ids(voc, F.col("path"), lambda x, s, e: (x["s"] == s) & (x["e"] == e)).alias("ids"))
+    path = F.transform(F.array(viterbi_table(min(s for _, _, s in voc.pieces))), viterbi_path)[0]
+    ids = F.transform(F.array(path), lambda p: path_ids(voc, p, lambda x, s, e: (x["s"] == s) & (x["e"] == e)))[0]
+    return edges.select("unit", "n", ids.alias("ids"))
 
 
 class LongUnits:

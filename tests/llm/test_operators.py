@@ -535,3 +535,10 @@ def test_rows_without_an_id(spark):
     assert packing.pack(docs).where("doc_id IS NULL").count() == 1
     assert licenses.scan(docs).where("doc_id IS NULL").count() == 1
     assert matroska.digests(matroska.media(docs)).where("doc_id IS NULL").count() == 1
+
+
+def test_the_viterbi_table_is_not_made_again_for_each_segment(spark):
+    uni = pieces.unigram_reading(pieces.vocabulary())
+    found = pieces.folded(pieces.lattice(spark.createDataFrame([("▁the", 1), ("", 1)], "unit string, n long"), uni), uni)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("array_max(") < plan.index("array(length(")  # made outside of the fold that goes back along it
