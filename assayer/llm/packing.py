@@ -24,7 +24,7 @@ CAPACITY = 4096
 END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
 #: Parts in each of the two generations of an encoder's cache; an entry takes about 200 bytes.
-CACHE_ENTRIES = 150_000
+CACHE_ENTRIES = 500_000
 #: Pieces of one length that one window partition ranks.
 RANK_ROWS = 5_000
 #: Rows of the plan up to which it is broadcast; a row takes 48 bytes.

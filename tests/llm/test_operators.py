@@ -542,3 +542,12 @@ def test_the_viterbi_table_is_not_made_again_for_each_segment(spark):
     found = pieces.folded(pieces.lattice(spark.createDataFrame([("▁the", 1), ("", 1)], "unit string, n long"), uni), uni)
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("array_max(") < plan.index("array(length(")  # made outside of the fold that goes back along it
+
+
+def test_a_workers_cache_of_ids_holds_half_a_million_words():
+    e, asked = packing.Encoder(packing.tokenizer_path(packing.VOCABULARY)), []
+    e._ids = lambda texts: asked.append(len(texts)) or [b""] * len(texts)
+    texts = [" ".join(f"w{k}" for k in range(at, at + 100_000)) for at in (*range(0, 500_000, 100_000), 0)]
+    for t in texts:
+        e.encode([t])
+    assert sum(asked) == 500_000
