@@ -301,6 +301,24 @@ def test_passages_beside_a_hot_line_are_found(spark):
     assert found == {(k + 1, k) for k in range(12, 92, 2)}
 
 
+def test_near_copies_with_an_edit_in_each_window_are_found_beside_a_line_of_many(spark):
+    rng = np.random.default_rng(21)
+    other = lambda n: [f"o{k}" for k in rng.integers(0, 2**40, n)]
+    line, before, after = other(30), other(22), other(22)
+    rows = [other(40) + line + other(40) for _ in range(20)]
+    rows += [other(60) + before + other(1) + line + other(60), other(9) + line + other(1) + after + other(40)]
+    rows += [other(40) + line + other(40) for _ in range(20)]
+    rows += [other(30) + before + other(1) + line + other(30), other(20) + line + other(1) + after + other(30), other(40) + line + other(40)]
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(rows)], "doc_id long, text string")
+    found = {(r["doc_id"], r["first_word"], r["last_word"], r["of_doc_id"]) for r in substring_dedup.duplicate_passages(docs).collect()}
+    assert found == {(42, 30, 82, 20), (43, 20, 72, 21)}
+
+
+def test_places_of_a_key_meet_across_blocks_as_within_one(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "BLOCK_ROWS", 7)
+    test_near_copies_with_an_edit_in_each_window_are_found_beside_a_line_of_many(spark)
+
+
 def test_risk_and_prior_against_brute_force(spark):
     rng = np.random.default_rng(11)
     n, d = 4000, 6
