@@ -13,7 +13,7 @@ from assayer.operators import similarity as V
 from assayer.operators import vector_index as X
 from assayer.plans.tables import read
 from assayer.sources import layout as L
-from assayer.sources.stored import kept_until_end, shared_dir
+from assayer.sources.stored import kept_until_end, shared_dir, written
 from assayer.streaming import ledger as T
 
 
@@ -64,7 +64,7 @@ def extracted_procedures(spark, sf_dir):
 def cosine_topk(spark, sf_dir):
     e = read(spark, sf_dir, "embeddings")
     labels = e.groupBy("label").agg(F.min("vec_id").alias("vec_id")).join(e.drop("label"), "vec_id").select(F.col("vec_id").alias("code"), "embedding")
-    index = X.built(labels, "code", "embedding", kept_until_end(spark, f"{shared_dir(spark)}/label-vectors"))
+    index = X.built(written(labels), "code", "embedding", kept_until_end(spark, f"{shared_dir(spark)}/label-vectors"))
     return X.search(index, e, "vec_id", "embedding", k=2, threshold=0.1).withColumn("score", F.round("score", 4) + 0.0)
 
 

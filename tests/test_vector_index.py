@@ -108,3 +108,14 @@ def test_visits_of_the_second_pass_are_not_broadcast(spark, folder, monkeypatch)
     found = vector_index.search(index, spark.createDataFrame(rows, "q string, v array<double>"), "q", "v", 2, 0.5)
     assert _got(found, "q") == _plain(rows, rows, 2, 0.5)
     assert "SortMergeJoin" in plans[1] and "BroadcastHashJoin" not in plans[1]
+
+
+@pytest.mark.parametrize("k, threshold, same", [(2, 0.1, False), (3, -1.0, True)])
+def test_queries_meet_few_vectors_where_they_stand(spark, folder, k, threshold, same):
+    few = _rows(5, n=14)
+    index = vector_index.built(spark.createDataFrame(few, SCHEMA), "code", "v", folder)
+    asked = [(f"c{j:04d}", v) for j, v in enumerate(np.random.default_rng(6).normal(size=(300, 6)).tolist())] + [(None, few[2][1]), ("none", None), ("zero", [0.0] * 6)]
+    odd = [("long", [1.0] * 7), ("nan", [float("nan")] + [1.0] * 5), ("hole", [None] + [1.0] * 5), ("far", [float("inf")] + [1.0] * 5)]
+    found = vector_index.search(index, spark.createDataFrame(asked + odd, "q string, vec array<double>"), "q", "vec", k, threshold, same)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert _got(found, "q") == _plain(few, asked, k, threshold, same)
