@@ -365,6 +365,50 @@ def test_only_pairs_without_a_passage_are_left_unverified(monkeypatch):
     assert sum(b for _, b in seen) < sum(a for a, _ in seen)
 
 
+def test_seeds_without_a_passage_are_not_followed(monkeypatch):
+    rng = np.random.default_rng(31)
+    a, b = (rng.integers(1, 2**60, 400).astype(np.uint64) for _ in range(2))
+    a[100:120], a[300:320] = b[50:70], b[200:220]  # alike for 20 words, nothing beside them
+    followed, stops = [], substring_dedup._stops
+    monkeypatch.setattr(substring_dedup, "_stops", lambda *args: followed.append(args[2:4]) or stops(*args))
+    assert not substring_dedup.passages(substring_dedup.Side(a), substring_dedup.Side(b), [(100, 50), (300, 200)], 50, 80) and not followed
+    for _ in range(100):
+        x, y = (substring_dedup.Side(rng.integers(0, 4, n).astype(np.uint64)) for n in rng.integers(5, 60, 2))
+        least, percent, grams = int(rng.integers(5, 30)), int(rng.choice([60, 80, 90])), x.grams[0].tolist()
+        worth = [100 - percent if g in y.grams[0] else 0 if g in grams[:k] else -2 * percent for k, g in enumerate(grams)]
+        sums, n = np.append(0, np.cumsum(worth)), len(grams)
+        hope = x.hope(y, np.arange(n), least, percent)
+        for at in range(n):
+            every = [sums[t] - sums[f] for f in range(at + 1) for t in range(max(at + 1, f + least - 4), n + 1)]
+            assert hope[at] == max(every) if every else hope[at] < -(1 << 50)
+
+
+def test_fewest_and_inside_count_distinct_shingles():
+    rng = np.random.default_rng(37)
+    words = [rng.integers(1, 2**60, n).astype(np.uint64) for n in (216, 170, 216, 130)]
+    words[1][120:150], words[2][60:80] = words[1][120], words[2][40:60]
+    at = np.array([100, 100, 100, 60])
+    found = substring_dedup.Contexts(words, at, 50, 16)
+    assert found.again.tolist() == [1, 2]
+    shingles = lambda w, f, t: len({tuple(w[k : k + 5]) for k in range(f, t - 4)})
+    for left, right in ((0, 0), (3, 1), (3, 2), (0, 49), (40, 16), (49, 49)):
+        got = found.inside(np.arange(4), np.full((4, 4), left), np.full((4, 4), right))
+        assert got.tolist() == [[shingles(w, a - left, a + right)] * 4 for w, a in zip(words, at, strict=True)]
+    assert found.fewest.tolist() == [min(shingles(w, a - k, a - k + 50) for k in range(35)) for w, a in zip(words, at, strict=True)]
+
+
+def test_what_was_shuffled_for_a_written_table_goes_at_once(spark):
+    from assayer.llm.common import written
+
+    def shuffled():
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {files.apply(k).getName() for k in range(files.size()) if files.apply(k).getName().startswith("shuffle_")}
+
+    before = shuffled()
+    table = written(spark.range(100).groupBy((F.col("id") % 7).alias("k")).count())
+    assert not shuffled() - before and table.count() == 7
+
+
 def test_risk_and_prior_against_brute_force(spark):
     rng = np.random.default_rng(11)
     n, d = 4000, 6
