@@ -3,10 +3,10 @@
 Texts are cut into units (a run of spaces with the letters or the other characters after it) at places that no piece spans;
 units longer than FOLDED characters are cut further wherever two neighbours stand in no piece together. Each distinct unit of
 the corpus is encoded once: its substrings of at most the longest piece's length are exploded and joined with the piece table,
-the edges are grouped by unit, and a Spark higher-order aggregate folds them into a path. For a unigram model that fold is
-Viterbi: the path of the largest sum of scores. For a BPE model it merges, step by step, the neighbours whose joint edge has
+the edges are grouped by unit, and a fold makes a path of them. For a unigram model that fold is Viterbi, in a Spark higher-order
+aggregate: the path of the largest sum of scores. For a BPE model it merges, step by step, the neighbours whose joint edge has
 the best score, the leftmost among equals, because the largest sum of scores is not what such a model means; its state is the
-set of borders that are left, as bits. A character that no piece covers becomes its UTF-8
+set of borders that are left, as bits, of all units of a batch at once. A character that no piece covers becomes its UTF-8
 bytes' pieces, or the unknown piece if there are none. Units that are still longer than FOLDED (a run of letters without any
 break) are folded where they stand, by the same rules with a heap or a table, in time that grows with their length.
 
@@ -32,10 +32,13 @@ from functools import cached_property
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from assayer.llm.common import map_lists, read, tokenizer_path, written
+from assayer.llm.common import map_lists, read, release, ship, tokenizer_path, written
 
 VOCABULARY = "piece_bpe_32k.model"
 SPACE = "▁"
@@ -167,9 +170,8 @@ def piece_table(spark: SparkSession, voc: Vocabulary) -> DataFrame:
 def lattice(found: DataFrame, voc: Vocabulary) -> DataFrame:
     """unit, n, edges of every unit: its pieces, from character s to before e.
 
-    For BPE an edge is s, borders (bits s to e) and id, and `wide` has the borders inside of each piece of several characters,
-    the best and leftmost first; for Viterbi an edge is cost, s, e and id. The place after a unit's last character stands
-    for the empty piece.
+    For BPE an edge is a number in the order of merging (rank, then s, length and id), for Viterbi it is cost, s, e and id. The
+    place after a unit's last character stands for the empty piece.
     """
     spark, size, start = found.sparkSession, F.length("unit"), F.col("s")
     places = found.select("unit", "n", F.explode(F.sequence(F.lit(0), size)).alias("s"))
@@ -182,11 +184,13 @@ def lattice(found: DataFrame, voc: Vocabulary) -> DataFrame:
     if not voc.bpe:
         edge = F.struct("cost", "s", (start + F.col("k")).alias("e"), "id")
         return met.groupBy("unit").agg(F.first("n").alias("n"), F.collect_list(edge).alias("edges"))
-    bits = F.call_function("shiftleft", F.call_function("shiftleft", F.lit(2).cast("long"), F.col("k")) - 1, start)
-    met = met.withColumn("borders", bits)
-    wide = F.when(F.col("k") > 1, F.struct("rank", "s", _inside(F.col("borders")).alias("inside")))
-    grouped = met.groupBy("unit").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(wide)).alias("wide"), F.collect_list(F.struct("s", "borders", "id")).alias("edges"))
-    return grouped.select("unit", "n", F.col("wide.inside").alias("wide"), "edges")
+    # an edge as one number, the best and leftmost first: rank, s, k and id
+    edge = F.shiftleft(F.shiftleft(F.shiftleft(F.col("rank").cast("long"), 6).bitwiseOR(start), 6).bitwiseOR(F.col("k")), _ID_BITS).bitwiseOR(F.col("id"))
+    return met.groupBy("unit", "n").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
+
+
+#: Bits of a piece's id in the number of an edge.
+_ID_BITS = 26
 
 
 def head_table(spark: SparkSession, voc: Vocabulary) -> DataFrame:
@@ -203,46 +207,52 @@ def head_table(spark: SparkSession, voc: Vocabulary) -> DataFrame:
 _HEAD = 3
 
 
-def _beside(bits: Column) -> Column:
-    """The bits next to those set."""
-    return F.shiftleft(bits, 1).bitwiseOR(F.shiftrightunsigned(bits, 1))
-
-
-def _inside(bits: Column) -> Column:
-    """A run of bits without its ends."""
-    return bits.bitwiseAND(F.shiftleft(bits, 1)).bitwiseAND(F.shiftrightunsigned(bits, 1))
+def merged(edges: pa.ListArray, units: list[str], voc: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of units that BPE leaves, one unit's after the other's, and their numbers by unit, from a batch of a BPE lattice.
 
-
-def merge_fold() -> Column:
-    """Borders of the segments that BPE leaves, as bits, all bits above the last border included.
-
-    An edge of which both ends and one border inside are left joins two segments; the best such edge takes that border away.
-    The highest bit goes when there is none.
+    All units of the batch are folded at once over their borders, as bits: an edge of which both ends and one border inside are
+    left joins two segments; the best such edge of a unit takes that border away, and edges that cannot join any more go, until
+    no unit has one.
     """
-
-    def step(left: Column, _: Column) -> Column:
-        ready = F.filter(F.col("wide"), lambda p: (F.bit_count(p.bitwiseAND(left)) == 1) & (_beside(p).bitwiseAND(F.bitwise_not(p.bitwiseOR(left))) == 0))
-        after = F.get(F.transform(F.slice(ready, 1, 1), lambda p: left - p.bitwiseAND(left)), 0)
-        return F.when(left >= 0, left).otherwise(F.coalesce(after, left.bitwiseAND((1 << 63) - 1)))
-
-    return F.aggregate(F.sequence(F.lit(1), F.length("unit")), F.lit(-1).cast("long"), step)
-
-
-def merged_edges() -> Column:
-    """s and id of the edges that are segments between the borders in `left`, in order."""
-    still = lambda x: x["borders"].bitwiseAND(F.col("left"))
-    chosen = F.filter("edges", lambda x: (F.bit_count(still(x)) == 2) & (still(x) == x["borders"].bitwiseXOR(_inside(x["borders"]))))
-    return F.sort_array(F.transform(chosen, lambda x: F.struct(x["s"].alias("s"), x["id"].alias("id"))))
-
-
-def merged_ids(voc: Vocabulary) -> Column:
-    """The ids of the segments: those of `chosen`, if these cover the unit."""
-    left, size = F.col("left"), F.length("unit")
-    borders = F.filter(F.sequence(F.lit(0), size), lambda b: F.call_function("shiftrightunsigned", left, b).bitwiseAND(1) == 1)
-    among = F.call_function("shiftleft", F.lit(2).cast("long"), size) - 1
-    covered = F.size("chosen") == F.bit_count(left.bitwiseAND(among)) - 1
-    slow = path_ids(voc, borders, lambda x, s, e: (x["s"] == s) & (F.bit_count(x["borders"]) == e - s + 1))
-    return F.when(covered, F.col("chosen.id")).otherwise(slow)
+    one, rows = np.uint64(1), len(units)
+    code, unit = edges.flatten().to_numpy(), np.repeat(np.arange(rows), edges.value_lengths().to_numpy())
+    s, k = (code >> (_ID_BITS + 6) & 63).astype(np.uint64), (code >> _ID_BITS & 63).astype(np.uint64)
+    ends, borders = one << s | one << (s + k), ((np.uint64(2) << k) - one) << s
+    left = np.zeros(rows, np.uint64)
+    left[unit[k == 0]] = (np.uint64(2) << s[k == 0]) - one  # the empty piece stands at a unit's end
+    wide = np.flatnonzero(k > 1)
+    at, sides, inside = unit[wide], ends[wide], borders[wide] & ~ends[wide]
+    while len(at):
+        now = left[at]
+        alive = (inside & now != 0) & (sides & ~now == 0)
+        at, sides, inside = at[alive], sides[alive], inside[alive]
+        border = inside & left[at]
+        ready = np.flatnonzero(border & (border - one) == 0)
+        best = ready[np.append(True, at[ready][1:] != at[ready][:-1])] if len(ready) else ready
+        left[at[best]] ^= border[best]
+        goes_on = np.zeros(rows, bool)
+        goes_on[at[best]] = True
+        at, sides, inside = at[goes_on[at]], sides[goes_on[at]], inside[goes_on[at]]
+    chosen = np.flatnonzero((k > 0) & (borders & left[unit] == ends))
+    chosen = chosen[np.lexsort((s[chosen], unit[chosen]))]
+    ids, n = (code[chosen] & ((1 << _ID_BITS) - 1)).astype("<u4"), np.bincount(unit[chosen], minlength=rows)
+    bare = np.flatnonzero(n != np.bitwise_count(left).astype(np.int64) - 1)
+    if not len(bare):
+        return ids, n
+    parts = np.split(ids, np.cumsum(n)[:-1])  # characters that no piece covers
+    starts = np.split(s[chosen].astype(np.int64), np.cumsum(n)[:-1])
+    for row in bare.tolist():
+        hit = dict(zip(starts[row].tolist(), parts[row].tolist(), strict=True))
+        out: list[int] = []
+        for f in [b for b in range(len(units[row])) if int(left[row]) >> b & 1]:
+            if f in hit:
+                out.append(hit[f])
+            elif voc.first_byte is None:
+                out.append(voc.unknown)
+            else:
+                out += [voc.first_byte + x for x in units[row][f].encode()]
+        parts[row] = np.array(out, "<u4")
+    return np.concatenate(parts), np.array([len(x) for x in parts])
 
 
 def path_ids(voc: Vocabulary, path: Column, is_edge) -> Column:
@@ -289,10 +299,7 @@ def viterbi_path(table: Column) -> Column:
 
 
 def folded(edges: DataFrame, voc: Vocabulary) -> DataFrame:
-    """unit, n, ids of every unit of a lattice."""
-    if voc.bpe:
-        left = edges.withColumn("left", merge_fold()).withColumn("chosen", merged_edges())
-        return left.select("unit", "n", merged_ids(voc).alias("ids"))
+    """unit, n, ids of every unit of a Viterbi lattice."""
     path = F.transform(F.array(viterbi_table(min(s for _, _, s in voc.pieces))), viterbi_path)[0]
     ids = F.transform(F.array(path), lambda p: path_ids(voc, p, lambda x, s, e: (x["s"] == s) & (x["e"] == e)))[0]
     return edges.select("unit", "n", ids.alias("ids"))
@@ -380,64 +387,95 @@ class Shown:
             return b"".join([self.raw[i] for i in ids if i < len(self.raw)])
 
 
-ENCODED = "row long, doc_id long, first_unit int, n_units int, n_ids long, ids_crc32 long, round_trip boolean, ids binary, unit string"
-_STRETCH = ("row", "doc_id", "first_unit", "n_units", "n_ids", "ids_crc32", "round_trip", "ids")
+#: What a row of docs has: a row with its stretches of units whose ids are at hand, as lists, and one for each other unit (one_*).
+ENCODED = (
+    "row long, doc_id long, n_units long, round_trip boolean, at array<int>, n_ids array<int>, ids_crc32 array<long>, ids array<binary>, "
+    "one_at int, one_n_ids int, one_ids_crc32 long, one_ids binary"
+)
+_KNOWN = ENCODED[: ENCODED.index(", one_at")]
+TOLD = "unit string, n long, n_ids int, ids_crc32 long, good boolean, ids binary"
+
+
+def told(edges: DataFrame, voc: Vocabulary) -> DataFrame:
+    """TOLD rows of a lattice's units: little-endian 32-bit ids with their number and crc32, and whether they decode to the unit."""
+    ship(edges.sparkSession)
+    shown, target = Shown(voc), to_arrow_schema(StructType.fromDDL(TOLD))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            units, found = batch.column(0).to_pylist(), batch.column(2)
+            if voc.bpe:
+                flat, sizes = merged(found, units, voc)
+            else:
+                flat, sizes = found.flatten().to_numpy().astype("<u4"), found.value_lengths().to_numpy()
+            raw, listed, ends = flat.tobytes(), flat.tolist(), np.cumsum(sizes).tolist()
+            starts = [0, *ends[:-1]]
+            binary = [raw[4 * f : 4 * t] for f, t in zip(starts, ends, strict=True)]
+            good = [shown.of(listed[f:t]) == u.replace(SPACE, " ").encode() for f, t, u in zip(starts, ends, units, strict=True)]
+            columns = [batch.column(0), batch.column(1), pa.array(sizes.astype(np.int32)), pa.array(list(map(zlib.crc32, binary)), pa.int64()), pa.array(good, pa.bool_()), pa.array(binary, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, schema=target)
+        release()
+
+    ready = edges.select("unit", "n", "edges") if voc.bpe else folded(edges, voc)
+    return ready.mapInArrow(run, TOLD)
 
 
 def encode(docs: DataFrame, voc: Vocabulary | None = None, frequent: int = FREQUENT, with_ids: bool = True) -> DataFrame:
-    """row (a number for each row of docs), doc_id, first_unit, n_units, n_ids, ids_crc32, round_trip and ids of each stretch of units.
+    """ENCODED rows, to be put together by `whole`. row is a number for each row of docs; at: the number of a stretch's first unit.
 
-    ids are little-endian 32-bit ones, null unless with_ids; round_trip tells whether they decode to the stretch (texts that hold
+    ids are little-endian 32-bit ones, null unless with_ids; round_trip tells whether they decode to the text (texts that hold
     the mark for spaces do not).
     """
     spark = docs.sparkSession
     voc = voc or vocabulary()
-    encoded = written(folded(lattice(distinct_units(docs, voc), voc), voc))
+    encoded = written(told(lattice(distinct_units(docs, voc), voc), voc))
     least = least_count(encoded, frequent)
     common: dict[str, bytes] = {}
-    for r in encoded.where(F.col("n") >= least).select("unit", "ids").toLocalIterator():  # at most `frequent` rows
-        common[r["unit"]] = array("I", r["ids"]).tobytes()
+    odd = set()
+    for r in encoded.where(F.col("n") >= least).select("unit", "ids", "good").toLocalIterator():  # at most `frequent` rows
+        common[r["unit"]] = bytes(r["ids"])
+        if not r["good"]:
+            odd.add(r["unit"])
     shown, cutter, long = Shown(voc), voc.cutter, LongUnits(voc)
-    odd = {u for u, x in common.items() if shown.of(array("I", x)) != u.replace(SPACE, " ").encode()}
     sent = spark.sparkContext.broadcast((common, odd))
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
-        (common, odd), names = sent.value, (*_STRETCH, "unit")
-        get = common.get
+        common, odd = sent.value
+        names = [c.split()[0] for c in f"{_KNOWN}, rare_at array<int>, rare array<string>".split(", ")]
         for x in batches:
-            out: list[tuple] = []
-            for row, doc, t in zip(x["row"], x["doc_id"], x["text"], strict=True):
-                found, plain = cutter.units(t), not t or SPACE not in t
-                values = list(map(get, found))
-                rare = [i for i, v in enumerate(values) if v is None]
-                for i in rare:
-                    if len(found[i]) <= FOLDED:
-                        out.append((row, doc, i, 1, 0, 0, plain, None, found[i]))
-                    else:
-                        out.append((row, doc, i, 1, *of_unit(long.ids(found[i]), found[i], plain), None))
-                a = 0
-                for b in (*rare, len(found)):
-                    if a < b or not found:
-                        ids = b"".join(values[a:b])
-                        good = plain and (not odd or odd.isdisjoint(found[a:b]))
-                        out.append((row, doc, a, b - a, len(ids) // 4, zlib.crc32(ids), good, ids if with_ids else None, None))
-                    a = b + 1
+            out = []
+            for row, doc, text in zip(x["row"], x["doc_id"], x["text"], strict=True):
+                units = cutter.units(text)
+                values = list(map(common.get, units))
+                good = (not text or SPACE not in text) and (not odd or odd.isdisjoint(units))
+                at, firsts, stretches, rare_at, rare = 0, [], [], [], []  # at: the first unit of the stretch that is open
+                for k in [k for k, v in enumerate(values) if v is None]:
+                    unit = units[k]
+                    if len(unit) > FOLDED:
+                        found = long.ids(unit)
+                        values[k] = array("I", found).tobytes()
+                        good = good and shown.of(found) == unit.replace(SPACE, " ").encode()
+                        continue
+                    if at < k:
+                        firsts.append(at)
+                        stretches.append(b"".join(values[at:k]))
+                    rare_at.append(k)
+                    rare.append(unit)
+                    at = k + 1
+                if at < len(units):
+                    firsts.append(at)
+                    stretches.append(b"".join(values[at:]))
+                sizes, crcs = [len(b) // 4 for b in stretches], list(map(zlib.crc32, stretches))
+                out.append((row, doc, len(units), good, firsts, sizes, crcs, stretches if with_ids else None, rare_at, rare))
             yield dict(zip(names, map(list, zip(*out, strict=True)), strict=True))
 
-    def of_unit(ids: list[int], unit: str, plain: bool) -> tuple[int, int, bool, bytes | None]:
-        raw = array("I", ids).tobytes()
-        return len(ids), zlib.crc32(raw), plain and shown.of(ids) == unit.replace(SPACE, " ").encode(), raw if with_ids else None
-
-    def rest(batches: Iterator[dict]) -> Iterator[dict]:
-        for x in batches:
-            values = map(of_unit, x.pop("unit_ids"), x.pop("unit"), x["round_trip"])
-            yield x | dict(zip(("n_ids", "ids_crc32", "round_trip", "ids"), map(list, zip(*values, strict=True)), strict=True))
-
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), "text")
-    cut = written(map_lists(numbered, run, ENCODED))
-    others = cut.where("unit IS NOT NULL").select("row", "doc_id", "first_unit", "n_units", "round_trip", "unit")
-    met = others.join(encoded.where(F.col("n") < least).select("unit", F.col("ids").alias("unit_ids")), "unit")
-    return cut.where("unit IS NULL").drop("unit").unionByName(map_lists(met, rest, ENCODED.removesuffix(", unit string")))
+    cut = written(map_lists(numbered, run, f"{_KNOWN}, rare_at array<int>, rare array<string>"))
+    others = cut.select("row", F.explode(F.arrays_zip("rare_at", "rare")).alias("one")).select("row", F.col("one.rare_at").alias("one_at"), F.col("one.rare").alias("unit"))
+    rest = encoded.where(F.col("n") < least).select("unit", "n_ids", "ids_crc32", "good", *(["ids"] if with_ids else []))
+    met = others.join(rest, "unit").drop("unit").withColumnsRenamed({"n_ids": "one_n_ids", "ids_crc32": "one_ids_crc32", "good": "round_trip", "ids": "one_ids"})
+    both = cut.drop("rare_at", "rare").unionByName(met, allowMissingColumns=True)
+    return both if with_ids else both.withColumn("one_ids", F.lit(None).cast("binary"))
 
 
 def _shift_tables() -> np.ndarray:
@@ -459,38 +497,53 @@ def _shifted(table: np.ndarray, crc: np.ndarray) -> np.ndarray:
     return table[0][crc & 255] ^ table[1][crc >> 8 & 255] ^ table[2][crc >> 16 & 255] ^ table[3][crc >> 24]
 
 
-def joined_crc32(crcs: list[list[int]], sizes: list[list[int]], tables: np.ndarray) -> np.ndarray:
-    """The crc32 of byte strings one after another, from those of each and their sizes in bytes: a number for each inner list."""
-    n = np.array([len(x) for x in crcs])
-    crc, size = np.array([c for x in crcs for c in x], np.uint32), np.array([s for x in sizes for s in x], np.int64)
-    ends = np.cumsum(n) - 1
+def joined_crc32(crc: np.ndarray, size: np.ndarray, n: np.ndarray, tables: np.ndarray) -> np.ndarray:
+    """The crc32 of byte strings one after another, from those of each and their sizes in bytes: a number for each n of them."""
+    out, n = np.zeros(len(n), np.int64), n.astype(np.int64)
+    some = n > 0
+    ends = np.cumsum(n)[some] - 1
     total = np.cumsum(size)
-    after = np.repeat(total[ends], n) - total
+    after, crc = np.repeat(total[ends], n[some]) - total, crc.astype(np.uint32)
     for power in range(int(after.max(initial=0)).bit_length()):
         hit = after >> power & 1 == 1
         crc[hit] = _shifted(tables[power], crc[hit])
-    return np.bitwise_xor.reduceat(crc, ends - n + 1).astype(np.int64) if len(n) else np.zeros(0, np.int64)
+    if some.any():
+        out[some] = np.bitwise_xor.reduceat(crc, ends - n[some] + 1)
+    return out
 
 
 def whole(stretches: DataFrame) -> DataFrame:
     """row, doc_id, n_units, n_ids, ids_crc32, round_trip and ids of each row of docs, from the rows of encode."""
+    ship(stretches.sparkSession)
     schema = "row long, doc_id long, n_units long, n_ids long, ids_crc32 long, round_trip boolean, ids binary"
-    parts = stretches.groupBy("row", "doc_id").agg(
-        F.sum("n_units").alias("n_units"), F.sum("n_ids").alias("n_ids"), F.bool_and("round_trip").alias("round_trip"),
-        F.array_sort(F.collect_list(F.struct("first_unit", "n_ids", "ids_crc32", "ids"))).alias("parts"),
-    )
+    first = [F.first(c, ignorenulls=True).alias(c) for c in ("doc_id", "n_units", "at", "n_ids", "ids_crc32", "ids")]
+    one = F.struct("one_at", "one_n_ids", "one_ids_crc32", "one_ids")
+    parts = stretches.groupBy("row").agg(*first, F.bool_and("round_trip").alias("round_trip"), F.collect_list(F.when(F.col("one_at").isNotNull(), one)).alias("one"))
     # columns by place, so that Python gets arrays, not structs
-    by_place = parts.select("row", "doc_id", "n_units", "n_ids", "round_trip", *[F.col(f"parts.{c}").alias(f"part_{c}") for c in ("n_ids", "ids_crc32", "ids")])
-
-    tables = _shift_tables()
-
-    def run(batches: Iterator[dict]) -> Iterator[dict]:
-        for x in batches:
-            sizes, crcs, ids = (x.pop(f"part_{c}") for c in ("n_ids", "ids_crc32", "ids"))
-            x["ids_crc32"] = joined_crc32(crcs, [[4 * n for n in s] for s in sizes], tables)
-            yield x | {"ids": [None if None in part else b"".join(part) for part in ids]}
-
-    return map_lists(by_place, run, schema)
+    lists = [*(F.col(c) for c in ("at", "n_ids", "ids_crc32", "ids")), *(F.col(f"one.one_{c}").alias(f"one_{c}") for c in ("at", "n_ids", "ids_crc32", "ids"))]
+    by_place = parts.select("row", "doc_id", "n_units", "round_trip", *lists)
+    tables, target = _shift_tables(), to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = dict(zip(batch.schema.names, batch.columns, strict=True))
+            n = [column[c].value_lengths().to_numpy() for c in ("at", "one_at")]
+            row = np.concatenate([np.repeat(np.arange(batch.num_rows), k) for k in n])
+            at, size, crc = (np.concatenate([column[f"{one}{c}"].flatten().to_numpy() for one in ("", "one_")]) for c in ("at", "n_ids", "ids_crc32"))
+            order = np.lexsort((at, row))
+            size = size.astype(np.int64)
+            n_ids = np.bincount(row, weights=size, minlength=batch.num_rows).astype(np.int64)
+            ids = None
+            if column["ids"].null_count < batch.num_rows:
+                raw = column["ids"].flatten().to_pylist() + column["one_ids"].flatten().to_pylist()
+                ends = np.cumsum(n[0] + n[1]).tolist()
+                ids = [b"".join([raw[k] for k in order[f:t]]) for f, t in zip([0, *ends[:-1]], ends, strict=True)]
+            crcs = joined_crc32(crc[order], 4 * size[order], n[0] + n[1], tables)
+            columns = [column["row"], column["doc_id"], column["n_units"], pa.array(n_ids), pa.array(crcs), column["round_trip"], pa.array(ids, pa.binary()) if ids else pa.nulls(batch.num_rows, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, schema=target)
+        release()
+
+    return by_place.mapInArrow(run, schema)
 
 
 def decode(tokens: DataFrame, voc: Vocabulary | None = None) -> DataFrame:

@@ -82,6 +82,17 @@ def test_pieces_equal_the_library(spark, docs):
     assert back == {-1: "", **{k: lib.decode(lib.encode(t or "")) for k, (_, t) in enumerate(rows)}}
 
 
+def test_units_of_a_batch_are_merged_at_once_and_texts_keep_one_row(spark):
+    voc, rng = pieces.vocabulary(), np.random.default_rng(41)
+    units = sorted({"▁" + "".join(rng.choice(list("aeinrst"), n)) for n in rng.integers(0, 40, 200)} | {"", "▁", "漢😀a", "1" * 62})
+    long = pieces.LongUnits(voc)
+    table = pieces.told(pieces.lattice(spark.createDataFrame([(u, 1) for u in units], "unit string, n long"), voc), voc)
+    assert {r["unit"]: np.frombuffer(r["ids"], "<u4").tolist() for r in table.collect()} == {u: long.ids(u) for u in units}
+    docs = spark.createDataFrame([(1, "once thntst xqzt and more of it"), (2, None)], "doc_id long, text string")
+    rows = pieces.encode(docs, frequent=0, with_ids=False).collect()
+    assert sorted(r["doc_id"] for r in rows if r["doc_id"]) == [1, 2] and sum(r["one_at"] is not None for r in rows) == 7
+
+
 def test_viterbi_equals_the_library_on_a_unigram_reading(spark):
     uni = pieces.unigram_reading(pieces.vocabulary())
     lib, scores = _library(uni), {k: s for _, k, s in uni.pieces}
