@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), with value computed once a row though the expression names it often."""
-    return F.transform(F.array(value), use)[0]
+    """use(value), with value computed once a row though the expression names it often.
+
+    The end of a fold over nothing: an element taken from an array would ask its whole expression for its type, row by row.
+    """
+    return F.aggregate(F.array().cast("array<int>"), value, lambda x, _: x, use)
 
 
 def quoted(terms: Sequence[str], bounded: bool = False) -> str:

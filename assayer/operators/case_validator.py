@@ -8,12 +8,15 @@ counts as an empty document; a null text has no issues of the schema and counts
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, StructType
 
-from assayer.operators.case_schema import NO_ISSUES, all_of, found, let, none, schema_issues
+from assayer.functions.text import let
+from assayer.operators.case_schema import NO_ISSUES, all_of, found, none, read_issues
 
 _IDS = "evidence_ids: ARRAY<STRING>"
 DOCUMENT = (
@@ -33,6 +36,10 @@ DOCUMENT = (
     f"tests_performed: ARRAY<STRUCT<test_name: STRING, result: STRING, {_IDS}>>>, "
     "taxonomy_labels STRUCT<malpractice_categories: ARRAY<STRING>>, quality STRUCT<evidence_coverage_score: DOUBLE, validation_passed: BOOLEAN>"
 )
+#: The document as the rules read it: parts that only have to be there are read as text, so that other kinds of values cost no failed reading.
+READ = DOCUMENT.replace("quality STRUCT<evidence_coverage_score: DOUBLE, validation_passed: BOOLEAN>", "quality STRUCT<evidence_coverage_score: STRING, validation_passed: STRING>").replace(
+    "scoring_rubric: STRUCT<max_score: DOUBLE>, ", ""
+)
 # The fields that a document must have, and the codes that make it invalid even where rules are lenient.
 REQUIRED = (
     "case_id", "source", "jurisdiction", "court", "decision_date", "url", "clinical_domain", "outcome_severity",
@@ -51,20 +58,35 @@ def _count(items: Column) -> Column:
     return F.greatest(F.coalesce(F.size(items), F.lit(0)), F.lit(0))
 
 
-def references(value: Column, kind: DataType, path: Column) -> Column:
-    """field, id of every evidence id that a part of a document refers to, in the order of the schema."""
+def references(value: Column, kind: DataType) -> Column:
+    """Every evidence id that a part of a document refers to, in the order of the schema."""
+    nothing = F.array().cast("array<string>")
+    if isinstance(kind, ArrayType) and isinstance(kind.elementType, StructType):
+        return F.coalesce(F.flatten(F.transform(value, lambda x: references(x, kind.elementType))), nothing)
+    parts = []
+    for f in kind.fields if isinstance(kind, StructType) else ():
+        if f.name == "evidence_ids":
+            parts.append(F.coalesce(value[f.name], nothing))
+        elif isinstance(f.dataType, (StructType, ArrayType)):
+            parts.append(references(value[f.name], f.dataType))
+    return F.flatten(F.array(*parts)) if parts else nothing
+
+
+def lost_references(value: Column, kind: DataType, path: Column, ids: Column) -> Column:
+    """field, id of every reference to an id that is not there, in the order of the schema; places are told of these alone."""
     pair = "array<struct<field:string,id:string>>"
     nothing = F.array().cast(pair)
     if isinstance(kind, ArrayType) and isinstance(kind.elementType, StructType):
-        return F.coalesce(F.flatten(F.transform(value, lambda x, i: references(x, kind.elementType, F.concat(path, F.lit("["), i.cast("string"), F.lit("]"))))), nothing)
+        return F.coalesce(F.flatten(F.transform(value, lambda x, i: lost_references(x, kind.elementType, F.concat(path, F.lit("["), i.cast("string"), F.lit("]")), ids))), nothing)
     parts = []
     for f in kind.fields if isinstance(kind, StructType) else ():
         at = F.concat(path, F.lit(f".{f.name}"))
         if f.name == "evidence_ids":
-            parts.append(F.coalesce(F.transform(value[f.name], _at(at)), nothing))
+            lost = F.filter(value[f.name], lambda x: ~F.coalesce(F.array_contains(ids, x), F.lit(False)))
+            parts.append(F.coalesce(F.transform(lost, _at(at)), nothing))
         elif isinstance(f.dataType, (StructType, ArrayType)):
-            parts.append(references(value[f.name], f.dataType, at))
-    return F.concat(*parts) if parts else nothing
+            parts.append(lost_references(value[f.name], f.dataType, at, ids))
+    return F.flatten(F.array(*parts)) if parts else nothing
 
 
 def _at(path: Column) -> Callable[[Column], Column]:
@@ -79,10 +101,22 @@ def _repeated(ids: Column, field: str, name: str, what: str) -> Column:
 
 
 def _truthy(doc: Column, name: str) -> Column:
+    """Whether a part of a document is there and neither empty, false nor zero."""
     value = F.try_variant_get(doc, f"$.{name}", "variant")
     return F.coalesce(~F.is_variant_null(value) & ~F.to_json(value).isin('""', "[]", "{}", "false", "0", "0.0"), F.lit(False))
 
 
+def _there(doc: Column, part: Column, name: str, kind: DataType) -> Column:
+    """_truthy, told by the part as the schema reads it where this is enough, as large parts need not be written again for it."""
+    if isinstance(kind, StructType):
+        sure = reduce(or_, [part[f.name].isNotNull() for f in kind.fields])
+    elif isinstance(kind, ArrayType):
+        sure = F.size(part) > 0
+    else:
+        sure = part.rlike("^[A-Za-z]") & (part != "false")
+    return F.when(doc.isNotNull() & sure, F.lit(True)).otherwise(_truthy(doc, name))
+
+
 def _point_issues(points: Column, seen: Column) -> Column:
     def one(p: Column, i: Column) -> Column:
         path = F.concat(F.lit("simulation.decision_points["), i.cast("string"), F.lit("]"))
@@ -102,28 +136,24 @@ def _point_issues(points: Column, seen: Column) -> Column:
 
 def validated(cases: DataFrame, text: str, expected: str | None = DOCUMENT, required: tuple[str, ...] = ()) -> DataFrame:
     """Adds issues (severity, code, field, message), stats, scores, valid and valid_lenient; expected None leaves the schema rules out."""
-    document = StructType.fromDDL(DOCUMENT)
-    step = cases.withColumns({"_c": F.from_json(F.col(text), DOCUMENT), "_v": F.try_parse_json(F.col(text))})
+    document = StructType.fromDDL(READ)
+    step = cases.withColumns({"_c": F.from_json(F.col(text), READ), "_v": F.try_parse_json(F.col(text))})
     c, sim, truth = F.col("_c"), F.col("_c.simulation"), F.col("_c.ground_truth")
     points, timeline, asked = sim["decision_points"], truth["factual_timeline"], sim["requestables"]
     index = F.array_distinct(F.filter(F.transform(c["evidence_index"], lambda e: e["evidence_id"]), lambda x: ~_empty(x)))
-    step = step.withColumns({
-        "_ids": F.coalesce(index, F.array().cast("array<string>")),
-        "_refs": references(c, document, F.lit("")),
-    })
-    known = F.array_intersect(F.transform("_refs", lambda r: r["id"]), F.col("_ids"))
+    step = step.withColumn("_ids", F.coalesce(index, F.array().cast("array<string>")))
+    known = F.array_intersect(references(c, document), F.col("_ids"))
     step = step.withColumns({
         "_share": F.when(F.size("_ids") > 0, F.size(known) / F.size("_ids")),
-        "_lost": F.filter("_refs", lambda r: ~F.coalesce(F.array_contains(F.col("_ids"), r["id"]), F.lit(False))),
+        "_lost": lost_references(c, document, F.lit(""), F.col("_ids")),
         "_seen": F.coalesce(_repeated(F.transform(points, lambda p: p["decision_id"]), "simulation.decision_points", "decision_id", "decision"), F.array().cast(f"array<{NO_ISSUES}>")),
     })
     lost = F.transform("_lost", lambda r: found(F.lit(True), "error", "ORPHAN_EVIDENCE_REF", r["field"], F.concat(F.lit("Evidence ID '"), F.coalesce(r["id"], F.lit("None")), F.lit("' not found in evidence index"))))
     percent = F.bround(F.col("_share") * 100, 0).cast("int").cast("string")
-    gone = F.transform(
-        F.filter(F.array(*[F.struct(F.lit(n).alias("name"), _truthy(F.col("_v"), n).alias("there")) for n in REQUIRED]), lambda x: ~x["there"]), lambda x: x["name"]
-    )
+    names = F.array().cast("array<string>")
+    gone = F.concat(*[F.when(_there(F.col("_v"), c[n], n, document[n].dataType), names).otherwise(F.array(F.lit(n))) for n in REQUIRED])
     step = step.withColumn("_gone", gone)
-    schema = F.slice(schema_issues(F.col(text), StructType.fromDDL(expected), required), 1, MOST_TOLD) if expected is not None else none()
+    schema = F.slice(read_issues(F.col(text), F.col("_v"), StructType.fromDDL(expected), required), 1, MOST_TOLD) if expected is not None else none()
     no_events = F.transform(timeline, lambda e, i: found(
         _count(e["evidence_ids"]) == 0, "warning", "NO_EVIDENCE", F.concat(F.lit("ground_truth.factual_timeline["), i.cast("string"), F.lit("].evidence_ids")),
         F.concat(F.lit("Timeline event has no evidence: "), F.substring(F.coalesce(e["event"], F.lit("")), 1, 50)),
@@ -149,7 +179,7 @@ def validated(cases: DataFrame, text: str, expected: str | None = DOCUMENT, requ
     )
     step = step.withColumn("issues", found_all)
 
-    of = lambda severity: F.size(F.filter("issues", lambda i: (i["severity"] == severity) & F.contains(F.lower(i["field"]), F.lit("decision"))))
+    of = lambda severity: F.size(F.filter("issues", lambda i: (i["severity"] == severity) & i["field"].rlike("(?i)decision")))
     steps = lambda n, full, half: F.when(n >= full, 1.0).when(n >= half, 0.5).otherwise(0.0)
     whole = (
         F.when(_empty(sim["initial_state"]["chief_complaint"]), 0.0).otherwise(1.0) + steps(_count(points), 2, 1) + steps(_count(asked), 3, 1) + steps(_count(timeline), 5, 2)
@@ -167,7 +197,7 @@ def validated(cases: DataFrame, text: str, expected: str | None = DOCUMENT, requ
         "stats": stats, "scores": let(scores, lambda s: s.withField("overall", s["evidence_coverage"] * 0.3 + s["simulation_completeness"] * 0.4 + s["decision_point_quality"] * 0.3)),
         "valid": F.size(errors) == 0, "valid_lenient": ~F.exists(errors, lambda i: i["code"].isin(*GRAVE)),
     })
-    return step.drop("_c", "_v", "_ids", "_refs", "_share", "_lost", "_seen", "_gone")
+    return step.drop("_c", "_v", "_ids", "_share", "_lost", "_seen", "_gone")
 
 
 def _outcome(name: str) -> Column:

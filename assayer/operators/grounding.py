@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assayer.functions.text import let
+
 #: Terms of a document in one list.
 TERMS = 500
 # Words that count, the share of them that must be found, the share of evidence that must be grounded.
@@ -55,7 +57,7 @@ def grounded(evidence: DataFrame, sources: DataFrame, key: str, evidence_id: str
     # the text is lowered once, as a lambda's argument, not for each term; a reference is looked for as it is before its pattern is tried
     here = F.struct(F.lower("s").alias("low"), F.upper("s").alias("up"))
     is_met = lambda t, x: F.when(t["is_ref"], F.contains(x["up"], F.upper(_quotable(t["term"]))) & F.regexp_like(F.col("s"), reference_pattern(t["term"]))).otherwise(F.contains(x["low"], t["term"]))
-    met = F.transform(F.array(here), lambda x: F.filter("terms", lambda t: is_met(t, x)))[0]
+    met = let(here, lambda x: F.filter("terms", lambda t: is_met(t, x)))
     held = read.select("k", F.explode(met).alias("t")).select("k", "t.is_ref", "t.term", F.lit(1).alias("hit"))
     told = terms.join(held, ["k", "is_ref", "term"], "left").groupBy("row").agg(
         F.first("k").alias("k"), F.first("e").alias("e"), F.first("n_words").alias("n_words"),

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assayer.functions.text import let
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a.cast("array<double>"), b.cast("array<double>"), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
@@ -20,7 +22,7 @@ def normalized(df: DataFrame, vector: str, name: str = "unit") -> DataFrame:
     The norm is bound as a lambda's argument: as a column of its own Spark would put its expression in for each element.
     """
     v = F.col(vector).cast("array<double>")
-    return df.withColumn(name, F.transform(F.array(norm(v)), lambda n: F.when(n > 0, F.transform(v, lambda x: x / n)))[0])
+    return df.withColumn(name, let(norm(v), lambda n: F.when(n > 0, F.transform(v, lambda x: x / n))))
 
 
 def adjacent_coherence(vectors: Column) -> Column:

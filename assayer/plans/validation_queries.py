@@ -22,7 +22,7 @@ def case_documents(spark, sf_dir):
         F.struct(line("linestatus").alias("description"), later.alias("evidence_ids")).alias("expected_action_court"),
         (line("quantity") > 40).alias("is_malpractice_point"),
     )
-    kept = lambda rows: F.array_sort(F.collect_list(rows))
+    kept = lambda rows: F.sort_array(F.collect_list(rows))
     parts = lines.groupBy("o_orderkey").agg(
         kept(F.when(line("returnflag") != "N", F.struct(number.alias("n"), F.struct(evidence(number)[0].alias("evidence_id"), line("returnflag").alias("text")).alias("x")))).alias("found"),
         kept(F.when(line("tax") >= 0.03, F.struct(number.alias("n"), line("partkey"), decision.alias("x")))).alias("points"),
@@ -55,7 +55,7 @@ def case_documents(spark, sf_dir):
 def case_issues(spark, sf_dir):
     """Every document with its issues by code, its scores and its verdicts."""
     told = case_validator.validated(case_documents(spark, sf_dir), "doc", required=("simulation.decision_points[].options",))
-    codes = F.array_sort(F.transform("issues", lambda i: i["code"]))
+    codes = F.sort_array(F.transform("issues", lambda i: i["code"]))
     return told.select(
         "o_orderkey", F.array_join(codes, ",").alias("codes"), "valid", "valid_lenient",
         (F.round("scores.evidence_coverage", 6) + 0.0).alias("evidence_coverage"), (F.round("scores.simulation_completeness", 6) + 0.0).alias("completeness"),

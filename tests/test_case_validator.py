@@ -125,3 +125,30 @@ def test_required_paths_and_places(spark):
         0: [("lines[1].price", "expected a number, found STRING"), ("lines[2].price", missing), ("lines[2].flags[0]", "expected boolean, found BIGINT")],
         1: [("id", missing), ("lines", "expected an array, found OBJECT")], 2: [("id", "expected bigint, found DECIMAL")], 3: [("id", missing)],
     }
+
+
+def test_parts_whose_types_fit_are_not_taken_apart(spark):
+    """A worked-out value is no element of an array, whose type would be asked for row by row, and merged types of elements hide nothing."""
+    wanted = StructType.fromDDL("a STRUCT<b: ARRAY<STRUCT<c: STRING, d: ARRAY<DOUBLE>>>>, e BIGINT")
+    docs = [
+        '{"a":{"b":[{"c":"x","d":[1,2.5]},null,{"c":"y"}]},"e":1}', '{"a":{"b":[{"c":"x"},{"c":null}]}}', '{"a":{"b":[{"c":"x"},{}]}}', '{"a":{"b":[]},"e":null}',
+        '{"a":{"b":[{"c":"x","d":[1,"2"]},{"c":"y","d":[true]}]}}', '{"a":{"b":[{"c":"x","z z":1},5]},"e":2.0}', '{"a":{},"c: STRING, e":1}',
+    ]
+    df = spark.createDataFrame([(k, d) for k, d in enumerate(docs)], "k int, doc string")
+    checked = df.select("k", case_schema.schema_issues(F.col("doc"), wanted, ("a.b[].c",)).alias("x"))
+    got = {r["k"]: [(i["field"], i["message"]) for i in r["x"]] for r in checked.collect()}
+    missing = "a required value is missing"
+    assert got == {
+        0: [], 1: [("a.b[1].c", missing)], 2: [("a.b[1].c", missing)], 3: [], 4: [("a.b[0].d[1]", "expected a number, found STRING"), ("a.b[1].d[0]", "expected a number, found BOOLEAN")],
+        5: [("a.b[0].z z", "not in the schema"), ("a.b[1]", "expected an object, found BIGINT"), ("e", "expected bigint, found DECIMAL")], 6: [("c: STRING, e", "not in the schema")],
+    }
+    plan = checked._jdf.queryExecution().analyzed().toString()
+    assert "schema_of_variant" in plan and "[0]" not in plan
+
+
+def test_parts_that_must_be_there_are_not_empty(spark):
+    rows = ['"x"', "true", '"false"', "7", '{"p":1}', "[0]", "false", "0", "0.0", '""', "null", "{}", "[]"]
+    case = lambda v: json.dumps(_case())[:-1].replace('"court": "High"', f'"court": {v}').replace('"summary": {"brief": "In short."}', f'"summary": {v}') + "}"
+    df = spark.createDataFrame([(k, case(v)) for k, v in enumerate(rows)], "k int, doc string")
+    got = {r["k"]: r["stats"]["missing_top_level"] for r in case_validator.validated(df, "doc", None).collect()}
+    assert got == {k: [] if k < 6 else ["court", "summary"] for k in range(len(rows))}
